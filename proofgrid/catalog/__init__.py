@@ -1,0 +1,16 @@
+"""Registered queries over the given tables."""
+
+from __future__ import annotations
+
+from proofgrid.catalog import certificates, registry, sheets, typed_documents  # noqa: F401
+
+
+def all_queries():
+    return dict(registry.QUERIES)
+
+
+def all_sql():
+    return dict(registry.SQL)
+
+
+flagship = certificates.overall_by_model

@@ -53,8 +53,10 @@ def long_char_distance(left: pd.Series, right: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(T.IntegerType())
-def long_token_distance(left: pd.Series, right: pd.Series) -> pd.Series:
-    return _pairwise(lambda a, b: edit_distance(list(a), list(b)), left, right, "Int32")
+def long_word_distance(left: pd.Series, right: pd.Series) -> pd.Series:
+    return _pairwise(
+        lambda a, b: edit_distance(a.split(" "), b.split(" ")), left, right, "Int32"
+    )
 
 
 @F.pandas_udf(T.DoubleType())

@@ -26,17 +26,23 @@ _FIRST_TOKEN_CODE = 0x10000
 _TOKEN_CODES = 0x10FFFF - _FIRST_TOKEN_CODE
 
 
-def _is_long(left_size: Column, right_size: Column, cfg: ScoringConfig) -> Column:
-    return left_size.cast("long") * right_size.cast("long") > cfg.long_pair_cells
+def long_pair(left: Column, right: Column, cfg: ScoringConfig = DEFAULT) -> Column:
+    """Differing texts whose distance is left to the Arrow helper."""
+    if cfg.edit_engine == "builtin":
+        return F.lit(False)
+    sizes = F.char_length(left).cast("long") * F.char_length(right).cast("long")
+    return (left != right) & (sizes > cfg.long_pair_cells)
 
 
-def char_distance(left: Column, right: Column, cfg: ScoringConfig = DEFAULT) -> Column:
+def char_distance(
+    left: Column, right: Column, cfg: ScoringConfig = DEFAULT, slow: Column | None = None
+) -> Column:
     """Edit distance over code points."""
     if cfg.edit_engine == "builtin":
-        return F.when(left == right, 0).otherwise(F.levenshtein(left, right))
-    slow = (left != right) & _is_long(F.char_length(left), F.char_length(right), cfg)
+        return F.levenshtein(left, right)
+    slow = long_pair(left, right, cfg) if slow is None else slow
     helper = editing.long_char_distance(F.when(slow, left), F.when(slow, right))
-    return F.when(left == right, 0).when(slow, helper).otherwise(F.levenshtein(left, right))
+    return F.when(slow, helper).otherwise(F.levenshtein(left, right))
 
 
 def _interned(tokens: Column, vocabulary: Column) -> Column:
@@ -49,40 +55,50 @@ def _interned(tokens: Column, vocabulary: Column) -> Column:
     return F.decode(F.unhex(F.array_join(codes, "")), "UTF-32")
 
 
-def token_distance(left: Column, right: Column, cfg: ScoringConfig = DEFAULT) -> Column:
-    """Edit distance over two arrays of tokens."""
+def token_distance(left: Column, right: Column) -> Column:
+    """Edit distance over two arrays of tokens, by one code point per distinct token."""
     vocabulary = F.array_distinct(F.concat(left, right))
-    fits = F.size(vocabulary) <= _TOKEN_CODES
-    builtin = F.when(
-        fits, F.levenshtein(_interned(left, vocabulary), _interned(right, vocabulary))
+    return F.when(
+        F.size(vocabulary) <= _TOKEN_CODES,
+        F.levenshtein(_interned(left, vocabulary), _interned(right, vocabulary)),
     ).otherwise(F.raise_error(F.lit("too many distinct words in one pair: use edit_engine='auto'")))
+
+
+def word_distance(
+    left: Column, right: Column, cfg: ScoringConfig = DEFAULT, slow: Column | None = None
+) -> Column:
+    """Edit distance over the words of two texts with single spaces."""
+    builtin = token_distance(F.split(left, " "), F.split(right, " "))
     if cfg.edit_engine == "builtin":
-        return F.when(left == right, 0).otherwise(builtin)
-    slow = (left != right) & _is_long(F.size(left), F.size(right), cfg)
-    helper = editing.long_token_distance(F.when(slow, left), F.when(slow, right))
-    return F.when(left == right, 0).when(slow, helper).otherwise(builtin)
+        return builtin
+    slow = long_pair(left, right, cfg) if slow is None else slow
+    helper = editing.long_word_distance(F.when(slow, left), F.when(slow, right))
+    return F.when(slow, helper).otherwise(builtin)
 
 
 def error_rate(
-    distance: Column, left_size: Column, right_size: Column, cfg: ScoringConfig = DEFAULT
+    left: Column, right: Column, distance: Column, size_l: Column, size_r: Column,
+    cfg: ScoringConfig = DEFAULT,
+) -> Column:
+    """Distance over the longer length, or over the reference length (may exceed 1).
+
+    The distance stands in the expression once, behind the test for equal texts.
+    """
+    size = size_l if cfg.denominator == "reference" else F.greatest(size_l, size_r)
+    return (
+        F.when(left == right, 0.0)
+        .when((left == "") | (right == ""), 1.0)
+        .otherwise(distance / size)
+    )
+
+
+def cer_clean(
+    left: Column, right: Column, cfg: ScoringConfig = DEFAULT, slow: Column | None = None
 ) -> Column:
-    """Distance over the longer length, at most 1; or over the reference length, unbounded."""
-    if cfg.denominator == "reference":
-        return (
-            F.when(distance == 0, 0.0)
-            .when((left_size == 0) | (right_size == 0), 1.0)
-            .otherwise(distance / left_size)
-        )
-    longest = F.greatest(left_size, right_size)
-    return F.when(distance == 0, 0.0).otherwise(F.least(distance / longest, F.lit(1.0)))
-
-
-def cer_clean(left: Column, right: Column, cfg: ScoringConfig = DEFAULT) -> Column:
     """Character error rate of two texts that are already cleaned."""
-    return F.when(left == right, 0.0).otherwise(
-        error_rate(
-            char_distance(left, right, cfg), F.char_length(left), F.char_length(right), cfg
-        )
+    return error_rate(
+        left, right, char_distance(left, right, cfg, slow),
+        F.char_length(left), F.char_length(right), cfg,
     )
 
 
@@ -90,17 +106,17 @@ def has_words(left: Column, right: Column) -> Column:
     return F.contains(left, F.lit(" ")) | F.contains(right, F.lit(" "))
 
 
-def word_rate_clean(left: Column, right: Column, cfg: ScoringConfig = DEFAULT) -> Column:
+def _count_words(value: Column) -> Column:
+    return F.char_length(value) - F.char_length(F.translate(value, " ", "")) + 1
+
+
+def word_rate_clean(
+    left: Column, right: Column, cfg: ScoringConfig = DEFAULT, slow: Column | None = None
+) -> Column:
     """Error rate over words of two texts with single spaces; an empty text has no words."""
-    words_l, words_r = F.split(left, " "), F.split(right, " ")
-    return (
-        F.when(left == right, 0.0)
-        .when((left == "") | (right == ""), 1.0)
-        .otherwise(
-            error_rate(
-                token_distance(words_l, words_r, cfg), F.size(words_l), F.size(words_r), cfg
-            )
-        )
+    return error_rate(
+        left, right, word_distance(left, right, cfg, slow),
+        _count_words(left), _count_words(right), cfg,
     )
 
 

@@ -40,43 +40,50 @@ UNICODE_DIGITS = "".join(c for c in _DIGITS if not c.isascii())
 ASCII_DIGITS = "".join(str(unicodedata.digit(c)) for c in _DIGITS if not c.isascii())
 
 _DIGIT_GROUP = r"[0-9](?:_?[0-9])*"
-_FLOAT = (
-    rf"^[+-]?(?:{_DIGIT_GROUP}(?:\.(?:{_DIGIT_GROUP})?)?|\.{_DIGIT_GROUP})"
-    rf"(?:[eE][+-]?{_DIGIT_GROUP})?\z"
+# One readable number: sign, digits with single underscores, fraction, exponent; or a word for
+# infinity; or the not-a-number word, whose sign is dropped.
+_NUMBER = (
+    rf"(?i)^(?:[+-](?=nan))?([+-]?(?:{_DIGIT_GROUP}(?:\.(?:{_DIGIT_GROUP})?)?|\.{_DIGIT_GROUP})"
+    rf"(?:e[+-]?{_DIGIT_GROUP})?|[+-]?inf(?:inity)?|nan)\z"
 )
-_INFINITE = r"(?i)^[+-]?inf(?:inity)?\z"
-_NAN = r"(?i)^[+-]?nan\z"
+_DATE_DIGITS = r"(?U)^\d{7,8}\n?\z"
+_SEVEN_DIGITS = r"(?U)^(\d{2})(\d{2})(\d{2})\d\z"
+_EIGHT_DIGITS = r"(?U)^(\d{3})(\d{2})(\d{2})(?:\d\n?|\n)\z"
 
 
-def normalize_date(value) -> Column:
-    """Seven or eight digits become ``yyy/mm/dd`` of their first seven places, else unchanged."""
-    trimmed = strip(text(value))
+def date_of(trimmed: Column) -> Column:
+    """Date form of a stripped text."""
     digits = F.translate(trimmed, "/-", "")
-    padded = F.when(F.char_length(digits) == 7, F.concat(F.lit("0"), digits)).otherwise(digits)
-    parts = F.concat_ws(
-        "/", F.substring(padded, 1, 3), F.substring(padded, 4, 2), F.substring(padded, 6, 2)
+    parts = F.regexp_replace(
+        F.regexp_replace(digits, _SEVEN_DIGITS, "0$1/$2/$3"), _EIGHT_DIGITS, "$1/$2/$3"
     )
-    return F.when(F.rlike(digits, F.lit(r"(?U)^\d{7,8}\n?\z")), parts).otherwise(trimmed)
+    return F.when(F.rlike(digits, F.lit(_DATE_DIGITS)), parts).otherwise(trimmed)
+
+
+def amount_of(value: Column) -> Column:
+    """Number in a text; white space, commas and digits of other scripts are understood."""
+    plain = F.translate(value, UNICODE_DIGITS + "," + WHITESPACE, ASCII_DIGITS)
+    number = F.translate(F.regexp_extract(plain, _NUMBER, 1), "_", "")
+    return F.coalesce(number.try_cast("double"), F.lit(0.0))
+
+
+def boolean_of(trimmed: Column) -> Column:
+    upper = F.upper(trimmed)
+    return F.when(upper.isin(YES_WORDS), "Y").when(upper.isin(NO_WORDS), "N").otherwise(upper)
+
+
+def normalize_date(value) -> Column:
+    """Seven or eight digits become ``yyy/mm/dd`` of their first seven places, else unchanged."""
+    return date_of(strip(text(value)))
 
 
 def normalize_amount(value) -> Column:
     """Number without thousands commas; blank or unreadable text is 0."""
-    cleaned = F.translate(text(value), "," + WHITESPACE, "")
-    ascii_text = F.translate(cleaned, UNICODE_DIGITS, ASCII_DIGITS)
-    number = F.expr("try_cast(null as double)")
-    infinite = F.when(F.startswith(ascii_text, F.lit("-")), float("-inf")).otherwise(float("inf"))
-    plain = F.translate(ascii_text, "_", "").try_cast("double")
-    number = (
-        F.when(F.rlike(ascii_text, F.lit(_FLOAT)), plain)
-        .when(F.rlike(ascii_text, F.lit(_INFINITE)), infinite)
-        .when(F.rlike(ascii_text, F.lit(_NAN)), F.lit(float("nan")))
-    )
-    return F.coalesce(number, F.lit(0.0))
+    return amount_of(text(value))
 
 
 def normalize_boolean(value) -> Column:
-    upper = F.upper(strip(text(value)))
-    return F.when(upper.isin(YES_WORDS), "Y").when(upper.isin(NO_WORDS), "N").otherwise(upper)
+    return boolean_of(strip(text(value)))
 
 
 def float_text(number: Column) -> Column:
@@ -107,7 +114,12 @@ def float_text(number: Column) -> Column:
 
 def field_type(name, correct, predicted) -> Column:
     """Type of one pair: by field name first, then by the truth, then by the prediction."""
-    name, correct, predicted = column(name), column(correct), column(predicted)
+    correct, predicted = column(correct), column(predicted)
+    return type_of(column(name), correct, strip(correct), strip(predicted))
+
+
+def type_of(name: Column, correct: Column, left: Column, right: Column) -> Column:
+    """As ``field_type``, with both values already stripped in ``left`` and ``right``."""
     lowered = F.lower(name)
     scope = F.lit(False)
     for word in SCOPE_VALUES:
@@ -123,8 +135,7 @@ def field_type(name, correct, predicted) -> Column:
         .when(F.contains(name, F.lit(SCOPE_WORD)) & scope, TEXT)
         .when(name == BOOLEAN_FIELD, BOOLEAN)
     )
-    for value in (correct, predicted):
-        trimmed = strip(value)
+    for trimmed in (left, right):
         result = (
             result.when(trimmed.isin(BOOLEAN_LITERALS), BOOLEAN)
             .when(F.rlike(trimmed, F.lit(r"(?U)^\d{2,3}[/-]\d{1,2}[/-]\d{1,2}")), DATE)
@@ -135,18 +146,23 @@ def field_type(name, correct, predicted) -> Column:
     return result.otherwise(TEXT)
 
 
-def normalize_value(value, kind) -> Column:
-    """Text form of a value after clean-up by type; null is the empty string for every type."""
-    value, kind = column(value), column(kind)
+def value_text(trimmed: Column, kind: Column, amount: Column) -> Column:
+    """Text form of a stripped value by type; ``amount`` is its number where the type asks for it."""
     return (
-        F.when(value.isNull(), "")
-        .when(kind == DATE, normalize_date(value))
-        .when(kind == AMOUNT, float_text(normalize_amount(value)))
-        .when(kind == BOOLEAN, normalize_boolean(value))
-        .otherwise(strip(value))
+        F.when(trimmed.isNull(), "")
+        .when(kind == DATE, date_of(trimmed))
+        .when(kind == AMOUNT, float_text(amount))
+        .when(kind == BOOLEAN, boolean_of(trimmed))
+        .otherwise(trimmed)
     )
 
 
+def normalize_value(value, kind) -> Column:
+    """Text form of a value after clean-up by type; null is the empty string for every type."""
+    trimmed = strip(column(value))
+    return value_text(trimmed, column(kind), amount_of(trimmed))
+
+
 def error_rate(correct, predicted) -> Column:
     """Edit distance over the length of the truth; may exceed 1. No white space is removed."""
     correct, predicted = column(correct), column(predicted)
@@ -157,26 +173,36 @@ def error_rate(correct, predicted) -> Column:
     )
 
 
-def date_similarity(correct, predicted) -> Column:
+def date_parts(value) -> Column:
+    return F.split(normalize_date(value), "/")
+
+
+def parts_similarity(left: Column, right: Column) -> Column:
     """1 when equal, else the share of equal parts when both have three parts, else 0."""
-    left, right = normalize_date(correct), normalize_date(predicted)
-    parts_l, parts_r = F.split(left, "/"), F.split(right, "/")
     equal_parts = sum(
-        F.when(F.get(parts_l, i) == F.get(parts_r, i), 1.0).otherwise(0.0) for i in range(3)
+        F.when(F.get(left, F.lit(i)) == F.get(right, F.lit(i)), 1.0).otherwise(0.0)
+        for i in range(3)
     )
     return (
         F.when(left == right, 1.0)
-        .when((F.size(parts_l) == 3) & (F.size(parts_r) == 3), equal_parts / 3.0)
+        .when((F.size(left) == 3) & (F.size(right) == 3), equal_parts / 3.0)
         .otherwise(0.0)
     )
 
 
-def amount_similarity(correct, predicted) -> Column:
+def date_similarity(correct, predicted) -> Column:
+    return parts_similarity(date_parts(correct), date_parts(predicted))
+
+
+def numbers_similarity(left: Column, right: Column) -> Column:
     """1 when the numbers are equal; a not-a-number value equals nothing."""
-    left, right = normalize_amount(correct), normalize_amount(predicted)
     return F.when((left == right) & ~F.isnan(left), 1.0).otherwise(0.0)
 
 
+def amount_similarity(correct, predicted) -> Column:
+    return numbers_similarity(normalize_amount(correct), normalize_amount(predicted))
+
+
 def boolean_similarity(correct, predicted) -> Column:
     return F.when(normalize_boolean(correct) == normalize_boolean(predicted), 1.0).otherwise(0.0)
 
@@ -189,14 +215,14 @@ def text_similarity(correct, predicted, rate: Column | None = None) -> Column:
     )
 
 
-def field_similarity(correct, predicted, kind, rate: Column | None = None) -> Column:
+def field_similarity(correct, predicted, kind) -> Column:
     """Similarity of two cleaned values by type. Dates are cleaned again here, as they must be."""
     kind = column(kind)
     return (
         F.when(kind == DATE, date_similarity(correct, predicted))
         .when(kind == AMOUNT, amount_similarity(correct, predicted))
         .when(kind == BOOLEAN, boolean_similarity(correct, predicted))
-        .otherwise(text_similarity(correct, predicted, rate))
+        .otherwise(text_similarity(correct, predicted))
     )
 
 

@@ -86,7 +86,9 @@ def _vertical_winners(members: DataFrame) -> DataFrame:
         F.min(F.when(F.col("_member"), F.col("row_idx"))).alias("first_row"),
         F.max(F.size("values")).alias("width"),
     )
-    last = blocks.groupBy("workbook").agg(F.max("block_row").alias("last_block"))
+    last = blocks.groupBy("workbook").agg(
+        F.max("block_row").alias("last_block"), F.max("width").alias("sheet_width")
+    )
     used = F.col("head") & ((F.col("n") > 1) | (F.col("block_row") < F.col("last_block")))
     return (
         blocks.join(last, "workbook")
@@ -95,7 +97,7 @@ def _vertical_winners(members: DataFrame) -> DataFrame:
         .groupBy("workbook", "model")
         .agg(
             F.max_by(
-                F.struct("block_row", "first_row", "head_used", "width"), "block_row"
+                F.struct("block_row", "first_row", "head_used", "sheet_width"), "block_row"
             ).alias("_win")
         )
         .select("workbook", "model", "_win.*")
@@ -113,13 +115,19 @@ def split_vertically(rows: DataFrame, cfg: ScoringConfig = DEFAULT) -> Blocks:
     kept = sliced_join(
         members.filter("_member").drop("_header_like", "_member"),
         winners, ["workbook", "model", "block_row"], "row_idx", cfg.hot_splits,
+    ).withColumn(
+        "values",
+        F.concat(
+            F.col("values"),
+            F.array_repeat(F.lit(""), F.col("sheet_width") - F.size("values")),
+        ),
     )
     is_head = F.col("head_used") & (F.col("row_idx") == F.col("first_row"))
     first = F.col("row_idx") == F.col("first_row")
     headers = kept.filter(first).select(
         "workbook", "model",
         F.when(F.col("head_used"), F.col("values"))
-        .otherwise(_number_labels(F.col("width")))
+        .otherwise(_number_labels(F.col("sheet_width")))
         .alias("header"),
     )
     data = kept.filter(~is_head).select("workbook", "model", "row_idx", "values")

@@ -25,7 +25,7 @@ ALIASES = {
     "正面_證明手冊": ["證明手冊", "手冊類型", "正面證明", "原始證明"],
     "反面_證明手冊": ["AI證明", "預測證明", "反面證明", "gemma證明"],
 }
-TRUTH_PREFIX, PREDICTED_PREFIX = "正面_", "反面_"
+TRUTH_PREFIX = "正面_"
 
 # Words of the older suffix pairing and the suffixes a prediction column ends with.
 SUFFIX_WORDS = {FIELD_LEVEL: "障礙等級", FIELD_CATEGORY: "障礙類別", FIELD_ICD: "ICD"}
@@ -121,65 +121,67 @@ def map_by_suffix(header: Column) -> Column:
     return F.filter(F.array(*entries), lambda e: e.isNotNull()).cast(MAPPING_TYPE)
 
 
-def alias_choices(df: DataFrame, header: str = "header") -> DataFrame:
-    """Add ``_a0`` … ``_a7``: per alias target the column it renames, null when it loses it.
+def map_by_alias(headers: DataFrame) -> DataFrame:
+    """``(workbook, mapping)`` by the older alias table: pairs whose two targets both exist.
 
     A target takes the first column, alias by alias, that holds the alias or is held by it. A column
-    taken by several targets keeps the last one.
+    taken by several targets goes to the last one. Columns that already have a target's name and are
+    not renamed count as well.
     """
-    targets = list(ALIASES)
-    taken = {}
-    for i, (target, names) in enumerate(ALIASES.items()):
-        per_alias = [
-            F.get(
-                positions_where(
-                    F.col(header),
-                    lambda h, _i, a=name.lower(): F.contains(F.lower(text(h)), F.lit(a))
-                    | F.contains(F.lit(a), F.lower(text(h))),
-                ),
-                F.lit(0),
+    aliases = F.array(
+        *[
+            F.struct(
+                F.lit(t).alias("target"), F.lit(a).alias("rank"), F.lit(name.lower()).alias("alias")
             )
-            for name in names
+            for t, names in enumerate(ALIASES.values())
+            for a, name in enumerate(names)
         ]
-        taken[f"_t{i}"] = F.coalesce(*per_alias)
-    staged = df.withColumns(taken)
-    kept = {}
-    for i in range(len(targets)):
-        lost = F.lit(False)
-        for j in range(i + 1, len(targets)):
-            lost = lost | F.coalesce(F.col(f"_t{i}") == F.col(f"_t{j}"), F.lit(False))
-        kept[f"_a{i}"] = F.when(~lost, F.col(f"_t{i}"))
-    return staged.withColumns(kept)
-
-
-def map_by_alias(df: DataFrame, header: str = "header") -> DataFrame:
-    """Add ``mapping`` by the older alias table: pairs whose two targets both exist after renaming."""
-    staged = alias_choices(df, header)
-    targets = list(ALIASES)
-    renamed = F.array_compact(F.array(*[F.col(f"_a{i}") for i in range(len(targets))]))
-
-    def place(i: int) -> Column:
-        own = positions_where(
-            F.col(header), lambda h, p: (h == targets[i]) & ~F.array_contains(renamed, p)
+    )
+    cells = headers.select("workbook", F.posexplode("header").alias("col", "name")).withColumn(
+        "name", text("name")
+    )
+    lowered = F.lower("name")
+    hits = cells.select("workbook", "col", lowered.alias("name"), F.inline(aliases)).filter(
+        F.contains("name", F.col("alias")) | F.contains("alias", F.col("name"))
+    )
+    taken = (
+        hits.groupBy("workbook", "target").agg(F.min(F.struct("rank", "col"))["col"].alias("col"))
+        .groupBy("workbook", "col").agg(F.max("target").alias("target"))
+    )
+    target_of = F.array_position(F.array(*map(F.lit, ALIASES)), F.col("name")).cast("int") - 1
+    own = (
+        cells.join(taken, ["workbook", "col"], "left_anti")
+        .select("workbook", "col", target_of.alias("target"))
+        .filter(F.col("target") >= 0)
+    )
+    places = (
+        taken.withColumn("_own", F.lit(0)).unionByName(own.withColumn("_own", F.lit(1)))
+        .groupBy("workbook", "target").agg(F.min(F.struct("_own", "col"))["col"].alias("col"))
+    )
+    names = F.array(
+        *[F.lit(t.removeprefix(TRUTH_PREFIX)) for t in ALIASES if t.startswith(TRUTH_PREFIX)]
+    )
+    is_truth = F.col("target") % 2 == 0
+    return (
+        places.groupBy("workbook", F.floor(F.col("target") / 2).cast("int").alias("field_order"))
+        .agg(
+            F.max(F.when(is_truth, F.col("col"))).alias("truth_col"),
+            F.max(F.when(~is_truth, F.col("col"))).alias("pred_col"),
         )
-        return F.coalesce(F.col(f"_a{i}"), F.get(own, F.lit(0)))
-
-    entries = []
-    for order, i in enumerate(range(0, len(targets), 2)):
-        truth, predicted = place(i), place(i + 1)
-        entries.append(
-            F.when(
-                truth.isNotNull() & predicted.isNotNull(),
-                F.struct(
-                    F.lit(targets[i].removeprefix(TRUTH_PREFIX)).alias("field"),
-                    F.lit(order).alias("field_order"),
-                    truth.alias("truth_col"), predicted.alias("pred_col"),
-                ),
-            )
+        .filter(F.col("truth_col").isNotNull() & F.col("pred_col").isNotNull())
+        .withColumn("field", F.get(names, F.col("field_order")))
+        .groupBy("workbook")
+        .agg(
+            F.array_sort(F.collect_list(F.struct("field_order", "field", "truth_col", "pred_col")))
+            .alias("_entries")
+        )
+        .select(
+            "workbook",
+            F.transform(
+                "_entries",
+                lambda e: F.struct(e["field"], e["field_order"], e["truth_col"], e["pred_col"]),
+            ).cast(MAPPING_TYPE).alias("mapping"),
         )
-    mapping = F.filter(F.array(*entries), lambda e: e.isNotNull()).cast(MAPPING_TYPE)
-    return staged.withColumn("mapping", mapping).drop(
-        *[f"_t{i}" for i in range(len(targets))], *[f"_a{i}" for i in range(len(targets))]
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from proofgrid.config import ScoringConfig
 from proofgrid.functions import metrics, typed
-from proofgrid.functions.textnorm import normalize_text, normalize_words
+from proofgrid.functions.textnorm import normalize_text, normalize_words, strip
 
 DEFAULT = ScoringConfig()
 
@@ -58,37 +58,82 @@ def score_pairs(pairs: DataFrame, cfg: ScoringConfig = DEFAULT) -> DataFrame:
                 "_words_r": normalize_words("predicted"),
             }
         )
-        .withColumn("cer", metrics.cer_clean(left, right, cfg))
+        .withColumns(
+            {
+                "_slow": metrics.long_pair(left, right, cfg),
+                "_words": metrics.has_words(words_l, words_r),
+            }
+        )
+        .withColumns(
+            {
+                "cer": metrics.cer_clean(left, right, cfg, F.col("_slow")),
+                "_word_rate": F.when(
+                    F.col("_words"),
+                    metrics.word_rate_clean(
+                        words_l, words_r, cfg, F.col("_slow") & F.col("_words")
+                    ),
+                ),
+            }
+        )
         # Without a space in either text, words are characters and both rates are the same.
-        .withColumn(
-            "wer",
-            F.when(
-                metrics.has_words(words_l, words_r),
-                metrics.word_rate_clean(words_l, words_r, cfg),
-            ).otherwise(F.col("cer")),
+        .withColumns(
+            {
+                "wer": F.when(F.col("_words"), F.col("_word_rate")).otherwise(F.col("cer")),
+                "similarity": metrics.accuracy(F.col("cer")),
+            }
         )
-        .withColumn("similarity", metrics.accuracy(F.col("cer")))
-        .drop("_left", "_right", "_words_l", "_words_r")
+        .drop("_left", "_right", "_words_l", "_words_r", "_slow", "_words", "_word_rate")
     )
     return _flags(rated, cfg)
 
 
 def score_document_pairs(pairs: DataFrame, cfg: ScoringConfig = DEFAULT) -> DataFrame:
-    """Typed comparison: adds type, cleaned values, similarity, rates, exactness and error text."""
-    left, right = F.col("norm_correct"), F.col("norm_predicted")
+    """Typed comparison: adds type, cleaned values, similarity, rates, exactness and error text.
+
+    Stripped texts, numbers and date parts are columns of inner projections, so generated code
+    stays small and no value is parsed twice.
+    """
+    kind, left, right = F.col("field_type"), F.col("norm_correct"), F.col("norm_predicted")
+    is_amount, is_date = kind == typed.AMOUNT, kind == typed.DATE
+    no_amount = F.lit(0.0)
+    typed_similarity = (
+        F.when(is_date, typed.parts_similarity(F.col("_parts_l"), F.col("_parts_r")))
+        .when(is_amount, typed.numbers_similarity(F.col("_amount_l"), F.col("_amount_r")))
+        .when(left == right, 1.0)
+        .when(kind == typed.BOOLEAN, 0.0)
+        .otherwise(F.greatest(F.lit(0.0), F.lit(1.0) - F.col("cer")))
+    )
     return (
-        pairs.withColumn("field_type", typed.field_type("field", "correct", "predicted"))
+        pairs.withColumns({"_l": strip("correct"), "_r": strip("predicted")})
+        .withColumn(
+            "field_type",
+            typed.type_of(F.col("field"), F.col("correct"), F.col("_l"), F.col("_r")),
+        )
         .withColumns(
             {
-                "norm_correct": typed.normalize_value("correct", "field_type"),
-                "norm_predicted": typed.normalize_value("predicted", "field_type"),
+                "_amount_l": F.when(
+                    is_amount, F.coalesce(typed.amount_of(F.col("_l")), no_amount)
+                ),
+                "_amount_r": F.when(
+                    is_amount, F.coalesce(typed.amount_of(F.col("_r")), no_amount)
+                ),
             }
         )
-        .withColumn("cer", typed.error_rate(left, right))
-        .withColumn("wer", F.col("cer"))
-        .withColumn(
-            "similarity", typed.field_similarity(left, right, "field_type", F.col("cer"))
+        .withColumns(
+            {
+                "norm_correct": typed.value_text(F.col("_l"), kind, F.col("_amount_l")),
+                "norm_predicted": typed.value_text(F.col("_r"), kind, F.col("_amount_r")),
+            }
+        )
+        .withColumns(
+            {
+                "cer": typed.error_rate(left, right),
+                "_parts_l": F.when(is_date, typed.date_parts(left)),
+                "_parts_r": F.when(is_date, typed.date_parts(right)),
+            }
         )
+        .withColumns({"wer": F.col("cer"), "similarity": typed_similarity})
+        .drop("_l", "_r", "_amount_l", "_amount_r", "_parts_l", "_parts_r")
         .withColumn("is_exact_match", F.col("similarity") >= cfg.exact_threshold)
         .withColumn(
             "error_description",
