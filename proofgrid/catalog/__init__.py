@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from proofgrid.catalog import certificates, registry, sheets, typed_documents  # noqa: F401
+from proofgrid.catalog import (  # noqa: F401
+    certificates,
+    document_sheets,
+    registry,
+    sheets,
+    texts,
+    typed_documents,
+)
 
 
 def all_queries():

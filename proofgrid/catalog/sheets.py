@@ -66,38 +66,50 @@ class Dialect:
         return self.array(", ".join(c.format(text=self.text) for c in cells))
 
 
-def _sheet(d: Dialect, prefix: str, rows: list[tuple[str, str, str]]) -> str:
-    """UNION ALL of (condition, row number, values) parts; header parts use one row per nation."""
+# The nations that occur in customer; one workbook each.
+NATIONS = "(select distinct c_nationkey from customer)"
+HEAD, DATA = NATIONS, "customer"
+
+
+def _sheet(d: Dialect, prefix: str, rows: list[tuple[str, str, str, str]]) -> str:
+    """All ``(source, condition, row number, values)`` rows of one kind of sheet.
+
+    Spark makes the rows of a source in one pass over it; the SQL side makes one part per row kind.
+    """
+    book = f"concat('{prefix}_', c_nationkey) as workbook"
+    if not d.spark:
+        return " union all ".join(
+            f"select {book}, cast({number} as bigint) as row_idx, {values} as vals"
+            f" from {source} where {condition}"
+            for source, condition, number, values in rows
+        )
     parts = []
-    for source, number, values in rows:
-        parts.append(
-            f"select concat('{prefix}_', {'c_nationkey' if source.startswith('customer') else 'n_nationkey'})"
-            f" as workbook, cast({number} as bigint) as row_idx, {values} as values_ from {source}"
+    for wanted in (HEAD, DATA):
+        made = ", ".join(
+            f"case when {condition} then named_struct('row_idx', cast({number} as bigint),"
+            f" 'values', {values}) end"
+            for source, condition, number, values in rows
+            if source == wanted
         )
+        if made:
+            parts.append(f"select {book}, inline(array_compact(array({made}))) from {wanted}")
     return " union all ".join(parts)
 
 
-# The nations that occur in customer; one workbook each.
-NATIONS = "(select distinct c_nationkey as n_nationkey from customer)"
-
-
 def vertical_sheet(d: Dialect) -> str:
     """Stacked blocks. Some sheets have a note above the header, a repeated model or no header."""
     rows = []
     for block, name in enumerate(["gemma 3 27b qat", "ChatGPT 4.1", "gemma 3 27b qat"]):
-        only = f"{NATIONS} where {'n_nationkey % 4 = 0' if block == 2 else 'true'}"
-        data = "customer where " + (
-            "c_nationkey % 4 = 0 and c_custkey % 2 = 0" if block == 2 else "true"
-        )
+        only = "c_nationkey % 4 = 0" if block == 2 else "true"
+        half = "c_custkey % 2 = 0" if block == 2 else "true"
         start = block * BLOCK
-        rows.append((only, str(start), d.array(_literal([None, name, *[None] * 8]))))
-        rows.append(
-            (f"{only} and n_nationkey % 5 = 0", str(start + 1), d.array(_literal(["note"])))
-        )
-        rows.append(
-            (f"{only} and n_nationkey % 6 <> 1", str(start + 2), d.array(_literal(GRID_HEADER)))
-        )
-        rows.append((data, f"{start + 3} + c_custkey * 2", d.cells(CELLS)))
+        rows += [
+            (HEAD, only, str(start), d.array(_literal([None, name, *[None] * 8]))),
+            (HEAD, f"{only} and c_nationkey % 5 = 0", str(start + 1), d.array(_literal(["note"]))),
+            (HEAD, f"{only} and c_nationkey % 6 <> 1", str(start + 2),
+             d.array(_literal(GRID_HEADER))),
+            (DATA, f"{only} and {half}", f"{start + 3} + c_custkey * 2", d.cells(CELLS)),
+        ]
     return _sheet(d, "v", rows)
 
 
@@ -107,11 +119,11 @@ def horizontal_sheet(d: Dialect) -> str:
     top = [*[None] * 6, "claude-3", *[None] * 3, "gemini 2.5 pro", *[None] * 3]
     same = [*[None] * 6, "claude-3", *[None] * 3, "claude-3", *[None] * 3]
     rows = [
-        (f"{NATIONS} where n_nationkey % 3 <> 0", "0", d.array(_literal(top))),
-        (f"{NATIONS} where n_nationkey % 3 = 0", "0", d.array(_literal(same))),
-        (f"{NATIONS} where true", "3", d.array(_literal(WIDE_HEADER))),
-        ("customer where c_custkey % 3 <> 0", "4 + c_custkey", d.cells(twelve)),
-        ("customer where c_custkey % 3 = 0", "4 + c_custkey", d.cells(twelve[:11])),
+        (HEAD, "c_nationkey % 3 <> 0", "0", d.array(_literal(top))),
+        (HEAD, "c_nationkey % 3 = 0", "0", d.array(_literal(same))),
+        (HEAD, "true", "3", d.array(_literal(WIDE_HEADER))),
+        (DATA, "c_custkey % 3 <> 0", "4 + c_custkey", d.cells(twelve)),
+        (DATA, "c_custkey % 3 = 0", "4 + c_custkey", d.cells(twelve[:11])),
     ]
     return _sheet(d, "h", rows)
 
@@ -119,17 +131,18 @@ def horizontal_sheet(d: Dialect) -> str:
 def single_sheet(d: Dialect, prefix: str, header: list[str], cells: list[str]) -> str:
     """A title row, a header row, then data."""
     rows = [
-        (f"{NATIONS} where true", "0", d.array(_literal(["結果"]))),
-        (f"{NATIONS} where n_nationkey % 2 = 0", "1", d.array(_literal(["Gemma3 結果", None]))),
-        (f"{NATIONS} where true", "2", d.array(_literal(header))),
-        ("customer where true", "3 + c_custkey", d.cells(cells)),
+        (HEAD, "true", "0", d.array(_literal(["結果"]))),
+        (HEAD, "c_nationkey % 2 = 0", "1", d.array(_literal(["Gemma3 結果", None]))),
+        (HEAD, "true", "2", d.array(_literal(header))),
+        (DATA, "true", "3 + c_custkey", d.cells(cells)),
     ]
     return _sheet(d, prefix, rows)
 
 
 def bad_sheet(d: Dialect) -> str:
     """No header words at all."""
-    return _sheet(d, "x", [("customer where true", "c_custkey", d.array("c_name, c_mktsegment"))])
+    rows = [(DATA, "true", "c_custkey", d.array("c_name, c_mktsegment"))]
+    return _sheet(d, "x", rows)
 
 
 def sheet_sql(kind: str, dialect: str) -> str:
@@ -154,16 +167,14 @@ def sheets(spark: SparkSession, folder: str, *kinds: str) -> DataFrame:
     )
     text = " union all ".join(sheet_sql(k, "spark") for k in kinds)
     return spark.sql(
-        text.replace("from customer", "from {customer}").replace(
-            "as values_", "as values"
-        ),
+        text.replace("from customer", "from {customer}"),
         customer=customer,
     )
 
 
 def grid_cte(*kinds: str) -> str:
     text = " union all ".join(sheet_sql(k, "duckdb") for k in kinds)
-    return f"grid as ({text.replace('as values_', 'as vals')})"
+    return f"grid as ({text})"
 
 
 MODEL_RE = "gemini|gemma|chatgpt|claude|gpt|llama|palm|bard"
