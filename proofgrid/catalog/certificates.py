@@ -19,6 +19,7 @@ from proofgrid.catalog.registry import register, table
 from proofgrid.config import ScoringConfig
 from proofgrid.functions import labels, metrics, textnorm
 from proofgrid.operators import aggregate, joins, reports, scoring, wide
+from proofgrid.sources.tables import spread
 
 ROW = ["workbook", "model", "row_idx", "field"]
 ROW_SQL = "workbook, model, row_idx, field"
@@ -123,7 +124,7 @@ register(
 
 def _document_text_pairs(spark, folder):
     """Whole texts against a copy with changed letters."""
-    return table(spark, folder, "documents").select(
+    return spread(table(spark, folder, "documents")).select(
         F.lit("documents").alias("workbook"), F.col("source").alias("model"),
         F.col("doc_id").alias("row_idx"), F.lit("text").alias("field"),
         F.lit(0).alias("field_order"), F.col("text").alias("correct"),

@@ -11,6 +11,7 @@ from proofgrid.catalog.registry import table
 from proofgrid.config import DEFAULT_MAPPING
 from proofgrid.operators.pairing import wide_to_pairs
 from proofgrid.operators.scoring import score_document_pairs, score_pairs
+from proofgrid.sources.tables import spread
 
 N_MODELS = 3
 
@@ -49,7 +50,7 @@ def _cert_columns() -> list[str]:
 
 def certificates(spark: SparkSession, folder: str) -> DataFrame:
     """Headed certificate table: one row per customer and model."""
-    base = table(spark, folder, "customer").select(
+    base = spread(table(spark, folder, "customer")).select(
         "c_custkey", "c_name", "c_nationkey", "c_mktsegment",
         F.explode(F.sequence(F.lit(0), F.lit(N_MODELS - 1))).alias("m"),
     )
@@ -157,7 +158,7 @@ PART_SWAP = ("r", "s")
 
 
 def part_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    base = table(spark, folder, "part").select(
+    base = spread(table(spark, folder, "part")).select(
         "p_partkey", "p_name", "p_type", "p_brand", "p_size",
         F.explode(F.sequence(F.lit(0), F.lit(N_MODELS - 1))).alias("m"),
     )
@@ -255,7 +256,7 @@ def document_values(dialect: str) -> dict[str, tuple[str, str]]:
 
 
 def document_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    base = table(spark, folder, "orders").withColumn(
+    base = spread(table(spark, folder, "orders")).withColumn(
         "m", F.explode(F.sequence(F.lit(0), F.lit(DOC_MODELS - 1)))
     )
     entries = [

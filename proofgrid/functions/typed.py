@@ -46,25 +46,42 @@ _NUMBER = (
     rf"(?i)^(?:[+-](?=nan))?([+-]?(?:{_DIGIT_GROUP}(?:\.(?:{_DIGIT_GROUP})?)?|\.{_DIGIT_GROUP})"
     rf"(?:e[+-]?{_DIGIT_GROUP})?|[+-]?inf(?:inity)?|nan)\z"
 )
+_PLAIN_NUMBER = r"^[0-9.,]+\z"
 _DATE_DIGITS = r"(?U)^\d{7,8}\n?\z"
-_SEVEN_DIGITS = r"(?U)^(\d{2})(\d{2})(\d{2})\d\z"
-_EIGHT_DIGITS = r"(?U)^(\d{3})(\d{2})(\d{2})(?:\d\n?|\n)\z"
 
 
 def date_of(trimmed: Column) -> Column:
     """Date form of a stripped text."""
-    digits = F.translate(trimmed, "/-", "")
-    parts = F.regexp_replace(
-        F.regexp_replace(digits, _SEVEN_DIGITS, "0$1/$2/$3"), _EIGHT_DIGITS, "$1/$2/$3"
+    digits = F.replace(F.replace(trimmed, F.lit("/")), F.lit("-"))
+    seven = F.concat_ws(
+        "/",
+        F.concat(F.lit("0"), F.substring(digits, 1, 2)),
+        F.substring(digits, 3, 2), F.substring(digits, 5, 2),
+    )
+    eight = F.concat_ws(
+        "/", F.substring(digits, 1, 3), F.substring(digits, 4, 2), F.substring(digits, 6, 2)
+    )
+    return (
+        F.when(~F.rlike(digits, F.lit(_DATE_DIGITS)), trimmed)
+        .when(F.char_length(digits) == 7, seven)
+        .otherwise(eight)
     )
-    return F.when(F.rlike(digits, F.lit(_DATE_DIGITS)), parts).otherwise(trimmed)
 
 
 def amount_of(value: Column) -> Column:
-    """Number in a text; white space, commas and digits of other scripts are understood."""
-    plain = F.translate(value, UNICODE_DIGITS + "," + WHITESPACE, ASCII_DIGITS)
-    number = F.translate(F.regexp_extract(plain, _NUMBER, 1), "_", "")
-    return F.coalesce(number.try_cast("double"), F.lit(0.0))
+    """Number in a text; white space, commas and digits of other scripts are understood.
+
+    Texts of digits, points and commas only are cast right away; all others take the long way.
+    """
+    ascii_text = F.translate(value, UNICODE_DIGITS + "," + WHITESPACE, ASCII_DIGITS)
+    number = F.translate(F.regexp_extract(ascii_text, _NUMBER, 1), "_", "")
+    return F.coalesce(
+        F.when(
+            F.rlike(value, F.lit(_PLAIN_NUMBER)),
+            F.replace(value, F.lit(",")).try_cast("double"),
+        ).otherwise(number.try_cast("double")),
+        F.lit(0.0),
+    )
 
 
 def boolean_of(trimmed: Column) -> Column:
@@ -102,11 +119,12 @@ def float_text(number: Column) -> Column:
         F.when(F.startswith(exponent, F.lit("-")), "e-").otherwise("e+"),
         F.when(F.char_length(digits) < 2, F.lpad(digits, 2, "0")).otherwise(digits),
     )
+    # Between a thousandth and ten million the plain cast already has the right form.
     return (
-        F.when(F.isnan(number), "nan")
+        F.when((number == 0) | ((size >= 1e-3) & (size < 1e7)), plain)
+        .when(F.isnan(number), "nan")
         .when(number == float("inf"), "inf")
         .when(number == float("-inf"), "-inf")
-        .when(~F.contains(plain, F.lit("E")), plain)
         .when((size >= 1e-4) & (size < 1e16), positional)
         .otherwise(scientific)
     )
@@ -140,7 +158,10 @@ def type_of(name: Column, correct: Column, left: Column, right: Column) -> Colum
             result.when(trimmed.isin(BOOLEAN_LITERALS), BOOLEAN)
             .when(F.rlike(trimmed, F.lit(r"(?U)^\d{2,3}[/-]\d{1,2}[/-]\d{1,2}")), DATE)
             .when(
-                F.rlike(F.translate(trimmed, ",", ""), F.lit(r"(?U)^\d+(\.\d+)?\n?\z")), AMOUNT
+                F.rlike(
+                    F.replace(trimmed, F.lit(",")), F.lit(r"(?U)^\d+(\.\d+)?\n?\z")
+                ),
+                AMOUNT,
             )
         )
     return result.otherwise(TEXT)

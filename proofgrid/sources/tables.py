@@ -18,6 +18,16 @@ def read_headed(spark: SparkSession, path: str, schema=None) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a small scan over all cores before costly comparisons.
+
+    A table of many files already has more partitions than cores and comes back unchanged, so this
+    adds no shuffle at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def read_csv_grid(spark: SparkSession, path: str, n_columns: int, **options) -> DataFrame:
     """CSV files as ``rows(workbook, row_idx, values)``; the file path names the workbook.
 
