@@ -49,7 +49,8 @@ class ScoringConfig:
                      for short pairs but sends pairs whose length product exceeds
                      ``long_pair_cells`` to an Arrow helper, which is about 100 times faster there.
     ``chunk_rows``   rows per chunk of the prefix scans over one sheet.
-    ``hot_splits``   into how many slices a join spreads the rows of one workbook.
+    ``hot_splits``   into how many slices a join spreads the rows of one workbook, once there are
+                     more than ``unsliced_workbooks`` workbooks.
     """
 
     exact_threshold: float = 0.99
@@ -62,6 +63,7 @@ class ScoringConfig:
     long_pair_cells: int = 250_000
     chunk_rows: int = 100_000
     hot_splits: int = 16
+    unsliced_workbooks: int = 10_000
 
     def __post_init__(self) -> None:
         for name in ("exact_threshold", "mismatch_threshold"):

@@ -15,7 +15,13 @@ def sliced_join(
     rows: DataFrame, small: DataFrame, keys: list[str], spread_by: str, slices: int,
     how: str = "inner",
 ) -> DataFrame:
-    """Equi-join of many rows with few facts per key; ``spread_by`` picks a row's slice."""
+    """Equi-join of many rows with few facts per key; ``spread_by`` picks a row's slice.
+
+    With one slice this is a plain join, which Spark turns into a broadcast when the small side's
+    files are below its threshold.
+    """
+    if slices == 1:
+        return rows.join(small, keys, how)
     left = rows.withColumn("_slice", F.pmod(F.xxhash64(spread_by), F.lit(slices)))
     right = small.withColumn(
         "_slice", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(slices - 1).cast("bigint")))

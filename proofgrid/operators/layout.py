@@ -64,6 +64,7 @@ def _vertical_members(rows: DataFrame, cfg: ScoringConfig) -> DataFrame:
             "*",
             grid.model_cell_of(F.col("values")).alias("_model_here"),
             (grid.header_words_in(F.col("values")) >= 3).alias("_header_like"),
+            F.size("values").alias("_width"),
         )
         .filter(F.col("_model_here").isNotNull() | grid.has_content(F.col("values")))
     )
@@ -73,7 +74,7 @@ def _vertical_members(rows: DataFrame, cfg: ScoringConfig) -> DataFrame:
     )
     carried = carry_forward(flagged, ["workbook"], "row_idx", start, "_block", cfg.chunk_rows)
     return carried.filter(F.col("_block").isNotNull()).select(
-        "workbook", "row_idx", "values", "_header_like", "_block.*",
+        "workbook", "row_idx", "values", "_header_like", "_width", "_block.*",
         F.col("_model_here").isNull().alias("_member"),
     )
 
@@ -84,7 +85,7 @@ def _vertical_winners(members: DataFrame) -> DataFrame:
         F.count_if("_member").alias("n"),
         F.coalesce(F.bool_or(F.col("_header_like") & F.col("_member")), F.lit(False)).alias("head"),
         F.min(F.when(F.col("_member"), F.col("row_idx"))).alias("first_row"),
-        F.max(F.size("values")).alias("width"),
+        F.max("_width").alias("width"),
     )
     last = blocks.groupBy("workbook").agg(
         F.max("block_row").alias("last_block"), F.max("width").alias("sheet_width")
@@ -113,7 +114,7 @@ def split_vertically(rows: DataFrame, cfg: ScoringConfig = DEFAULT) -> Blocks:
     members = _vertical_members(rows, cfg)
     winners = _vertical_winners(members)
     kept = sliced_join(
-        members.filter("_member").drop("_header_like", "_member"),
+        members.filter("_member").drop("_header_like", "_member", "_width"),
         winners, ["workbook", "model", "block_row"], "row_idx", cfg.hot_splits,
     ).withColumn(
         "values",

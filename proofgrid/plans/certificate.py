@@ -11,7 +11,7 @@ from proofgrid.operators import aggregate, diagnostics, grid, layout, reports
 from proofgrid.operators.joins import sliced_join
 from proofgrid.operators.layout import Blocks
 from proofgrid.operators.scoring import score_pairs
-from proofgrid.plans.storage import stored
+from proofgrid.plans.storage import slicing_for, stored
 
 DEFAULT = ScoringConfig()
 
@@ -74,14 +74,21 @@ def find_blocks(
 ) -> tuple[DataFrame, Blocks]:
     """Layout per workbook and the blocks of all workbooks.
 
-    With ``keep_layout`` the small layout table is written first; Spark then knows its size and
-    can send it to all tasks instead of shuffling the sheet rows.
+    Only workbooks that name several models go through the two splits. With ``keep_layout`` the
+    small census and layout tables are written first; Spark then knows their size and can send them
+    to all tasks instead of shuffling the sheet rows.
     """
-    vertical = layout.split_vertically(rows, cfg)
-    horizontal = layout.split_horizontally(rows, cfg)
-    layouts = layout.choose_layout(
-        grid.model_census(rows), vertical.headers, horizontal.headers
+    census = grid.model_census(rows)
+    if keep_layout:
+        census = stored(census, "census")
+        cfg = slicing_for(census, cfg)
+    several = sliced_join(
+        rows, census.filter("is_multi_model").select("workbook"), ["workbook"], "row_idx",
+        cfg.hot_splits,
     )
+    vertical = layout.split_vertically(several, cfg)
+    horizontal = layout.split_horizontally(several, cfg)
+    layouts = layout.choose_layout(census, vertical.headers, horizontal.headers)
     if keep_layout:
         layouts = stored(layouts, "layouts")
     blocks = _union(
@@ -103,6 +110,7 @@ def evaluate_workbooks(
     pair_map = layout.detect_mapping(blocks, cfg)
     if keep_scores:
         pair_map = stored(pair_map, "pair-map")
+        cfg = slicing_for(pair_map, cfg)
     pairs = layout.extract_pairs(blocks.data, pair_map, cfg)
     result = evaluate_pairs(pairs, cfg, value_set_id, keep_scores)
     problems = diagnostics.without_header(layouts, blocks.headers).unionByName(

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from proofgrid.config import ScoringConfig
 from proofgrid.operators import aggregate, diagnostics, documents, reports
 from proofgrid.operators.scoring import either_side, score_document_pairs
-from proofgrid.plans.storage import stored
+from proofgrid.plans.storage import slicing_for, stored
 
 DEFAULT = ScoringConfig()
 
@@ -32,6 +32,7 @@ def evaluate_documents(
     pair_map = documents.document_pair_map(rows)
     if keep_scores or scores_path:
         pair_map = stored(pair_map, "pair-map")
+        cfg = slicing_for(pair_map, cfg)
     scores = score_document_pairs(either_side(documents.document_pairs(rows, pair_map, cfg)), cfg)
     if keep_scores or scores_path:
         scores = stored(scores, "document-scores", scores_path)

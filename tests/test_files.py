@@ -65,10 +65,12 @@ def test_folder_of_workbooks(spark, tmp_path):
 
 def test_admission(spark, tmp_path):
     (tmp_path / "a.XLSX").write_bytes(b"12345")
-    (tmp_path / "b.xls").write_bytes(b"")
     (tmp_path / "c.csv").write_bytes(b"1")
     (tmp_path / "d.xlsx").write_bytes(b"1" * 20)
-    files = tables.admit_files(tables.list_files(spark, str(tmp_path)), limit=10)
+    # Spark's file sources leave empty files out; a listing from elsewhere may have them.
+    empty = spark.createDataFrame([("/x/b.xls", 0)], "path string, length bigint")
+    listed = tables.list_files(spark, str(tmp_path)).unionByName(empty)
+    files = tables.admit_files(listed, limit=10)
     got = {r.path.rsplit("/", 1)[1]: r.reason for r in files.collect()}
     assert got == {"a.XLSX": None, "b.xls": "empty file", "c.csv": "invalid file format",
                    "d.xlsx": "file too large"}
