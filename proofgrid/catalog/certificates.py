@@ -607,11 +607,12 @@ register(
 )
 register(
     "lim02_record_preview",
-    lambda spark, folder: _records(spark, folder).filter("model = 'model_0'")
-    .orderBy("row_idx").limit(2).select("row_idx", "matched_fields", "total_fields"),
+    lambda spark, folder: _records(spark, folder).orderBy("row_idx", "model").limit(2).select(
+        "model", "row_idx", "matched_fields", "total_fields"
+    ),
     cert_sql(
-        "select row_idx, matched_fields, total_fields from records where model = 'model_0'"
-        " order by row_idx limit 2",
+        "select model, row_idx, matched_fields, total_fields from records"
+        " order by row_idx, model limit 2",
         RECORDS_SQL,
     ),
 )
@@ -647,11 +648,11 @@ register(
 
 
 def _sides(spark, folder):
-    """Truth and predictions as separate tables, each with gaps."""
+    """Truth and predictions as separate tables; each leaves out the rows it has no value for."""
     pairs = inputs.certificate_pairs(spark, folder)
     keys = ["workbook", "model", "row_idx", "field"]
-    left = pairs.filter("row_idx % 19 <> 0").select(*keys, F.col("correct").alias("value"))
-    right = pairs.filter("row_idx % 23 <> 0").select(*keys, F.col("predicted").alias("value"))
+    left = pairs.filter("correct is not null").select(*keys, F.col("correct").alias("value"))
+    right = pairs.filter("predicted is not null").select(*keys, F.col("predicted").alias("value"))
     return left, right, keys
 
 
@@ -659,8 +660,7 @@ register(
     "jn01_aligned_tables",
     lambda spark, folder: joins.align_tables(*_sides(spark, folder))[0],
     cert_sql(
-        f"select {ROW_SQL}, correct, case when row_idx % 23 <> 0 then predicted end as predicted"
-        " from pairs where row_idx % 19 <> 0",
+        f"select {ROW_SQL}, correct, predicted from pairs where correct is not null",
         scored=False,
     ),
 )
@@ -668,8 +668,8 @@ register(
     "jn01_unmatched_keys",
     lambda spark, folder: joins.align_tables(*_sides(spark, folder))[1],
     cert_sql(
-        f"select {ROW_SQL}, case when row_idx % 23 = 0 then 'prediction' else 'truth' end"
-        " as missing_in from pairs where (row_idx % 19 = 0) <> (row_idx % 23 = 0)",
+        f"select {ROW_SQL}, case when predicted is null then 'prediction' else 'truth' end"
+        " as missing_in from pairs where (correct is null) <> (predicted is null)",
         scored=False,
     ),
 )

@@ -29,21 +29,38 @@ def sliced_join(
     return left.join(right, [*keys, "_slice"], how).drop("_slice")
 
 
+def repeated_keys(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys that occur more than once; ``align_tables`` needs each key once per table."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
+
+
 def align_tables(
     truth: DataFrame, predictions: DataFrame, keys: list[str]
 ) -> tuple[DataFrame, DataFrame]:
     """Pairs of a truth table and a prediction table, and the keys that lack a partner.
 
     Truth rows without a prediction stay with a null prediction. Both tables hold ``keys`` and
-    ``value``. The second result has ``keys`` and ``missing_in``: ``prediction`` or ``truth``.
+    ``value``. The second result has ``keys`` and ``missing_in``: ``prediction`` or ``truth``. Rows
+    with a null key have no partner; they go around the join, so many of them do no harm.
     """
-    both = truth.withColumnRenamed("value", "correct").withColumn("_t", F.lit(True)).join(
-        predictions.withColumnRenamed("value", "predicted").withColumn("_p", F.lit(True)),
-        keys, "full_outer",
+    left = truth.select(*keys, F.col("value").alias("correct"))
+    right = predictions.select(*keys, F.col("value").alias("predicted"))
+    complete = F.lit(True)
+    for key in keys:
+        complete = complete & F.col(key).isNotNull()
+    both = left.filter(complete).withColumn("_t", F.lit(True)).join(
+        right.filter(complete).withColumn("_p", F.lit(True)), keys, "full_outer"
+    )
+    lone_truths, lone_predictions = left.filter(~complete), right.filter(~complete)
+    pairs = (
+        both.filter(F.col("_t").isNotNull()).select(*keys, "correct", "predicted")
+        .unionByName(lone_truths, allowMissingColumns=True)
     )
-    pairs = both.filter(F.col("_t").isNotNull()).select(*keys, "correct", "predicted")
     side = F.when(F.col("_p").isNull(), "prediction").otherwise("truth")
-    unmatched = both.filter(F.col("_p").isNull() | F.col("_t").isNull()).select(
-        *keys, side.alias("missing_in")
+    unmatched = (
+        both.filter(F.col("_p").isNull() | F.col("_t").isNull())
+        .select(*keys, side.alias("missing_in"))
+        .unionByName(lone_truths.select(*keys, F.lit("prediction").alias("missing_in")))
+        .unionByName(lone_predictions.select(*keys, F.lit("truth").alias("missing_in")))
     )
     return pairs, unmatched

@@ -428,19 +428,30 @@ def detect_mapping(blocks: Blocks, cfg: ScoringConfig = DEFAULT) -> DataFrame:
     )
 
 
-def extract_pairs(data: DataFrame, pair_map: DataFrame, cfg: ScoringConfig = DEFAULT) -> DataFrame:
-    """Long pairs of all data rows. Ids come from their columns, else from the row number."""
+def extract_pairs(
+    data: DataFrame, pair_map: DataFrame, cfg: ScoringConfig = DEFAULT,
+    number_missing_ids: bool = True,
+) -> DataFrame:
+    """Long pairs of all data rows. Ids come from their columns, else from the row number.
+
+    Where it is known that every block has both id columns, ``number_missing_ids=False`` leaves the
+    numbering out.
+    """
     joined = sliced_join(
         data, pair_map.drop("header").filter(F.size("mapping") > 0), ["workbook", "model"],
         "row_idx", cfg.hot_splits,
     )
     has_ids = F.col("id_col").isNotNull() & F.col("subject_col").isNotNull()
-    numbered = number_rows(
-        joined.filter(~has_ids), ["workbook", "model"], "row_idx", "_position", cfg.chunk_rows
-    ).withColumn("_position", F.col("_position") + 1)
-    everything = joined.filter(has_ids).withColumn(
-        "_position", F.lit(None).cast("bigint")
-    ).unionByName(numbered)
+    no_position = F.lit(None).cast("bigint")
+    if number_missing_ids:
+        numbered = number_rows(
+            joined.filter(~has_ids), ["workbook", "model"], "row_idx", "_position", cfg.chunk_rows
+        ).withColumn("_position", F.col("_position") + 1)
+        everything = (
+            joined.filter(has_ids).withColumn("_position", no_position).unionByName(numbered)
+        )
+    else:
+        everything = joined.withColumn("_position", no_position)
     number = F.col("_position").cast("string")
 
     def identity(position: str, otherwise: Column) -> Column:

@@ -75,13 +75,16 @@ def find_blocks(
     """Layout per workbook and the blocks of all workbooks.
 
     Only workbooks that name several models go through the two splits. With ``keep_layout`` the
-    small census and layout tables are written first; Spark then knows their size and can send them
-    to all tasks instead of shuffling the sheet rows.
+    small census and layout tables are written first: Spark then knows their size and can send them
+    to all tasks instead of shuffling the sheet rows, and layouts that do not occur cost no scan.
     """
     census = grid.model_census(rows)
     if keep_layout:
         census = stored(census, "census")
         cfg = slicing_for(census, cfg)
+        if census.filter("is_multi_model").isEmpty():
+            layouts = census.select("workbook", F.lit("single").alias("layout"))
+            return layouts, layout.single_blocks(rows, layouts, cfg)
     several = sliced_join(
         rows, census.filter("is_multi_model").select("workbook"), ["workbook"], "row_idx",
         cfg.hot_splits,
@@ -89,16 +92,19 @@ def find_blocks(
     vertical = layout.split_vertically(several, cfg)
     horizontal = layout.split_horizontally(several, cfg)
     layouts = layout.choose_layout(census, vertical.headers, horizontal.headers)
+    present = {"vertical", "horizontal", "single", "raw"}
     if keep_layout:
         layouts = stored(layouts, "layouts")
-    blocks = _union(
-        [
-            _of_layout(vertical, layouts, "vertical", cfg),
-            _of_layout(horizontal, layouts, "horizontal", cfg),
-            layout.single_blocks(rows, layouts, cfg),
-        ]
-    )
-    return layouts, blocks
+        # At most four names.
+        present = {r.layout for r in layouts.select("layout").distinct().collect()}
+    parts = []
+    if "vertical" in present:
+        parts.append(_of_layout(vertical, layouts, "vertical", cfg))
+    if "horizontal" in present:
+        parts.append(_of_layout(horizontal, layouts, "horizontal", cfg))
+    if present & {"single", "raw"}:
+        parts.append(layout.single_blocks(rows, layouts, cfg))
+    return layouts, _union(parts)
 
 
 def evaluate_workbooks(
@@ -111,7 +117,9 @@ def evaluate_workbooks(
     if keep_scores:
         pair_map = stored(pair_map, "pair-map")
         cfg = slicing_for(pair_map, cfg)
-    pairs = layout.extract_pairs(blocks.data, pair_map, cfg)
+    nameless = F.col("id_col").isNull() | F.col("subject_col").isNull()
+    number_rows = not keep_scores or not pair_map.filter(nameless).isEmpty()
+    pairs = layout.extract_pairs(blocks.data, pair_map, cfg, number_rows)
     result = evaluate_pairs(pairs, cfg, value_set_id, keep_scores)
     problems = diagnostics.without_header(layouts, blocks.headers).unionByName(
         diagnostics.without_mapping(pair_map)

@@ -166,7 +166,8 @@ def read_workbooks(spark: SparkSession, path: str, glob: str = "*.xlsx") -> Data
 def good_rows(parsed: DataFrame) -> DataFrame:
     """Rows of the files that were read to their end.
 
-    The broken files are few; they are looked up by name.
+    ``parsed`` is used twice here, so store it first (``plans.storage.stored``); every file is then
+    parsed once.
     """
     broken = parsed.filter(F.col("error").isNotNull()).select("workbook")
     return parsed.filter(F.col("error").isNull()).join(broken, "workbook", "left_anti").select(

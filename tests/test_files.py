@@ -11,6 +11,7 @@ from proofgrid.operators import joins, reports
 from proofgrid.operators.pairing import wide_to_pairs
 from proofgrid.operators.scoring import score_pairs
 from proofgrid.plans.certificate import evaluate_pairs, evaluate_workbooks
+from proofgrid.plans.storage import stored
 from proofgrid.sources import samples, sinks, tables, workbooks
 from proofgrid.sources.samples import GRID_HEADER, GRID_ROWS
 from proofgrid.streaming import incremental
@@ -56,7 +57,7 @@ def test_folder_of_workbooks(spark, tmp_path):
     (tmp_path / "good.xlsx").write_bytes(workbook_bytes([GRID_HEADER, *GRID_ROWS]))
     (tmp_path / "broken.xlsx").write_bytes(b"not a workbook")
     (tmp_path / "~lock.xlsx").write_bytes(b"x")
-    parsed = workbooks.read_workbooks(spark, str(tmp_path))
+    parsed = stored(workbooks.read_workbooks(spark, str(tmp_path)), "sheets")
     failed = workbooks.failed_files(parsed).collect()
     assert len(failed) == 1 and failed[0].workbook.endswith("broken.xlsx")
     result = evaluate_workbooks(workbooks.good_rows(parsed))
@@ -128,14 +129,16 @@ def test_stream_equals_batch(spark, tmp_path):
 def test_two_tables(spark):
     schema = "record_id string, field string, value string"
     truth = spark.createDataFrame([("1", "f", "a"), ("2", "f", "b"), ("3", "f", None)], schema)
+    truth = truth.unionByName(spark.createDataFrame([(None, "f", "n")], schema))
     predicted = spark.createDataFrame([("1", "f", "a"), ("3", "f", "c"), ("4", "f", "d")], schema)
     pairs, lost = joins.align_tables(truth, predicted, ["record_id", "field"])
     assert {(r.record_id, r.correct, r.predicted) for r in pairs.collect()} == {
-        ("1", "a", "a"), ("2", "b", None), ("3", None, "c")
+        ("1", "a", "a"), ("2", "b", None), ("3", None, "c"), (None, "n", None)
     }
     assert {(r.record_id, r.missing_in) for r in lost.collect()} == {
-        ("2", "prediction"), ("4", "truth")
+        ("2", "prediction"), ("4", "truth"), (None, "prediction")
     }
+    assert joins.repeated_keys(truth, ["field"]).first().n == 4
 
 
 def test_headed_csv(spark, tmp_path):
