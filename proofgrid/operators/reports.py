@@ -241,12 +241,12 @@ def overall_report(scores: DataFrame, overall: DataFrame, n: int = 3) -> DataFra
     """Text report as rows: overall, one row per field, and its first mismatches."""
     fields = aggregate.field_evaluation(scores).join(overall, BLOCK)
     head = fields.select(
-        *BLOCK, "field", F.lit(0).alias("rank"), "accuracy", "exact_matches", "total_records",
+        *BLOCK, "field", F.lit(0).cast("bigint").alias("rank"), "accuracy", "exact_matches", "total_records",
         "mismatched", F.greatest(F.col("mismatched") - n, F.lit(0)).alias("more"),
         "overall_accuracy",
     )
     items = aggregate.first_mismatches(scores, n).select(
-        *BLOCK, "field", "rank", "correct", "predicted"
+        *BLOCK, "field", F.col("rank").cast("bigint").alias("rank"), "correct", "predicted"
     )
     return head.unionByName(items, allowMissingColumns=True)
 
