@@ -11,6 +11,7 @@ from proofgrid.operators.joins import sliced_join
 from proofgrid.operators.ordered import carry_forward, number_rows
 from proofgrid.plans import certificate
 from proofgrid.plans.storage import stored
+from proofgrid.sources.tables import spread
 
 # Small chunks, so that the chunked scans really work in several chunks on the test tables.
 CFG = ScoringConfig(chunk_rows=100, hot_splits=4)
@@ -162,8 +163,10 @@ ALL_KINDS = ("vertical", "horizontal", "single", "plain", "bare", "answer", "bad
 
 
 def sheets(spark: SparkSession, folder: str, *kinds: str) -> DataFrame:
-    customer = table(spark, folder, "customer").select(
-        "c_custkey", "c_name", "c_nationkey", "c_mktsegment"
+    customer = spread(
+        table(spark, folder, "customer").select(
+            "c_custkey", "c_name", "c_nationkey", "c_mktsegment"
+        )
     )
     text = " union all ".join(sheet_sql(k, "spark") for k in kinds)
     return spark.sql(

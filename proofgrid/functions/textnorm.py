@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 
 from pyspark.sql import Column, functions as F
@@ -45,7 +46,9 @@ def is_blank(value: Column | str) -> Column:
 
 def contains_any(value: Column | str, keywords) -> Column:
     """True when the text holds one of the keywords; null counts as holding none."""
-    hit = F.lit(False)
-    for word in keywords:
-        hit = hit | F.contains(text(value), F.lit(word))
-    return hit
+    return F.rlike(text(value), F.lit("|".join(map(re.escape, keywords))))
+
+
+def has_text(values: Column) -> Column:
+    """True when a cell of the array holds more than white space; null cells do not count."""
+    return F.rlike(F.array_join(values, ""), F.lit(f"[^{WHITESPACE}]"))

@@ -15,7 +15,7 @@ from proofgrid.functions.modelnames import (
     from_text,
     is_model_cell,
 )
-from proofgrid.functions.textnorm import contains_any, is_blank, strip, text
+from proofgrid.functions.textnorm import contains_any, has_text, is_blank, text
 from proofgrid.operators.joins import sliced_join
 
 DEFAULT = ScoringConfig()
@@ -58,28 +58,37 @@ def cell(position, values: str | Column = "values") -> Column:
     return F.get(values, position)
 
 
-def count_cells(predicate, values="values") -> Column:
-    return F.size(F.filter(F.col(values) if isinstance(values, str) else values, predicate))
+def has_content(values: Column) -> Column:
+    return has_text(values)
 
 
-def has_content(values: Column) -> Column:
-    return F.exists(values, lambda v: ~is_blank(v))
+def _names_model(values: Column) -> Column:
+    """Cheap test on the whole row; only rows that pass it are looked at cell by cell."""
+    return is_model_cell(F.array_join(values, "\n"))
 
 
 def model_cell_of(values: Column) -> Column:
     """The first cell of a row that names a model, stripped; null when there is none."""
-    return F.get(F.filter(F.transform(values, lambda v: strip(text(v))), is_model_cell), F.lit(0))
+    return F.when(_names_model(values), F.get(F.filter(values, is_model_cell), F.lit(0)))
+
+
+def model_cells_in(values: Column) -> Column:
+    return F.when(_names_model(values), F.size(F.filter(values, is_model_cell))).otherwise(0)
 
 
 def header_words_in(values: Column, words=HEADER_WORDS) -> Column:
-    return F.size(F.filter(values, lambda v: contains_any(v, words)))
+    """Cells that hold a header word; rows without any such word are settled by one test."""
+    return F.when(
+        contains_any(F.array_join(values, "\n"), words),
+        F.size(F.filter(values, lambda v: contains_any(v, words))),
+    ).otherwise(0)
 
 
 def model_census(rows: DataFrame) -> DataFrame:
     """Model-naming cells per workbook; more than one makes the sheet a multi-model grid."""
     return (
         rows.groupBy("workbook")
-        .agg(F.sum(count_cells(is_model_cell)).alias("model_cells"))
+        .agg(F.sum(model_cells_in(F.col("values"))).alias("model_cells"))
         .withColumn("is_multi_model", F.col("model_cells") > 1)
     )
 
