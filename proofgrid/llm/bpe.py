@@ -16,6 +16,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -147,17 +148,45 @@ class Scan:
         self.counts = np.diff(np.searchsorted(self.starts, edges), prepend=0)
 
 
-def _slices(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, list[str]]]:
-    """Offsets and texts of consecutive rows, about ``SLICE_CHARS`` characters at a time."""
-    texts, first, size = [], 0, 0
-    for row, value in enumerate(column):
-        texts.append(value.as_py() or "")
-        size += len(texts[-1])
+def _slices(texts: list[str]) -> Iterator[list[str]]:
+    """Consecutive texts, about ``SLICE_CHARS`` characters at a time."""
+    part, size = [], 0
+    for value in texts:
+        part.append(value)
+        size += len(value)
         if size >= SLICE_CHARS:
-            yield first, texts
-            texts, first, size = [], row + 1, 0
-    if texts:
-        yield first, texts
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
+def _pack(texts: list[str]) -> bytes:
+    """Compressed: how many, their lengths in bytes, the bytes."""
+    parts = [t.encode() for t in texts]
+    sizes = np.array([len(parts), *map(len, parts)], np.int64)
+    return zstandard.compress(sizes.tobytes() + b"".join(parts), 3)
+
+
+def _unpack(blob: bytes) -> list[str]:
+    raw = zstandard.decompress(blob)
+    n = int(np.frombuffer(raw, np.int64, 1)[0])
+    ends = np.concatenate([[0], np.cumsum(np.frombuffer(raw, np.int64, n, 8))]) + 8 * (n + 1)
+    return [raw[a:b].decode() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+
+def _pack_ids(lists: list[list[int]]) -> bytes:
+    """Compressed: lengths and ids, byte planes of like places together."""
+    flat = [len(lists), *map(len, lists)]
+    for ids in lists:
+        flat.extend(ids)
+    return zstandard.compress(np.ascontiguousarray(np.array(flat, "<i4").view(np.uint8).reshape(-1, 4).T).tobytes(), 3)
+
+
+def _unpack_ids(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(4, -1)
+    flat = np.ascontiguousarray(planes.T).view("<i4").ravel()
+    return flat[1 : flat[0] + 1], flat[flat[0] + 1 :]
 
 
 def encode(docs: DataFrame, ranks: bytes, doc_id: str = "doc_id", text: str = "text",
@@ -166,83 +195,115 @@ def encode(docs: DataFrame, ranks: bytes, doc_id: str = "doc_id", text: str = "t
 
     Each match of ``PATTERN`` is encoded by itself. Null and empty texts have no ids; repeated rows are encoded
     one by one; other columns are not read.
+
+    Texts, words and ids travel compressed: a row holds the texts of a block from one task, the words of a block
+    that fall into one share of all words, or their ids in the same order.
     """
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(ranks)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     whole = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     n_bytes = whole.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(2 * parts, math.ceil(n_bytes / block_bytes))
+    blocks, shares = max(2 * parts, math.ceil(n_bytes / block_bytes)), 2 * parts
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")
-    dealt = whole.withColumn("block", block).repartition("block")
+    kind = docs.schema[doc_id].dataType.simpleString()
 
-    def distinct_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, set[str]] = {}
+    def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             numbers = batch["block"].to_numpy(zero_copy_only=False)
-            for number in np.unique(numbers):
-                words = seen.setdefault(int(number), set())
-                for _, texts in _slices(batch["text"].filter(pa.array(numbers == number))):
-                    scan = Scan(texts)
-                    _, first = np.unique(scan.keys, return_index=True)
-                    joined = scan.joined
-                    words.update(
-                        joined[a:b] for a, b in zip(scan.starts[first].tolist(), scan.ends[first].tolist(), strict=True)
-                    )
-        for number, words in seen.items():
-            yield pa.RecordBatch.from_pydict(
-                {"block": pa.array(np.full(len(words), number, np.int32)), "word": pa.array(list(words), pa.string())}
-            )
+            order = np.argsort(numbers, kind="stable")
+            found, first = np.unique(numbers[order], return_index=True)
+            groups = np.split(order, first[1:])
+            ids, texts = batch["doc_id"], batch["text"].to_pylist()
+            yield pa.RecordBatch.from_pydict({
+                "block": pa.array(found),
+                "ids": pa.ListArray.from_arrays(
+                    pa.array(np.append(first, len(order)).astype(np.int32)), ids.take(pa.array(order))
+                ),
+                "texts": pa.array([_pack([texts[i] for i in group]) for group in groups], pa.binary()),
+            })
+
+    def scans(blobs: Iterable[bytes]) -> Iterator[Scan]:
+        for blob in blobs:
+            for part in _slices(_unpack(blob)):
+                yield Scan(part)
+
+    def in_order(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct keys by (share, key), and their shares."""
+        keys = np.unique(keys)
+        share = (keys % np.uint64(shares)).astype(np.int32)
+        order = np.argsort(share, kind="stable")
+        return keys[order], share[order]
+
+    def distinct_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blobs: dict[int, list[bytes]] = {}
+        for batch in batches:
+            for number, blob in zip(batch["block"].to_pylist(), batch["texts"].to_pylist(), strict=True):
+                blobs.setdefault(number, []).append(blob)
+        while blobs:
+            number, held_blobs = blobs.popitem()
+            words: dict[int, str] = {}
+            for scan in scans(held_blobs):
+                keys, first = np.unique(scan.keys, return_index=True)
+                for key, a, b in zip(keys.tolist(), scan.starts[first].tolist(), scan.ends[first].tolist(), strict=True):
+                    if key not in words:
+                        words[key] = scan.joined[a:b]
+            keys, share = in_order(np.fromiter(words, np.uint64, len(words)))
+            found, first = np.unique(share, return_index=True)
+            lists = np.split(keys, first[1:]) if len(found) else []
+            yield pa.RecordBatch.from_pydict({
+                "block": pa.array(np.full(len(found), number, np.int32)), "share": pa.array(found),
+                "words": pa.array([_pack([words[k] for k in part.tolist()]) for part in lists], pa.binary()),
+            })
 
     def encode_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding, known = _encoding(held.value), {}
         for batch in batches:
-            words = batch["word"].to_pylist()
-            new = [w for w in dict.fromkeys(words) if w not in known]
-            known.update(zip(new, encoding.encode_ordinary_batch(new, num_threads=1), strict=True))
-            ids = pa.array([known[w] for w in words], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch["block"], batch["word"], ids], ["block", "word", "ids"])
+            out = []
+            for blob in batch["words"].to_pylist():
+                words = _unpack(blob)
+                new = [w for w in words if w not in known]
+                known.update(zip(new, encoding.encode_ordinary_batch(new, num_threads=1), strict=True))
+                out.append(_pack_ids([known[w] for w in words]))
+            yield pa.RecordBatch.from_arrays(
+                [batch["block"], batch["share"], pa.array(out, pa.binary())], ["block", "share", "coded"]
+            )
 
     def put_back(texts: pa.Table, entries: pa.Table) -> pa.Table:
-        lists = entries["ids"].combine_chunks()
+        blobs = texts["texts"].to_pylist()
+        parts = [_unpack_ids(b) for b in entries.sort_by("share")["coded"].to_pylist()]
         by_word = Ragged(
-            lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32),
-            lists.value_lengths().to_numpy(zero_copy_only=False),
+            np.concatenate([ids for _, ids in parts]) if parts else np.zeros(0, np.int32),
+            np.concatenate([sizes for sizes, _ in parts]) if parts else np.zeros(0, np.int64),
         )
-        number = pd.Index(_word_keys(entries["word"].to_pylist()))
-        sizes, flats = [], [np.zeros(0, np.int32)]
-        for _, part in _slices(texts["text"]):
-            scan = Scan(part)
+        keys, _ = in_order(np.concatenate([np.zeros(0, np.uint64), *(np.unique(s.keys) for s in scans(blobs))]))
+        if len(keys) != len(by_word.lengths):
+            raise ValueError("words and ids of a block differ")
+        number = pd.Index(keys)
+        sizes, flats = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+        for scan in scans(blobs):
             flat, lengths = by_word.pick(number.get_indexer(scan.keys))
             upto = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(scan.counts)])]
-            flats.append(flat)
+            flats.append(flat.astype(np.int32))
             sizes.append(np.diff(upto))
-        ends = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]) if sizes else np.zeros(1)
-        ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate(flats)))
-        return pa.table({"doc_id": texts["doc_id"], "ids": ids})
-
-    kind = docs.schema[doc_id].dataType.simpleString()
-    words = dealt.mapInArrow(distinct_words, "block int, word string")
-    coded = words.repartition("word").mapInArrow(encode_words, "block int, word string, ids array<int>")
+        ends = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
+        doc_ids = [chunk.flatten() for chunk in texts["ids"].chunks]
+        return pa.table({
+            "doc_id": pa.chunked_array(doc_ids).combine_chunks(),
+            "ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(flats))),
+        })
+
+    dealt = (
+        whole.select("doc_id", "text", block.alias("block"))
+        .mapInArrow(gather, f"block int, ids array<{kind}>, texts binary").repartition("block")
+    )
+    words = dealt.mapInArrow(distinct_words, "block int, share int, words binary")
+    coded = words.repartition("share").mapInArrow(encode_words, "block int, share int, coded binary")
     return dealt.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(
         put_back, f"doc_id {kind}, ids array<int>"
     )
 
 
-def _word_keys(words: list[str]) -> np.ndarray:
-    """The keys that ``Scan`` gives these words."""
-    joined = "".join(words)
-    points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
-    ends = np.cumsum([len(w) for w in words], dtype=np.int64)
-    starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
-    up, down = _powers(1 << max(16, int(max(1, len(points)) - 1).bit_length()))
-    sums = np.zeros(len(points) + 1, np.uint64)
-    np.cumsum((points + np.uint32(7)).astype(np.uint64) * up[: len(points)], out=sums[1:])
-    keys = (sums[ends] - sums[starts]) * down[starts]
-    keys ^= keys >> np.uint64(31)
-    return keys * PRIME
-
-
 def decode(coded: DataFrame, ranks: bytes, digest: bool = False) -> DataFrame:
     """doc_id, n_tokens and the decoded bytes, or with ``digest`` the SHA-256 of the decimal ids and of the bytes.
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from proofgrid.llm import bpe, chat, packing, quality, sharding
+from proofgrid.llm import bpe, chat, hamming, packing, quality, sharding
 from proofgrid.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,10 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.query(table(spark, sf_dir, "documents"), ranks)
 
 
+def op4_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -35,7 +39,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = (op1_packing, op2_byte_bpe, op5_sharding, op7_chat_formatting, op8_quality_rules)
+    own = (op1_packing, op2_byte_bpe, op4_embedding_near_duplicates, op5_sharding, op7_chat_formatting, op8_quality_rules)
     return {f.__name__: f for f in own}
 
 
