@@ -20,13 +20,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from proofgrid.llm.hashing import span_keys
+
 BLOCK_BYTES = 24 << 20
 SLICE_CHARS = 2 << 20
 # The pattern that the scanner below follows, and the endings it splits off after an apostrophe.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 EDGE, LETTER, NUMBER, OTHER, SPACE = range(5)
-PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
 def read_ranks(path: str) -> bytes:
@@ -91,15 +92,6 @@ def _classes() -> np.ndarray:
     return kinds
 
 
-@lru_cache(maxsize=1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """PRIME to the power of 0 .. n-1 modulo 2**64, and the inverses."""
-    inverse = np.uint64(pow(int(PRIME), -1, 1 << 64))
-    up, down = np.full(n, PRIME), np.full(n, inverse)
-    up[:1] = down[:1] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
-
-
 class Scan:
     """The pre-tokens of some texts: where they start and end in ``joined``, their keys, and texts' token counts.
 
@@ -139,12 +131,7 @@ class Scan:
         bounds = np.flatnonzero(start)
         token = kind[bounds[:-1]] != EDGE
         self.starts, self.ends = bounds[:-1][token], bounds[1:][token]
-        up, down = _powers(1 << max(16, int(n - 1).bit_length()))
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((points + np.uint32(7)).astype(np.uint64) * up[:n], out=sums[1:])
-        keys = (sums[self.ends] - sums[self.starts]) * down[self.starts]
-        keys ^= keys >> np.uint64(31)
-        self.keys = keys * PRIME
+        self.keys = span_keys(points, self.starts, self.ends)
         self.counts = np.diff(np.searchsorted(self.starts, edges), prepend=0)
 
 

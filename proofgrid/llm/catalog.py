@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from proofgrid.llm import bpe, chat, hamming, packing, quality, sharding
+from proofgrid.llm import bpe, chat, hamming, packing, quality, sharding, sigtree
 from proofgrid.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sigtree.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.query(table(spark, sf_dir, "conversations"))
 
@@ -39,7 +43,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = (op1_packing, op2_byte_bpe, op4_embedding_near_duplicates, op5_sharding, op7_chat_formatting, op8_quality_rules)
+    own = (op1_packing, op2_byte_bpe, op4_embedding_near_duplicates, op5_sharding, op6_ngram_jaccard_join, op7_chat_formatting, op8_quality_rules)
     return {f.__name__: f for f in own}
 
 
