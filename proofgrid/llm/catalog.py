@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from proofgrid.llm import bpe, chat, hamming, packing, quality, sharding, sigtree
+from proofgrid.llm import bpe, chat, crf, hamming, langid, licences, packing, quality, sharding, sigtree
 from proofgrid.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +23,10 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.query(table(spark, sf_dir, "documents"), ranks)
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.query(table(spark, sf_dir, "documents"))
+
+
 def op4_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hamming.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -42,8 +47,28 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.query(table(spark, sf_dir, "documents"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.documents(table(spark, sf_dir, "documents"))
+
+
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crf.extract(table(spark, sf_dir, "pages"))
+
+
+def language_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.query_pages(table(spark, sf_dir, "pages"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
-    own = (op1_packing, op2_byte_bpe, op4_embedding_near_duplicates, op5_sharding, op6_ngram_jaccard_join, op7_chat_formatting, op8_quality_rules)
+    own = (
+        op1_packing, op2_byte_bpe, op3_language_id, op4_embedding_near_duplicates, op5_sharding,
+        op6_ngram_jaccard_join, op7_chat_formatting, op8_quality_rules, op9_license_scan, op10_html_extraction,
+        language_of_pages, pipeline,
+    )
     return {f.__name__: f for f in own}
 
 
