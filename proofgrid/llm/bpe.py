@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from proofgrid.llm.hashing import span_keys
 
 BLOCK_BYTES = 24 << 20
-SLICE_CHARS = 2 << 20
+SLICE_CHARS = 1 << 20
 # The pattern that the scanner below follows, and the endings it splits off after an apostrophe.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
@@ -162,12 +162,11 @@ def _unpack(blob: bytes) -> list[str]:
     return [raw[a:b].decode() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
-def _pack_ids(lists: list[list[int]]) -> bytes:
-    """Compressed: lengths and ids, byte planes of like places together."""
-    flat = [len(lists), *map(len, lists)]
-    for ids in lists:
-        flat.extend(ids)
-    return zstandard.compress(np.ascontiguousarray(np.array(flat, "<i4").view(np.uint8).reshape(-1, 4).T).tobytes(), 3)
+def _pack_ids(lists: list[bytes]) -> bytes:
+    """Compressed: lengths and ids (four bytes each), byte planes of like places together."""
+    sizes = np.array([len(lists), *(len(ids) // 4 for ids in lists)], "<i4")
+    flat = np.frombuffer(sizes.tobytes() + b"".join(lists), np.uint8)
+    return zstandard.compress(np.ascontiguousarray(flat.reshape(-1, 4).T).tobytes(), 3)
 
 
 def _unpack_ids(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -191,7 +190,7 @@ def encode(docs: DataFrame, ranks: bytes, doc_id: str = "doc_id", text: str = "t
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     whole = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     n_bytes = whole.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks, shares = max(2 * parts, math.ceil(n_bytes / block_bytes)), 2 * parts
+    blocks, shares = max(2 * parts, math.ceil(n_bytes / block_bytes)), 4 * parts
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")
     kind = docs.schema[doc_id].dataType.simpleString()
 
@@ -244,13 +243,16 @@ def encode(docs: DataFrame, ranks: bytes, doc_id: str = "doc_id", text: str = "t
             })
 
     def encode_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding, known = _encoding(held.value), {}
+        encoding, known, at = _encoding(held.value), {}, None
         for batch in batches:
             out = []
-            for blob in batch["words"].to_pylist():
+            for share, blob in zip(batch["share"].to_pylist(), batch["words"].to_pylist(), strict=True):
+                if share != at:
+                    known, at = {}, share
                 words = _unpack(blob)
                 new = [w for w in words if w not in known]
-                known.update(zip(new, encoding.encode_ordinary_batch(new, num_threads=1), strict=True))
+                coded = encoding.encode_ordinary_batch(new, num_threads=1)
+                known.update((w, np.array(ids, "<i4").tobytes()) for w, ids in zip(new, coded, strict=True))
                 out.append(_pack_ids([known[w] for w in words]))
             yield pa.RecordBatch.from_arrays(
                 [batch["block"], batch["share"], pa.array(out, pa.binary())], ["block", "share", "coded"]
@@ -282,10 +284,10 @@ def encode(docs: DataFrame, ranks: bytes, doc_id: str = "doc_id", text: str = "t
 
     dealt = (
         whole.select("doc_id", "text", block.alias("block"))
-        .mapInArrow(gather, f"block int, ids array<{kind}>, texts binary").repartition("block")
+        .mapInArrow(gather, f"block int, ids array<{kind}>, texts binary").repartition(parts, "block")
     )
     words = dealt.mapInArrow(distinct_words, "block int, share int, words binary")
-    coded = words.repartition("share").mapInArrow(encode_words, "block int, share int, coded binary")
+    coded = words.repartition(parts, "share").sortWithinPartitions("share").mapInArrow(encode_words, "block int, share int, coded binary")
     return dealt.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(
         put_back, f"doc_id {kind}, ids array<int>"
     )
