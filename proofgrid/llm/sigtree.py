@@ -87,7 +87,8 @@ def features(docs: DataFrame, percent: int) -> DataFrame:
                 load = counts[_cell(keys)]
                 chosen = np.argsort(load, kind="stable")[:take]
                 prefix.append(keys[chosen])
-                slices.append((hash(doc) & 0x7FFFFFFF) % (1 + load[chosen] // HOT_CELL))
+                over = load[chosen] // HOT_CELL
+                slices.append(np.where(over > 0, (hash(doc) & 0x7FFFFFFF) % (1 + over), -1))
                 ends.append(ends[-1] + take)
             keys = pa.StructArray.from_arrays(
                 [pa.array(np.concatenate(prefix).view(np.int64)), pa.array(np.concatenate(slices).astype(np.int32))],
@@ -107,7 +108,8 @@ def features(docs: DataFrame, percent: int) -> DataFrame:
 def shared_keys(rows: DataFrame) -> DataFrame:
     """Rows (key, slice, doc, n) of keys that several sets have, with the first set of the slice and its size.
 
-    Rows come sorted by key; a run is passed on as it is read.
+    Rows come sorted by key; a run is passed on as it is read. Slice -1 means that all sets of the key are in the
+    run; rows of other slices are always passed on.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,10 +130,10 @@ def shared_keys(rows: DataFrame) -> DataFrame:
             first = np.maximum.accumulate(np.where(start, np.arange(len(start)), 0))
             leader, leader_n = rows["doc"][first], rows["n"][first]
             follows = np.append(~start[1:], False)
-            out = ~start | follows
+            out = ~start | follows | (rows["slice"] >= 0)
             if old:
                 leader[first == 0], leader_n[first == 0] = held_leader, held_n
-                out[0] = follows[0] and not passed
+                out[0] = out[0] and not passed
             yield _record(rows | {"leader": leader, "leader_n": leader_n}, out)
             held = {name: rows[name][-1:] for name in names}
             held_leader, held_n, passed = leader[-1], leader_n[-1], bool(out[-1])
@@ -238,13 +240,18 @@ def tree_pairs(a: Tree, b: Tree, percent: int) -> Iterator[tuple[np.ndarray, np.
 def _cell_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs (a, b) from cells (key, p, q) of rows (doc, n, component, bits, block), sorted by cell."""
 
-    def matrix(bits: list[bytes]) -> np.ndarray:
-        size = min(map(len, bits))
-        return np.stack([fold(np.frombuffer(b, np.uint8), size) for b in bits]).view(np.uint64)
-
     def pairs(cell: dict[str, list]) -> Iterator[tuple[int, int]]:
+        # Similar sets have bitmaps of one length or of two that follow each other.
+        lengths = np.array([len(b) for b in cell["bits"]])
+        for size in np.unique(lengths):
+            rows = np.flatnonzero((lengths == size) | (lengths == 2 * size))
+            if len(rows) > 1:
+                yield from pairs_of({name: [values[i] for i in rows] for name, values in cell.items()}, int(size))
+
+    def pairs_of(cell: dict[str, list], size: int) -> Iterator[tuple[int, int]]:
         doc, n = np.array(cell["doc"], np.int64), np.array(cell["n"], np.int64)
-        group, bits = np.array(cell["component"], np.int64), matrix(cell["bits"])
+        group = np.array(cell["component"], np.int64)
+        bits = np.stack([fold(np.frombuffer(b, np.uint8), size) for b in cell["bits"]]).view(np.uint64)
         left = np.array(cell["block"]) == cell["p"][0]
         sides = [left] if cell["p"][0] == cell["q"][0] else [left, ~left]
         if not all(side.any() for side in sides):
@@ -285,9 +292,9 @@ def _cell_pairs(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def remaining_pairs(shared: DataFrame, roots: DataFrame, bits: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
-    """Candidate pairs between components that share a key, for all keys.
+    """Candidate pairs between components that share a key, for keys of three or more sets.
 
-    The sets of a key outside its largest component are its minor sets. Minor sets meet each other and all the
+    Of keys with the same sets one is enough. The sets of a key outside its largest component are its minor sets. Minor sets meet each other and all the
     rest in cells of two blocks; sets within the largest component meet only if they are minor. So a key with one
     large component costs as much as it has rows.
     """
@@ -296,13 +303,18 @@ def remaining_pairs(shared: DataFrame, roots: DataFrame, bits: DataFrame, percen
         .withColumn("component", F.coalesce("component", "doc"))
     )
     placed = stored(placed, "placed")
-    sizes = placed.groupBy("key", "component").agg(F.count("*").alias("_n"))
+    sizes = placed.groupBy("key", "component").agg(
+        F.count("*").alias("_n"), F.min("doc").alias("_low"), F.max("doc").alias("_high"),
+        F.bit_xor(F.xxhash64("doc")).alias("_mark"),
+    )
     facts = sizes.groupBy("key").agg(
         F.max_by("component", F.struct("_n", "component")).alias("main"), F.max("_n").alias("_most"),
-        F.sum("_n").alias("_all"), F.count("*").alias("_components"),
-    ).filter("_components > 1")
+        F.sum("_n").alias("_all"), F.count("*").alias("_components"), F.min("_low").alias("_low"),
+        F.max("_high").alias("_high"), F.bit_xor("_mark").alias("_mark"),
+    ).filter("_components > 1 and _all > 2")
+    once = facts.groupBy("_all", "_low", "_high", "_mark", "main", "_most").agg(F.min("key").alias("key"))
     ceil = lambda c: F.ceil(c / block).cast("int")
-    facts = facts.select(
+    facts = once.select(
         "key", "main", ceil(F.col("_all") - F.col("_most")).alias("minors"), ceil(F.col("_most")).alias("majors")
     )
     mine = placed.join(facts, "key")
@@ -317,7 +329,7 @@ def remaining_pairs(shared: DataFrame, roots: DataFrame, bits: DataFrame, percen
     )
     whole = cells.join(bits.select(F.col("doc_id").alias("doc"), "bits"), "doc")
     sorted_cells = whole.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
-    return _cell_pairs(sorted_cells, percent).distinct()
+    return _cell_pairs(sorted_cells, percent)
 
 
 def verified(pairs: DataFrame, packed: DataFrame, percent: int) -> DataFrame:
@@ -387,10 +399,12 @@ def near_duplicates(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id",
         (F.col("doc") != F.col("leader"))
         & (100 * F.least("n", "leader_n") >= percent * F.greatest("n", "leader_n"))
     ).select(F.least("leader", "doc").alias("a"), F.greatest("leader", "doc").alias("b")).distinct()
-    to_leaders = bounded(near, bits, percent).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    near = stored(bounded(near, bits, percent), "set-pairs")
+    to_leaders = near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     links = stored(verified(to_leaders, packed, percent), "set-links")
     roots = components(links)
-    rest = stored(verified(remaining_pairs(shared, roots, bits, percent), packed, percent), "set-links")
+    left = _apart(near, roots).unionByName(remaining_pairs(shared, roots, bits, percent)).distinct()
+    rest = stored(verified(left, packed, percent), "set-links")
     roots = components(links.unionByName(rest))
     named = classes.join(roots.withColumnRenamed("node", "first"), "first", "left").select(
         "n", "f1", "f2", F.coalesce("component", "first").alias("component_id")
@@ -402,6 +416,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id",
     )
 
 
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose ends are in different components."""
+    root = lambda x: roots.select(F.col("node").alias(x), F.col("component").alias(f"_{x}"))
+    placed = pairs.join(root("a"), "a", "left").join(root("b"), "b", "left")
+    return placed.filter(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
+
+
 def _packed(whole: DataFrame) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
