@@ -24,8 +24,8 @@ _LOWER[65:91] += 32
 
 
 def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed byte trigrams of all texts, and where each text's end."""
-    parts = [t.encode() for t in texts]
+    """Hashed byte trigrams of all texts with a space at both ends, and where each text's end."""
+    parts = [b" %b " % t.encode() if t else b"" for t in texts]
     data = _LOWER[np.frombuffer(b"".join(parts), np.uint8)].astype(np.uint32)
     ends = np.cumsum([len(p) for p in parts])
     where = np.ones(len(data), bool)
@@ -121,8 +121,8 @@ def identify(
 ) -> DataFrame:
     """id, key (hash of the text), lang, probability, text_lang, kept of every row.
 
-    Evidence that is missing (null, a declared language or suffix that is not known) adds nothing. A text without
-    three bytes has no likelihood and is rejected, as is one whose most probable language is unknown. Priors of a
+    Evidence that is missing (null, a declared language or suffix that is not known) adds nothing. An empty text
+    has no likelihood and is rejected, as is one whose most probable language is unknown. Priors of a
     host shrink towards its domain's, those of a domain towards all rows'; they count the languages that the texts
     alone suggest, over all rows. Repeated rows stay; other columns are not read.
     """
