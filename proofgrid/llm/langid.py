@@ -124,7 +124,7 @@ def identify(
     Evidence that is missing (null, a declared language or suffix that is not known) adds nothing. An empty text
     has no likelihood and is rejected, as is one whose most probable language is unknown. Priors of a
     host shrink towards its domain's, those of a domain towards all rows'; they count the languages that the texts
-    alone suggest, over all rows. Repeated rows stay; other columns are not read.
+    alone suggest, over all rows. Without a labelled row no language is known. Repeated rows stay; other columns are not read.
     """
     host = F.lower(F.coalesce(F.regexp_extract(address, r"^(?:\w+://)?([^/?#:]+)", 1), F.lit("")))
     labels = F.split(host, r"\.")
@@ -139,6 +139,12 @@ def identify(
     )
     names, table = fit_text(rows, sample)
     known = len(names) - 1
+    if not known:
+        nothing = F.lit(None)
+        return rows.select(
+            "id", "key", F.lit(UNKNOWN).alias("lang"), nothing.cast("double").alias("probability"),
+            nothing.cast("string").alias("text_lang"), F.lit(False).alias("kept"),
+        )
     scored = stored(_scored(rows, names, table), "language-scores")
     guess = F.when(F.col("n_grams") > 0, _best(F.col("scores")))
     guessed = scored.withColumn("guess", guess)
