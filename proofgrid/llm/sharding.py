@@ -72,6 +72,8 @@ def find_cuts(running: DataFrame, total: int, shards: int, cells: int = CELLS) -
     value. Greedy checks with the low and the high end of a cell bound the capacity from both sides; the next
     round divides only the cells in which these checks part.
     """
+    if cells < 8 * shards:
+        raise ValueError("too few cells to divide the ranges of all cuts")
     if not total:
         return []
     low = max(-(-total // shards), int(running.agg(F.max("_bytes")).first()[0])) - 1

@@ -184,7 +184,7 @@ def smallest_capacity(sizes, shards):
 
 def test_cuts_are_minimax(spark):
     rng = random.Random(5)
-    for cells in (4, 1 << 16):
+    for cells in (64, 1 << 16):
         sizes = [rng.randint(1, 50) for _ in range(60)]
         upto = list(itertools.accumulate(sizes))
         running = spark.createDataFrame(list(zip(sizes, upto, strict=True)), "_bytes long, _upto long").cache()
