@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proofgrid.llm.common import words
+from proofgrid.plans.storage import stored
 
 SYMBOL = "[#*$%&|<>]"
 WORD_CHAR = r"[^\x20\x09-\x0D]"
@@ -110,8 +111,11 @@ def judge(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) ->
 
 
 def keep(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows of ``df`` that pass, with its own columns."""
-    return judge(df, text, rules).filter("kept").select("row.*")
+    """The rows of ``df`` that pass, with its own columns.
+
+    The verdict is written first: pushed below the projections, the filter would hold all of them many times over.
+    """
+    return stored(judge(df, text, rules), "quality").filter("kept").select("row.*")
 
 
 def query(df: DataFrame) -> DataFrame:
