@@ -149,7 +149,8 @@ def identify(
     guess = F.when(F.col("n_grams") > 0, _best(F.col("scores")))
     guessed = scored.withColumn("guess", guess)
     evidence = {
-        name: _likelihoods(guessed, name, len(names)) for name in ("declared", "suffix")
+        name: _likelihoods(guessed, name, values, len(names))
+        for name, values in (("declared", names[:-1]), ("suffix", SUFFIXES))
     }
     each = [F.count_if(F.col("guess") == i).alias(f"n{i}") for i in range(known)]
     add = lambda: [F.sum(f"n{i}").alias(f"n{i}") for i in range(known)]
@@ -189,11 +190,10 @@ def identify(
     )
 
 
-def _likelihoods(guessed: DataFrame, name: str, languages: int) -> dict[str, np.ndarray]:
-    """log P(evidence | language) for evidence values with rows, at most as many as languages or suffixes."""
+def _likelihoods(guessed: DataFrame, name: str, known: list[str], languages: int) -> dict[str, np.ndarray]:
+    """log P(evidence | language) for the ``known`` values that have rows; counts of others are not gathered."""
     found = (
-        guessed.filter(F.col(name).isNotNull() & F.col("guess").isNotNull() & (F.length(name) <= 3))
-        .groupBy(name, "guess").count().orderBy(F.desc("count"), name, "guess").limit(40 * languages).collect()
+        guessed.filter(F.col(name).isin(known) & F.col("guess").isNotNull()).groupBy(name, "guess").count().collect()
     )
     values = sorted({r[0] for r in found})
     counts = np.full((len(values), languages), 1.0)
