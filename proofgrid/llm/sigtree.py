@@ -25,6 +25,7 @@ HOT_CELL = 1 << 20  # a key of a fuller cell is dealt over several tasks
 SLICE_CHARS = 2 << 20
 BLOCK = 4096  # sets of one key that a task compares at once
 LEAF = 16
+VERIFY_BLOCK = 256  # documents of a block whose pairs are counted on whole sets
 
 
 def _cell(keys: np.ndarray) -> np.ndarray:
@@ -332,24 +333,49 @@ def remaining_pairs(shared: DataFrame, roots: DataFrame, bits: DataFrame, percen
     return _cell_pairs(sorted_cells, percent)
 
 
-def verified(pairs: DataFrame, packed: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose whole sets are similar enough; ``packed``: doc_id and the compressed text."""
+def texts_of(pairs: DataFrame, whole: DataFrame) -> DataFrame:
+    """doc_id and the compressed text of the documents that occur in stored ``pairs``; no other text moves."""
+    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "set-ids")
+    needed = whole.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return stored(_packed(needed), "set-texts")
+
+
+def verified(pairs: DataFrame, whole: DataFrame, percent: int, block: int = VERIFY_BLOCK) -> DataFrame:
+    """The stored ``pairs`` whose whole sets are similar enough; ``whole``: doc_id and text of all documents.
+
+    Documents fall into blocks of about ``block``; a pair belongs to the cell of its two blocks. A text goes once
+    to each cell where it has a pair, and its set is made once there, however many pairs it has.
+    """
+    texts = texts_of(pairs, whole)
+    blocks = -(-texts.count() // block) or 1
+    part = lambda name: F.pmod(F.xxhash64(name), F.lit(blocks)).cast("int")
+    placed = pairs.select(part("a").alias("p"), part("b").alias("q"), "a", "b")
+    members = (
+        placed.select("p", "q", F.explode(F.array("a", "b")).alias("doc_id")).distinct().join(texts, "doc_id")
+        .select("p", "q", F.col("doc_id").alias("a"), F.lit(None).cast("long").alias("b"), "packed")
+    )
+    rows = members.unionByName(placed.withColumn("packed", F.lit(None).cast("binary")))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, sets = None, {}
         for batch in batches:
-            keep, last, mine = [], None, None
-            for x, y in zip(batch["x"].to_pylist(), batch["y"].to_pylist(), strict=True):
-                if y != last:
-                    last, mine = y, shingle_sets([zstandard.decompress(y).decode()])[0]
-                other = shingle_sets([zstandard.decompress(x).decode()])[0]
-                common = len(np.intersect1d(mine, other, assume_unique=True))
-                keep.append(100 * common >= percent * (len(mine) + len(other) - common))
-            out = pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"])
-            yield out.filter(pa.array(keep, pa.bool_()))
-
-    first = packed.select(F.col("doc_id").alias("a"), F.col("packed").alias("x"))
-    second = packed.select(F.col("doc_id").alias("b"), F.col("packed").alias("y"))
-    return pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+            found: list[tuple[int, int]] = []
+            columns = (batch[name].to_pylist() for name in ("p", "q", "a", "b", "packed"))
+            for p, q, a, b, packed in zip(*columns, strict=True):
+                if (p, q) != at:
+                    at, sets = (p, q), {}
+                if b is None:
+                    sets[a] = shingle_sets([zstandard.decompress(packed).decode()])[0]
+                    continue
+                common = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+                if 100 * common >= percent * (len(sets[a]) + len(sets[b]) - common):
+                    found.append((a, b))
+            left, right = zip(*found, strict=True) if found else ((), ())
+            yield pa.RecordBatch.from_pydict({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
+
+    # Null sorts first: a cell's texts come before its pairs.
+    dealt = rows.repartition("p", "q").sortWithinPartitions("p", "q", F.asc_nulls_first("b"))
+    return dealt.select("p", "q", "a", "b", "packed").mapInArrow(run, "a long, b long")
 
 
 def bounded(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
@@ -389,9 +415,6 @@ def near_duplicates(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id",
         "shared-keys",
     )
     involved = shared.select(F.col("doc").alias("doc_id")).distinct()
-    packed = stored(
-        _packed(whole).join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "set-texts"
-    )
     bits = stored(
         feats.select("doc_id", "n", "bits").join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "set-bits"
     )
@@ -400,11 +423,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id",
         & (100 * F.least("n", "leader_n") >= percent * F.greatest("n", "leader_n"))
     ).select(F.least("leader", "doc").alias("a"), F.greatest("leader", "doc").alias("b")).distinct()
     near = stored(bounded(near, bits, percent), "set-pairs")
-    to_leaders = near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = stored(verified(to_leaders, packed, percent), "set-links")
+    to_leaders = stored(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "set-pairs")
+    links = stored(verified(to_leaders, whole, percent), "set-links")
     roots = components(links)
     left = _apart(near, roots).unionByName(remaining_pairs(shared, roots, bits, percent)).distinct()
-    rest = stored(verified(left, packed, percent), "set-links")
+    rest = stored(verified(stored(left, "set-pairs"), whole, percent), "set-links")
     roots = components(links.unionByName(rest))
     named = classes.join(roots.withColumnRenamed("node", "first"), "first", "left").select(
         "n", "f1", "f2", F.coalesce("component", "first").alias("component_id")
