@@ -24,6 +24,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group stays; documents without an id or words stay."""
     copies = sigtree.near_duplicates(docs).filter("component_id <> doc_id").select("doc_id").distinct()
+    copies = stored(copies, "copies")  # its size is then known: few ids are broadcast, and no text is shuffled
     return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
 
 

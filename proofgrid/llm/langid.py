@@ -223,5 +223,6 @@ def query_pages(df: DataFrame) -> DataFrame:
 def keep(df: DataFrame) -> DataFrame:
     """The rows of ``df`` in a known language, with its own columns."""
     rejected = documents(df).filter("not kept").select(F.col("id").alias("_id"), F.col("key").alias("_key")).distinct()
+    rejected = stored(rejected, "language-rejected")  # its size is then known: few rows are broadcast
     key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
     return df.join(rejected, F.col("doc_id").eqNullSafe(F.col("_id")) & (key == F.col("_key")), "left_anti")
