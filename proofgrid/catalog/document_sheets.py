@@ -69,7 +69,7 @@ def document_sheets(spark: SparkSession, folder: str) -> DataFrame:
     return spark.sql(_statement(True).replace("from orders", "from {orders}"), orders=orders)
 
 
-GRID = f"grid as ({_statement(False)})"
+GRID = f"grid as materialized ({_statement(False)})"
 HEADER_CTE = """columns_ as (
   select m.workbook, i - 1 as col_idx, trim(coalesce(m.vals[i], '')) as m,
     trim(coalesce(f.vals[i], '')) as f

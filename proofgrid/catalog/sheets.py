@@ -177,16 +177,17 @@ def sheets(spark: SparkSession, folder: str, *kinds: str) -> DataFrame:
 
 def grid_cte(*kinds: str) -> str:
     text = " union all ".join(sheet_sql(k, "duckdb") for k in kinds)
-    return f"grid as ({text})"
+    return f"grid as materialized ({text})"
 
 
 MODEL_RE = "gemini|gemma|chatgpt|claude|gpt|llama|palm|bard"
 WORDS_RE = "編號|受編|障礙|類別|ICD|備註|證明|手冊|解答|LLM|辨識"
 SHORT_RE = "編號|受編|障礙|類別|ICD|備註|證明|手冊"
 
-CELL_CTE = """cells as (
-  select workbook, row_idx, i - 1 as col_idx, vals[i] as value
-  from (select *, unnest(range(1, len(vals) + 1)) as i from grid) where vals[i] is not null)"""
+CELL_CTE = """cells as materialized (
+  select workbook, row_idx, i - 1 as col_idx, value
+  from (select workbook, row_idx, unnest(vals) as value, generate_subscripts(vals, 1) as i from grid)
+  where value is not null)"""
 
 
 def joined(values: str) -> Column:
@@ -228,7 +229,7 @@ HEADER_CTE = f"""scored as (
     count(*) filter (where regexp_matches(value, '{WORDS_RE}')) as n,
     bool_or(contains(value, '編號')) and bool_or(contains(value, '受編')) as ids
   from cells where row_idx < 5 group by all),
-heads as (
+heads as materialized (
   select workbook, min(row_idx) as header_row from scored
   where (ids and n >= 4) or n >= 6 group by all)"""
 SINGLE_KINDS = ("single", "plain", "bare", "answer", "bad")

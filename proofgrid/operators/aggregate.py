@@ -263,22 +263,27 @@ def document_record_evaluation(scores: DataFrame) -> DataFrame:
 
 
 def document_cases(scores: DataFrame) -> DataFrame:
-    """One row per model, case and field: of rows with the same case the last one counts."""
+    """One row per model, case and field: of rows with the same case the last one counts.
+
+    ``row_idx`` tells the rows of a sheet apart.
+    """
     kept = scores.filter(F.col("correct").isNotNull() | F.col("predicted").isNotNull())
-    last = F.max_by(
-        F.struct("is_exact_match", "cer", "wer", "correct", "predicted", "field_order"), "row_idx"
-    )
+    # One aggregate per column: who leaves out the texts gets a hash aggregate without them.
+    last = [
+        F.max_by(name, "row_idx").alias(f"_{name}")
+        for name in ("is_exact_match", "cer", "wer", "correct", "predicted", "field_order")
+    ]
     return (
         kept.groupBy("workbook", "model", "case_id", "field")
-        .agg(last.alias("_r"), F.min("row_idx").alias("first_row"))
+        .agg(*last, F.min("row_idx").alias("first_row"))
         .select(
             "workbook", "model", "case_id", "field", "first_row",
-            F.col("_r.field_order").alias("field_order"),
-            percent_exact(F.col("_r.is_exact_match")).alias("accuracy"),
-            percent_accuracy(F.col("_r.cer")).alias("cer_accuracy"),
-            percent_accuracy(F.col("_r.wer")).alias("wer_accuracy"),
-            F.coalesce("_r.predicted", F.lit("")).alias("ai_value"),
-            F.coalesce("_r.correct", F.lit("")).alias("human_value"),
+            F.col("_field_order").alias("field_order"),
+            percent_exact(F.col("_is_exact_match")).alias("accuracy"),
+            percent_accuracy(F.col("_cer")).alias("cer_accuracy"),
+            percent_accuracy(F.col("_wer")).alias("wer_accuracy"),
+            F.coalesce("_predicted", F.lit("")).alias("ai_value"),
+            F.coalesce("_correct", F.lit("")).alias("human_value"),
         )
     )
 
@@ -301,25 +306,14 @@ def document_cases_nested(cases: DataFrame) -> DataFrame:
 # --- first rows and last wins --------------------------------------------------------------------
 
 
-def first_mismatches(
-    scores: DataFrame, n: int = 3, keys: list[str] = BLOCK, slices: int = 64
-) -> DataFrame:
+def first_mismatches(scores: DataFrame, n: int = 3, keys: list[str] = BLOCK) -> DataFrame:
     """The first ``n`` mismatches per field in row order.
 
-    Each slice of a field keeps its own first ``n`` before the slices of a field meet.
+    Spark keeps the first ``n`` of a field in each task before the shuffle, so a hot field is small after it.
     """
-    found = scores.filter("is_mismatch").withColumn(
-        "_slice", F.pmod(F.xxhash64("row_idx"), F.lit(slices))
-    )
-    local = Window.partitionBy(*keys, "field", "_slice").orderBy("row_idx")
-    overall = Window.partitionBy(*keys, "field").orderBy("row_idx")
-    return (
-        found.withColumn("rank", F.row_number().over(local))
-        .filter(F.col("rank") <= n)
-        .withColumn("rank", F.row_number().over(overall))
-        .filter(F.col("rank") <= n)
-        .drop("_slice")
-    )
+    in_order = Window.partitionBy(*keys, "field").orderBy("row_idx")
+    ranked = scores.filter("is_mismatch").withColumn("rank", F.row_number().over(in_order))
+    return ranked.filter(F.col("rank") <= n)
 
 
 def last_wins(df: DataFrame, keys: list[str], order: str, values: list[str]) -> DataFrame:

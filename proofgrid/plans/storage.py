@@ -4,12 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 
-from proofgrid.config import ScoringConfig
-
 
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's ``spark.checkpoint.dir``; a temporary folder only where none is named."""
@@ -30,13 +27,3 @@ def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     target = path or new_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(target)
     return df.sparkSession.read.schema(df.schema).parquet(target)
-
-
-def slicing_for(workbooks: DataFrame, cfg: ScoringConfig) -> ScoringConfig:
-    """Joins without slices where a stored table shows that the workbooks are few.
-
-    What is known per workbook is then small: Spark measures its files and broadcasts it below
-    ``spark.sql.autoBroadcastJoinThreshold``. With more workbooks the sliced join stays.
-    """
-    few = workbooks.count() <= cfg.unsliced_workbooks
-    return replace(cfg, hot_splits=1) if few else cfg

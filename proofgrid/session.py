@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 # The JVM compiles no method of more than 8,000 bytes of bytecode. Scoring puts many expressions
@@ -19,3 +23,20 @@ def tune(spark: SparkSession) -> SparkSession:
     for name, value in SETTINGS.items():
         spark.conf.set(name, value)
     return spark
+
+
+_shipped: set[str] = set()  # applications that have the package
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors, once per application, so that they need no installation of it."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        package = Path(__file__).resolve().parent
+        target = Path(tempfile.mkdtemp(prefix="run-")) / "proofgrid.zip"
+        with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as archive:
+            for file in sorted(package.rglob("*.py")):
+                archive.write(file, file.relative_to(package.parent))
+        spark.sparkContext.addPyFile(str(target))
+        _shipped.add(app)
+    return spark
