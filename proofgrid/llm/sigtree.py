@@ -293,26 +293,27 @@ def _cell_pairs(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def remaining_pairs(shared: DataFrame, roots: DataFrame, bits: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
-    """Candidate pairs between components that share a key, for keys of three or more sets.
+    """Candidate pairs between components that share a key, for keys of three or more sets and for dealt keys.
 
-    Of keys with the same sets one is enough. The sets of a key outside its largest component are its minor sets. Minor sets meet each other and all the
-    rest in cells of two blocks; sets within the largest component meet only if they are minor. So a key with one
-    large component costs as much as it has rows.
+    Two sets of one slice were compared as leader and follower; a dealt key may hold its two in different slices, so
+    it counts here as well. Of keys with the same sets one is enough. The sets of a key outside its largest component
+    are its minor sets. Minor sets meet each other and all the rest in cells of two blocks; sets within the largest
+    component meet only if they are minor. So a key with one large component costs as much as it has rows.
     """
     placed = (
-        shared.select("key", "doc", "n").join(roots.select(F.col("node").alias("doc"), "component"), "doc", "left")
+        shared.select("key", "slice", "doc", "n").join(roots.select(F.col("node").alias("doc"), "component"), "doc", "left")
         .withColumn("component", F.coalesce("component", "doc"))
     )
     placed = stored(placed, "placed")
     sizes = placed.groupBy("key", "component").agg(
         F.count("*").alias("_n"), F.min("doc").alias("_low"), F.max("doc").alias("_high"),
-        F.bit_xor(F.xxhash64("doc")).alias("_mark"),
+        F.bit_xor(F.xxhash64("doc")).alias("_mark"), F.max("slice").alias("_slice"),
     )
     facts = sizes.groupBy("key").agg(
         F.max_by("component", F.struct("_n", "component")).alias("main"), F.max("_n").alias("_most"),
         F.sum("_n").alias("_all"), F.count("*").alias("_components"), F.min("_low").alias("_low"),
-        F.max("_high").alias("_high"), F.bit_xor("_mark").alias("_mark"),
-    ).filter("_components > 1 and _all > 2")
+        F.max("_high").alias("_high"), F.bit_xor("_mark").alias("_mark"), F.max("_slice").alias("_slice"),
+    ).filter("_components > 1 and (_all > 2 or _slice >= 0)")
     once = facts.groupBy("_all", "_low", "_high", "_mark", "main", "_most").agg(F.min("key").alias("key"))
     ceil = lambda c: F.ceil(c / block).cast("int")
     facts = once.select(

@@ -246,6 +246,16 @@ def test_set_join_equals_brute_force(docs, empty, monkeypatch, hot_cell, block):
         assert sigtree.near_duplicates(empty).count() == 0
 
 
+def test_hot_keys_of_two_sets_in_two_slices_link(spark, monkeypatch):
+    monkeypatch.setattr(sigtree, "HOT_CELL", 40)
+    rng = random.Random(8)
+    text = " ".join(str(rng.getrandbits(40)) for _ in range(60))
+    # The copies are one set; with its variant each of their keys has two sets, dealt to slices 0 and 1.
+    rows = [(2 * i, text) for i in range(50)] + [(101, text + " end")]
+    found = sigtree.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(found) == 51 and {r["component_id"] for r in found} == {0}
+
+
 def test_tree_drops_only_pairs_that_can_not_match():
     rng = random.Random(6)
     sets = [np.unique(np.array([rng.getrandbits(64) for _ in range(rng.randint(60, 80))], np.uint64)) for _ in range(30)]
