@@ -16,24 +16,25 @@ NAME_BREAKERS = "\\/*?:[]"
 CONTROL = "".join(chr(c) for c in range(32) if chr(c) not in "\t\n\r")
 
 
-def clean_value(value) -> Column:
-    """No control characters, no ``nan``, and an ellipsis where a cell could not hold the text."""
+def clean_value(value, sheet_limits: bool = True) -> Column:
+    """No control characters, no ``nan``, and with ``sheet_limits`` an ellipsis where a cell could not hold the text."""
     value = column(value)
     kept = F.translate(value, CONTROL, "")
-    shortened = F.when(
-        F.char_length(kept) > CELL_LIMIT,
-        F.concat(F.substring(kept, 1, CELL_KEPT), F.lit(ELLIPSIS)),
-    ).otherwise(kept)
-    return F.when(value.isNull() | (value == "") | (value == "nan"), "").otherwise(shortened)
+    if sheet_limits:
+        kept = F.when(
+            F.char_length(kept) > CELL_LIMIT,
+            F.concat(F.substring(kept, 1, CELL_KEPT), F.lit(ELLIPSIS)),
+        ).otherwise(kept)
+    return F.when(value.isNull() | (value == "") | (value == "nan"), "").otherwise(kept)
 
 
-def clean_frame(df: DataFrame) -> DataFrame:
-    """Text columns cleaned; missing numbers become the empty string, as a sheet shows them."""
+def clean_frame(df: DataFrame, sheet_limits: bool = False) -> DataFrame:
+    """Text columns cleaned, and cut only with ``sheet_limits``; missing numbers become the empty string, as a sheet shows them."""
     cleaned = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, T.StringType):
-            c = clean_value(c)
+            c = clean_value(c, sheet_limits)
         elif isinstance(f.dataType, (T.DoubleType, T.FloatType)):
             c = F.when(c.isNull() | F.isnan(c), "").otherwise(c.cast("string"))
         else:

@@ -125,14 +125,14 @@ def document_lines(cases: DataFrame, value_set_id: str | None = None) -> DataFra
     return _with_value_set(out, value_set_id, DEFAULT_DOCUMENT_VALUE_SET)
 
 
-def detailed_lines(scores: DataFrame) -> DataFrame:
-    """Per record a head line, then field lines with cleaned values, status and note."""
+def detailed_lines(scores: DataFrame, sheet_limits: bool = False) -> DataFrame:
+    """Per record a head line, then field lines with cleaned values (whole ones by default), status and note."""
     lines = _record_lines(scores, _score_columns(), KIND_RECORD)
     is_field = F.col("kind") == KIND_FIELD
     return lines.select(
         *BLOCK, "row_idx", "subject_id", "kind", "field_order", "field",
-        F.when(is_field, clean_value("correct")).alias("correct"),
-        F.when(is_field, clean_value("predicted")).alias("predicted"),
+        F.when(is_field, clean_value("correct", sheet_limits)).alias("correct"),
+        F.when(is_field, clean_value("predicted", sheet_limits)).alias("predicted"),
         "accuracy",
         F.when(is_field, labels.status_text("is_exact_match", "accuracy")).alias("status"),
         F.when(
@@ -217,8 +217,8 @@ def error_analysis(scores: DataFrame) -> DataFrame:
     )
 
 
-def original_data(df: DataFrame) -> DataFrame:
-    return clean_frame(df)
+def original_data(df: DataFrame, sheet_limits: bool = False) -> DataFrame:
+    return clean_frame(df, sheet_limits)
 
 
 def distribution_table(distribution: DataFrame) -> DataFrame:

@@ -107,6 +107,16 @@ def test_reports_are_partitioned_by_model(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "m")).first().sheet == "障礙類別_錯誤詳情"
 
 
+def test_report_tables_keep_long_texts(spark):
+    scores = evaluate_pairs(wide_to_pairs(samples.five_row_sample(spark))).scores
+    long = scores.withColumns({"correct": F.repeat(F.lit("a"), 40000), "predicted": F.repeat(F.lit("b"), 50000)})
+    sizes = {(len(r.correct), len(r.predicted)) for r in reports.detailed_lines(long).filter("kind = 'field'").collect()}
+    assert sizes == {(40000, 50000)}
+    df = spark.createDataFrame([("x\x00" * 40000,)], "t string")
+    assert reports.original_data(df).first().t == "x" * 40000
+    assert len(reports.original_data(df, sheet_limits=True).first().t) == 32763
+
+
 def test_stream_equals_batch(spark, tmp_path):
     pairs = wide_to_pairs(samples.five_row_sample(spark))
     source, out, totals = (str(tmp_path / n) for n in ("in", "scores", "totals"))
