@@ -10,7 +10,7 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from proofgrid.llm.common import words
@@ -75,6 +75,11 @@ OTHERS = (
     "The committee licensed the new stadium for concerts.",
     "A common attribution in the sciences names all authors.",
 )
+# Words that are in most texts.
+USUAL = frozenset(
+    "a an and any are as be by can first following for free found from in is it may nd not of on only or project provided "
+    "public shared source text that the this to under use version with without work you".split()
+)
 
 
 def _tokens(text: str) -> list[str]:
@@ -144,56 +149,160 @@ def _table(spark: SparkSession, model: Model) -> DataFrame:
     return spark.createDataFrame(rows, f"gram string, {kinds}")
 
 
-def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: Model | None = None) -> DataFrame:
-    """doc_id, paragraph, family, probability, coverage, confirmed of every paragraph with an n-gram of the notices.
+def _distinctive(model: Model) -> list[str]:
+    """Words without any of which no template reaches ``COVERAGE``; usual words come last."""
+    chosen: set[str] = set()
+    for _, grams in model.templates:
+        while len(left := [g for g in grams if not chosen & set(g.split())]) >= COVERAGE * len(grams):
+            hit = lambda w: sum(w in g.split() for g in left)  # noqa: B023, E731
+            chosen.add(min(sorted({w for g in left for w in g.split()}), key=lambda w: (w in USUAL, -hit(w), -len(w))))
+    return sorted(chosen)
+
+
+def _length(grams: frozenset[str]) -> int:
+    """At least as many words as the notice of these n-grams has; no notice has more than one pair of words twice."""
+    return 2 + sum(" " in g for g in grams)
+
 
-    A paragraph is a line; its words are runs of a-z and 0-9 after lower-casing, n-grams count once. One without
-    any known n-gram is unknown by the model and has no row. Null and empty texts have no paragraphs. Ids should
-    be unique: rows that repeat an id are read as one document, whose n-grams of one line number are added up.
+def _scored(units: DataFrame, model: Model) -> DataFrame:
+    """doc_id, first, last, family, probability, coverage, confirmed and cover (of each family) of every unit.
+
+    ``units``: doc_id, first, last, tokens, and inner: words between the first and the last line, which have to be
+    fewer than the template's for it to count.
     """
-    model = model or fit()
-    spark = docs.sparkSession
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    lines = rows.select("doc_id", F.posexplode(F.split(F.lower("text"), "\n")).alias("paragraph", "line"))
-    tokens = lines.select(
-        "doc_id", "paragraph", words(F.regexp_replace("line", "[^a-z0-9]+", " ")).alias("tokens")
-    )
     grams = F.array_distinct(
         F.concat("tokens", F.transform(F.slice("tokens", 2, 1 << 30), lambda t, i: F.concat(F.get("tokens", i), F.lit(" "), t)))
     )
-    hits = tokens.select("doc_id", "paragraph", F.explode(grams).alias("gram")).join(
-        F.broadcast(_table(spark, model)), "gram"
+    hits = units.select("doc_id", "first", "last", "inner", F.explode(grams).alias("gram")).join(
+        F.broadcast(_table(units.sparkSession, model)), "gram"
     )
     n_families, n_templates = len(model.families), len(model.templates)
     sums = [F.sum(f"w{i}").alias(f"w{i}") for i in range(n_families)]
     sums += [F.sum(f"t{j}").alias(f"t{j}") for j in range(n_templates)]
-    total = hits.groupBy("doc_id", "paragraph").agg(*sums)
+    total = hits.groupBy("doc_id", "first", "last", "inner").agg(*sums)
     scores = F.array(*[(F.col(f"w{i}") + model.bias[i]) / model.temperature for i in range(n_families)])
+    share = lambda j, g: F.when(F.col("inner") < _length(g), F.col(f"t{j}") / len(g)).otherwise(0.0)
     covered = [
-        F.greatest(*[F.col(f"t{j}") / len(g) for j, (own, g) in enumerate(model.templates) if own == i])
+        F.greatest(*[share(j, g) for j, (own, g) in enumerate(model.templates) if own == i])
         for i in range(n_families - 1)
     ]
-    ranked = total.select("doc_id", "paragraph", scores.alias("scores"), F.array(*covered, F.lit(0.0)).alias("_cover"))
+    ranked = total.select("doc_id", "first", "last", scores.alias("scores"), F.array(*covered, F.lit(0.0)).alias("cover"))
     top: Column = F.array_max("scores")
     spread = F.aggregate("scores", F.lit(0.0), lambda acc, s: acc + F.exp(s - top))
     best = (F.array_position("scores", top) - 1).cast("int")
-    named = ranked.select("doc_id", "paragraph", best.alias("_best"), (1 / spread).alias("probability"), "_cover")
-    sure = (F.col("probability") >= THRESHOLD) & (F.col("_best") < n_families - 1)
-    coverage = F.get("_cover", F.col("_best"))
+    named = ranked.select("doc_id", "first", "last", best.alias("best"), (1 / spread).alias("probability"), "cover")
+    sure = (F.col("probability") >= THRESHOLD) & (F.col("best") < n_families - 1)
+    coverage = F.get("cover", F.col("best"))
     return named.select(
-        "doc_id", "paragraph",
-        F.when(sure, F.get(F.array(*[F.lit(f) for f in model.families]), F.col("_best"))).otherwise(UNKNOWN).alias("family"),
-        "probability", coverage.alias("coverage"), (sure & (coverage >= COVERAGE)).alias("confirmed"),
+        "doc_id", "first", "last", "best",
+        F.when(sure, F.get(F.array(*[F.lit(f) for f in model.families]), F.col("best"))).otherwise(UNKNOWN).alias("family"),
+        "probability", coverage.alias("coverage"), (sure & (coverage >= COVERAGE)).alias("confirmed"), "cover",
+    )
+
+
+def _runs(rows: DataFrame, model: Model) -> DataFrame:
+    """Runs of lines that may hold a notice, as units; ``rows``: doc_id and lines (arrays of words).
+
+    A run has no line without words. Fewer words than the longest template lie between its first and last line, so
+    that a notice is within a run however it is wrapped. One without a distinctive word is confirmed by no template.
+    """
+    longest = max(_length(g) for _, g in model.templates)
+    marks = F.array(*[F.lit(w) for w in _distinctive(model)])
+    windows = rows.select(
+        "doc_id", F.posexplode(F.transform("lines", lambda x, i: F.slice("lines", i + 1, longest + 1))).alias("first", "_w")
+    ).filter((F.size(F.get("_w", F.lit(0))) > 0) & F.arrays_overlap(F.flatten("_w"), marks))
+    # Blank lines end a window; what is then left of it is nowhere empty.
+    blank = F.array_position(F.transform("_w", lambda x: F.size(x) == 0), F.lit(True))
+    windows = windows.withColumn("_w", F.when(blank > 0, F.slice("_w", F.lit(1), (blank - 1).cast("int"))).otherwise(F.col("_w")))
+    runs = windows.select("doc_id", "first", "_w", F.explode(F.sequence(F.lit(1), F.size("_w"))).alias("_k"))
+    inner = F.aggregate(
+        F.slice("_w", F.lit(2), F.greatest(F.col("_k") - 2, F.lit(0))), F.lit(0), lambda acc, x: acc + F.size(x)
+    )
+    runs = runs.withColumn("inner", inner).filter(F.col("inner") < longest)
+    runs = runs.withColumn("tokens", F.flatten(F.slice("_w", F.lit(1), F.col("_k"))))
+    return runs.filter(F.arrays_overlap("tokens", marks)).select(
+        "doc_id", "first", (F.col("first") + F.col("_k") - 1).alias("last"), "inner", "tokens"
+    )
+
+
+def _wrapped(runs: DataFrame) -> DataFrame:
+    """Of scored runs, the confirmed notices over several lines; those of one family do not overlap.
+
+    Both end lines add to the coverage of such a run. Of runs that overlap the one with the highest coverage stays,
+    then the more probable, the shorter and the first.
+    """
+    by_last, by_first = Window.partitionBy("doc_id", "last").orderBy("first"), Window.partitionBy("doc_id", "first").orderBy("last")
+    near = runs.select(
+        "*", F.lead("first").over(by_last).alias("_f"), F.lead("cover").over(by_last).alias("_fc"),
+        F.lag("last").over(by_first).alias("_l"), F.lag("cover").over(by_first).alias("_lc"),
+    )
+    part = lambda there, cover: F.when(there, F.get(cover, F.col("best"))).otherwise(0.0)
+    tight = near.filter(
+        F.col("confirmed") & (F.col("last") > F.col("first"))
+        & (F.col("coverage") > part(F.col("_f") == F.col("first") + 1, "_fc"))
+        & (F.col("coverage") > part(F.col("_l") == F.col("last") - 1, "_lc"))
+    )
+    ranked = F.struct(
+        (-F.col("coverage")).alias("c"), (-F.col("probability")).alias("p"), (F.col("last") - F.col("first")).alias("n"),
+        "first", "last", "family", "probability", "coverage",
+    )
+    every = tight.groupBy("doc_id").agg(F.array_sort(F.collect_list(ranked)).alias("_runs"))
+    clash = lambda x, r: (x["family"] == r["family"]) & (x["first"] <= r["last"]) & (r["first"] <= x["last"])
+    kept = F.aggregate(
+        "_runs", F.slice("_runs", 1, 0),
+        lambda acc, r: F.when(F.exists(acc, lambda x: clash(x, r)), acc).otherwise(F.concat(acc, F.array(r))),
+    )
+    return every.select("doc_id", F.inline(kept)).drop("c", "p", "n")
+
+
+def scan(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: Model | None = None, known: bool = False
+) -> DataFrame:
+    """doc_id, paragraph, last_line, family, probability, coverage, confirmed of every passage with a known n-gram.
+
+    A passage is a line, or a run of lines without a blank one that holds more of a notice than its parts; it takes
+    the place of its lines that are of its family, not confirmed, or of a lower coverage. ``paragraph`` is the number of
+    its first line. Words are runs of a-z and 0-9 after lower-casing; a line without any is blank. N-grams count once.
+    A line without any known n-gram is unknown by the model and has no row; with ``known`` no unknown one has. Null and
+    empty texts have no lines. Ids should be unique: rows that repeat an id are read as one document, whose n-grams of
+    one line number are added up.
+    """
+    model = model or fit()
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("text"))
+    tokens = lambda line: words(F.regexp_replace(line, "[^a-z0-9]+", " "))
+    lines = rows.select("doc_id", F.posexplode(F.split("text", "\n")).alias("first", "line"))
+    single = _scored(
+        lines.select("doc_id", "first", F.col("first").alias("last"), F.lit(0).alias("inner"), tokens("line").alias("tokens")),
+        model,
+    )
+    if known:
+        single = single.filter(F.col("family") != UNKNOWN)
+    marked = rows.filter(F.col("text").rlike(rf"(?<![a-z0-9])(?:{'|'.join(_distinctive(model))})(?![a-z0-9])"))
+    split = marked.select("doc_id", F.transform(F.split("text", "\n"), tokens).alias("lines"))
+    runs = _wrapped(_scored(_runs(split, model), model))
+    inside = runs.select(
+        F.col("doc_id").alias("_id"), F.explode(F.sequence("first", "last")).alias("_line"),
+        F.struct("coverage", "family").alias("_run"),
+    ).groupBy("_id", "_line").agg(F.max("_run.coverage").alias("_cover"), F.collect_set("_run.family").alias("_families"))
+    placed = single.join(inside, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("first") == F.col("_line")), "left")
+    alone = placed.filter(
+        F.col("_cover").isNull()
+        | (F.col("confirmed") & ~F.array_contains("_families", F.col("family")) & (F.col("coverage") >= F.col("_cover")))
+    )
+    found = alone.unionByName(runs.withColumn("confirmed", F.lit(True)), allowMissingColumns=True)
+    return found.select(
+        "doc_id", F.col("first").alias("paragraph"), F.col("last").alias("last_line"), "family", "probability", "coverage",
+        "confirmed",
     )
 
 
 def documents(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """doc_id, family, probability, n_paragraphs, n_confirmed of every document.
 
-    The family is that of the confirmed paragraph with the highest probability, the first one among equals; null
-    without one. ``n_paragraphs`` counts paragraphs of a known family.
+    The family is that of the confirmed passage with the highest probability, the first one among equals; null
+    without one. ``n_paragraphs`` counts passages of a known family.
     """
-    found = scan(docs.select("doc_id", "text"), model=model).filter(F.col("family") != UNKNOWN)
+    found = scan(docs.select("doc_id", "text"), model=model, known=True)
     order = F.when(F.col("confirmed"), F.struct(F.col("probability"), (-F.col("paragraph")).alias("p"), F.col("family")))
     per_doc = found.groupBy("doc_id").agg(
         F.max(order).alias("_top"), F.count("*").alias("_n"), F.count_if("confirmed").alias("_c")

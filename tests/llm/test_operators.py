@@ -321,6 +321,24 @@ def test_licences(spark, empty):
     assert licences.documents(empty).count() == 0
 
 
+def test_wrapped_notices(spark):
+    gpl = licences.NOTICES["GPL"][1].split()
+    wrap = lambda notice, n: "\n".join(" ".join(notice[i : i + n]) for i in range(0, len(notice), n))
+    bsd, nc = licences.NOTICES["BSD"][0].split(), licences.NOTICES["CC-BY-NC"][0].split()
+    own = {
+        1: "We met.\n\n" + wrap(gpl, 12) + "\n\nThe end.", 2: wrap(gpl, 1), 3: "He came. " + wrap(gpl, 5) + " So he said.",
+        4: wrap(bsd, 8), 5: wrap(nc, 8), 6: wrap(gpl, 12) + "\n" + wrap(gpl, 12), 7: wrap(gpl, 12).replace("\n", "\n\n"),
+        8: wrap(gpl, 12) + "\nReleased under the MIT License.", 9: "The public may\nuse the library\nfree of charge.",
+    }
+    df = spark.createDataFrame([(i, t, "en", "s", 1, "r", 2, 3) for i, t in own.items()], DOCS)
+    found = {r["doc_id"]: r for r in licences.documents(df).collect()}
+    want = {1: "GPL", 2: "GPL", 3: "GPL", 4: "BSD", 5: "CC-BY-NC", 6: "GPL", 7: None, 9: None}
+    assert {i: found[i]["family"] for i in want} == want
+    assert [found[i]["n_confirmed"] for i in (1, 2, 3, 4, 5, 6, 8)] == [1, 1, 1, 1, 1, 2, 2]
+    rows = {r["doc_id"]: r for r in licences.scan(df.filter("doc_id in (1, 2)"), known=True).collect()}
+    assert (rows[1]["paragraph"], rows[1]["coverage"], rows[2]["coverage"]) == (2, 1.0, 1.0)
+
+
 def test_main_text(spark):
     field = crf.fit(crf.training_pages(200))
     pages = list(crf.training_pages(100, seed=77))
