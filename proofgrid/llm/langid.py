@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from proofgrid.plans.storage import stored
 
 GRAMS = 1 << 16
-SAMPLE = 20_000  # labelled rows to which the text model is fitted
+SAMPLE = 20_000  # labelled rows to which the text model is fitted, dealt evenly to the languages
+LEAST = 1_000  # rows that a language has of them at least, however many languages there are
 SLICE_CHARS = 1 << 20
 TEMPER = 0.2  # overlapping n-grams are not independent
 SMOOTH = 50.0  # how many rows of a parent a host's or a domain's own rows are weighed against
@@ -51,16 +52,31 @@ def _slices(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
                 first, size, texts = row + 1, 0, []
 
 
+def _even_share(sizes: list[int], sample: int) -> int:
+    """The rows that a language may have, so that all together have ``sample``; not under ``LEAST``."""
+    left = sample
+    for i, n in enumerate(sorted(sizes)):
+        share = left // (len(sizes) - i)
+        if n > share:
+            return max(share, LEAST)
+        left -= n
+    return max(sizes)
+
+
 def fit_text(rows: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """Languages and log probabilities of n-grams, from the labelled rows with the ``sample`` smallest hashes.
+    """Every declared language and its log probabilities of n-grams, from rows chosen by hash.
 
-    ``rows``: id, text, declared. The last language is unknown: all n-grams alike.
+    A language with more labelled rows than its share of ``sample`` is fitted to about as many rows as its share,
+    one with fewer to all of them. ``rows``: id, text, declared. The last language is unknown: all n-grams alike.
     """
     labelled = rows.filter("declared is not null")
-    mark = F.xxhash64("id", F.lit(11))
-    chosen = labelled.select(mark.alias("mark")).orderBy("mark").limit(sample).agg(F.max("mark")).first()[0]
-    if chosen is None:
+    sizes = dict(labelled.groupBy("declared").count().collect())
+    if not sizes:
         return [UNKNOWN], np.full((1, GRAMS), -np.log(GRAMS), np.float32)
+    share = _even_share(list(sizes.values()), sample)
+    limits = [(name, -(1 << 63) + ((1 << 64) - 1) * min(share, n) // n) for name, n in sizes.items()]
+    limits = rows.sparkSession.createDataFrame(limits, "declared string, upto long")
+    chosen = labelled.join(F.broadcast(limits), "declared").filter(F.xxhash64("id", F.lit(11)) <= F.col("upto"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -76,10 +92,16 @@ def fit_text(rows: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarr
                 "n": pa.array(counts[there]),
             })
 
-    found = (
-        labelled.filter(mark <= chosen).select("text", "declared").mapInArrow(run, "declared string, gram int, n long")
-        .groupBy("declared", "gram").agg(F.sum("n").alias("n")).toArrow().to_pandas()
-    )
+    def counted(some: DataFrame) -> pa.Table:
+        grams = some.select("text", "declared").mapInArrow(run, "declared string, gram int, n long")
+        return grams.groupBy("declared", "gram").agg(F.sum("n").alias("n")).toArrow()
+
+    found = counted(chosen)
+    # All chosen rows of a language may be empty or, with repeated ids, none may be chosen.
+    missing = sorted(set(sizes) - set(found["declared"].unique().to_pylist()))
+    if missing and share < max(sizes[name] for name in missing):
+        found = pa.concat_tables([found, counted(labelled.filter(F.col("declared").isin(missing)))])
+    found = found.to_pandas()
     names = sorted(found["declared"].unique())
     table = np.zeros((len(names) + 1, GRAMS))
     for i, name in enumerate(names):

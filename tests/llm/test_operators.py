@@ -138,6 +138,23 @@ def test_language_fusion(spark, empty):
     assert langid.query(empty).count() == 0
 
 
+def test_every_declared_language_is_known(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LEAST", 20, raising=False)
+    own = {"en": "the of and that was with", "de": "der die und nicht ein ist", "eo": "kaj estas ĉiuj homoj laŭ digno"}
+    rng = random.Random(9)
+    langs = ["en"] * 3000 + ["de"] * 1000 + ["eo"] * 3
+    rows = [(i, " ".join(rng.choice(own[x].split()) for _ in range(30)), x, None, 1, "", 0, 0) for i, x in enumerate(langs)]
+    rows += [(5000, "", "fr", None, 1, "", 0, 0), (5001, "kaj estas homoj kaj laŭ digno estas", None, None, 1, "", 0, 0)]
+    df = spark.createDataFrame(rows, DOCS)
+    plain = df.selectExpr("doc_id as id", "coalesce(text, '') as text", "lang as declared")
+    names, table = langid.fit_text(plain, sample=100)
+    assert names == ["de", "en", "eo", "und"] and table.shape == (4, langid.GRAMS)
+    whole_names, whole = langid.fit_text(plain)
+    assert whole_names == names and np.array_equal(table[2], whole[2]) and not np.array_equal(table[1], whole[1])
+    found = langid.identify(df, "doc_id", df.text, df.lang, df.source, sample=100).filter("id >= 4000").collect()
+    assert {r["lang"] for r in found if r["id"] in (4000, 4001, 4002, 5001)} == {"eo"}
+
+
 def test_near_vectors_equal_brute_force(spark):
     rng = np.random.default_rng(3)
     base = rng.standard_normal((40, 64))
