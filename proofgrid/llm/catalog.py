@@ -8,7 +8,9 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from proofgrid.llm import bpe, chat, crf, hamming, langid, licences, packing, quality, sharding, sigtree
+from proofgrid.llm import (
+    bpe, chat, crf, exactdedup, filteraudit, hamming, langid, licences, packing, phrases, quality, sharding, sigtree,
+)
 from proofgrid.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +57,18 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crf.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exactdedup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
 def language_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.query_pages(table(spark, sf_dir, "pages"))
 
@@ -67,10 +81,13 @@ def queries() -> dict[str, Query]:
     own = (
         op1_packing, op2_byte_bpe, op3_language_id, op4_embedding_near_duplicates, op5_sharding,
         op6_ngram_jaccard_join, op7_chat_formatting, op8_quality_rules, op9_license_scan, op10_html_extraction,
-        language_of_pages, pipeline,
+        op11_filter_audit, op12_phrase_mining, op13_exact_dedup, language_of_pages, pipeline,
     )
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_chat_formatting": chat.SQL, "op8_quality_rules": quality.sql()}
+    return {
+        "op7_chat_formatting": chat.SQL, "op8_quality_rules": quality.sql(), "op11_filter_audit": filteraudit.SQL,
+        "op12_phrase_mining": phrases.SQL, "op13_exact_dedup": exactdedup.SQL,
+    }
