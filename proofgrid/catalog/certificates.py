@@ -19,6 +19,7 @@ from proofgrid.catalog.registry import register, table
 from proofgrid.config import ScoringConfig
 from proofgrid.functions import labels, metrics, textnorm
 from proofgrid.operators import aggregate, joins, reports, scoring, wide
+from proofgrid.plans.storage import stored
 from proofgrid.sources.tables import spread
 
 ROW = ["workbook", "model", "row_idx", "field"]
@@ -277,7 +278,7 @@ _cert(
     + status_sql("完全匹配", "需要改進", "部分匹配") + " as remark, "
     + "case when cer = 0 then '✅' when cer <= 0.2 then '⚠️' else '❌' end as cer_icon",
 )
-STATISTICS_SQL = """statistics as (
+STATISTICS_SQL = """statistics as materialized (
   select workbook, model, field, avg(similarity) as average_accuracy,
     count(*) filter (where is_exact_match) as exact_matches, count(*) as total_records,
     count(*) filter (where is_exact_match) / count(*) as match_rate,
@@ -480,7 +481,7 @@ register(
         STATISTICS_SQL,
     ),
 )
-DISTRIBUTION_SQL = f"""distribution as (
+DISTRIBUTION_SQL = f"""distribution as materialized (
   select k.workbook, k.model, b.band, b.band_name, b.description,
     count(r.band) as count, count(r.band) / any_value(k.n) as percentage
   from (select workbook, model, count(*) as n from records group by all) k
@@ -498,7 +499,7 @@ register(
         RECORDS_SQL, DISTRIBUTION_SQL,
     ),
 )
-SUMMARY_SQL = """summary as (
+SUMMARY_SQL = """summary as materialized (
   select o.workbook, o.model, n.total_records, o.overall_accuracy, p.perfect_records
   from overall o
   join (select workbook, model, count(distinct row_idx) as total_records from pairs group by all) n
@@ -515,11 +516,16 @@ def _summary(spark, folder):
 register(
     "agg09_summary",
     lambda spark, folder: rounded(
-        _summary(spark, folder).drop("field_accuracies"), "overall_accuracy"
+        _summary(spark, folder).select(
+            "workbook", "model", "total_records", "overall_accuracy", "perfect_records",
+            F.explode_outer("field_accuracies").alias("field", "accuracy"),
+        ),
+        "overall_accuracy", "accuracy",
     ),
     cert_sql(
-        "select workbook, model, total_records, round(overall_accuracy, 6) as overall_accuracy,"
-        " perfect_records from summary",
+        "select s.workbook, s.model, s.total_records, round(s.overall_accuracy, 6) as overall_accuracy,"
+        " perfect_records, f.field, round(f.accuracy, 6) as accuracy from summary s"
+        " left join fields f on f.workbook = s.workbook and f.model = s.model",
         FIELDS_SQL, OVERALL_SQL, RECORDS_SQL, SUMMARY_SQL,
     ),
 )
@@ -585,9 +591,12 @@ register(
         aggregate.model_comparison(inputs.certificate_scores(spark, folder)), "accuracy"
     ),
     cert_sql(
-        "select model, field, round(avg(similarity), 6) as accuracy,"
-        " count(*) filter (where is_exact_match) as exact_matches, count(*) as total_records"
-        " from scores group by rollup (model, field) having model is not null"
+        "select workbook, model, field, false as is_total, round(accuracy, 6) as accuracy,"
+        " exact_matches, total_records from fields union all"
+        " select workbook, model, null, true, round(overall_accuracy, 6), n_exact, n from overall join"
+        " (select workbook, model, sum(exact_matches)::bigint as n_exact,"
+        " sum(total_records)::bigint as n from fields group by all) using (workbook, model)",
+        FIELDS_SQL, OVERALL_SQL,
     ),
 )
 
@@ -674,9 +683,51 @@ register(
     ),
 )
 
+
+
+def _lists(spark, folder):
+    """Two lists per field of unequal length: each side leaves out what it has no value for."""
+    pairs = inputs.certificate_pairs(spark, folder)
+    keys = ["workbook", "model", "field"]
+    left = pairs.filter("correct is not null").select(*keys, "row_idx", F.col("correct").alias("value"))
+    right = pairs.filter("predicted is not null").select(
+        *keys, "row_idx", F.col("predicted").alias("value")
+    )
+    return joins.zip_tables(left, right, keys, "row_idx")
+
+
+ZIP_CTE = """truths as materialized (
+  select workbook, model, field, correct, row_number()
+    over (partition by workbook, model, field order by row_idx) - 1 as position
+  from pairs where correct is not null),
+predictions as materialized (
+  select workbook, model, field, predicted, row_number()
+    over (partition by workbook, model, field order by row_idx) - 1 as position
+  from pairs where predicted is not null)"""
+register(
+    "jn01_positional_zip",
+    lambda spark, folder: _lists(spark, folder)[0],
+    cert_sql(
+        "select workbook, model, field, position, correct, predicted from truths join predictions"
+        " using (workbook, model, field, position)",
+        ZIP_CTE, scored=False,
+    ),
+)
+register(
+    "jn01_length_differences",
+    lambda spark, folder: _lists(spark, folder)[1],
+    cert_sql(
+        "select *, concat('正確值和預測值的數量不一致: ', n_truths, ' vs ', n_predictions) as message"
+        " from (select workbook, model, field, count(correct) as n_truths,"
+        " count(predicted) as n_predictions from pairs group by all)"
+        " where n_truths <> n_predictions",
+        scored=False,
+    ),
+)
+
 # --- report tables -------------------------------------------------------------------------------
 
-LINES_SQL = """lines as (
+LINES_SQL = """lines as materialized (
   select workbook, model, row_idx, record_id, subject_id, 'field' as kind, field_order, field,
     correct, predicted, similarity as accuracy, cer, wer, is_exact_match,
     null::bigint as matched_fields, null::bigint as total_fields
@@ -730,11 +781,22 @@ register(
     ),
     cert_sql(FIELD_SUMMARY_SELECT, STATISTICS_SQL),
 )
+def _summary_table(spark, folder):
+    scores = stored(inputs.certificate_scores(spark, folder), "scores")
+    summary = aggregate.evaluation_summary(scores, aggregate.record_evaluation(scores))
+    return reports.summary_table(scores, summary)
+
+
 register(
     "rpt05_summary_items",
-    lambda spark, folder: rounded(reports.summary_items(_summary(spark, folder)), "value"),
-    cert_sql(
-        "select workbook, model, item_order, item, round(value, 6) as value, description from ("
+    lambda spark, folder: rounded(_summary_table(spark, folder), "value", "match_rate"),
+    cert_sql(
+        "select workbook, model, 'field' as section, min(field_order) + 3 as item_order,"
+        " field as item, round(avg(similarity), 6) as value, null as description,"
+        " round(count(*) filter (where is_exact_match) / count(*), 6) as match_rate from scores"
+        " group by workbook, model, field having count(correct) > 0 and count(predicted) > 0"
+        " union all select workbook, model, 'item', item_order, item, round(value, 6), description,"
+        " null from ("
         "select workbook, model, 0 as item_order, '總記錄數' as item, total_records::double as value,"
         " '處理的總記錄數量' as description from summary union all"
         " select workbook, model, 1, '整體準確度', overall_accuracy, '加權平均準確度' from summary"
@@ -846,7 +908,7 @@ register(
 
 
 def _overall_report(spark, folder):
-    scores = inputs.certificate_scores(spark, folder)
+    scores = stored(inputs.certificate_scores(spark, folder), "scores")
     overall = aggregate.overall_accuracy(aggregate.field_evaluation(scores))
     return reports.overall_report(scores, overall)
 
@@ -868,7 +930,7 @@ register(
 register(
     "rpt15_record_report",
     lambda spark, folder: rounded(
-        reports.record_report(inputs.certificate_scores(spark, folder)), "accuracy"
+        reports.record_report(stored(inputs.certificate_scores(spark, folder), "scores")), "accuracy"
     ),
     cert_sql(
         "select workbook, model, '3 record' as section,"

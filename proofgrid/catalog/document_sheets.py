@@ -10,9 +10,11 @@ from proofgrid.catalog.registry import register, table
 from proofgrid.config import ScoringConfig
 from proofgrid.operators import aggregate, documents
 from proofgrid.plans import document
+from proofgrid.plans.storage import stored
 
 CFG = ScoringConfig(chunk_rows=100, hot_splits=4)
 
+# Field names and header labels.
 FIELDS = ["發文日期", "得請領_金額", "發文字號"]
 # Header rows of even and of odd books. Odd books have a debtor column, a field that is mapped twice
 # and a human column without a field of its own.
@@ -70,29 +72,29 @@ def document_sheets(spark: SparkSession, folder: str) -> DataFrame:
 
 
 GRID = f"grid as materialized ({_statement(False)})"
-HEADER_CTE = """columns_ as (
+HEADER_CTE = """columns_ as materialized (
   select m.workbook, i - 1 as col_idx, trim(coalesce(m.vals[i], '')) as m,
     trim(coalesce(f.vals[i], '')) as f
   from (select *, unnest(range(1, 10)) as i from grid where row_idx = 0) m
   join grid f on f.workbook = m.workbook and f.row_idx = 1),
-models as (
+models as materialized (
   select *, last_value(case when m not in ('', 'MODEL') then m end ignore nulls)
     over (partition by workbook order by col_idx) as model from columns_),
-carried as (
+carried as materialized (
   select *, max(case when m not in ('', 'MODEL') or (model is not null and f not in
     ('', '人工', 'human', 'manual', 'Human', 'Manual', '案件號', '債務人ID')) then col_idx end)
     over (partition by workbook order by col_idx) as ai_col from models),
-found as (
+found as materialized (
   select c.workbook, c.model, a.f as field, c.ai_col, c.col_idx as human_col
   from carried c join columns_ a on a.workbook = c.workbook and a.col_idx = c.ai_col
   where c.f in ('人工', 'human', 'manual', 'Human', 'Manual') and c.model is not null
     and a.f not in ('', '人工', 'human', 'manual', '案件號', '債務人ID')),
-pair_map as (
+pair_map as materialized (
   select * from (select *, row_number() over
       (partition by workbook, concat(field, '_', model) order by human_col desc) as rn,
     min(human_col) over (partition by workbook, concat(field, '_', model)) as field_order
   from found) where rn = 1),
-pairs as (
+pairs as materialized (
   select g.workbook, p.model, g.row_idx, coalesce(g.vals[1], 'nan') as case_id, p.field,
     p.field_order, g.vals[human_col + 1] as correct, g.vals[ai_col + 1] as predicted
   from grid g join pair_map p on p.workbook = g.workbook where g.row_idx >= 2)"""
@@ -110,20 +112,21 @@ register(
     ),
     sheet_sql("select workbook, model, field, ai_col, human_col from pair_map"),
 )
+def _pairs(spark: SparkSession, folder: str) -> DataFrame:
+    rows = stored(document_sheets(spark, folder), "document-sheets")
+    return documents.document_pairs(rows, documents.document_pair_map(rows), CFG)
+
+
 register(
     "rsh10_document_pairs",
-    lambda spark, folder: documents.document_pairs(
-        document_sheets(spark, folder),
-        documents.document_pair_map(document_sheets(spark, folder)), CFG,
-    ).select("workbook", "model", "row_idx", "case_id", "field", "correct", "predicted"),
+    lambda spark, folder: _pairs(spark, folder).select(
+        "workbook", "model", "row_idx", "case_id", "field", "correct", "predicted"
+    ),
     sheet_sql("select workbook, model, row_idx, case_id, field, correct, predicted from pairs"),
 )
 register(
     "jn03_header_lookup",
-    lambda spark, folder: documents.document_pairs(
-        document_sheets(spark, folder),
-        documents.document_pair_map(document_sheets(spark, folder)), CFG,
-    ).groupBy("workbook", "model", "field").agg(
+    lambda spark, folder: _pairs(spark, folder).groupBy("workbook", "model", "field").agg(
         F.count("correct").alias("truths"), F.count("predicted").alias("predictions")
     ),
     sheet_sql(
@@ -131,14 +134,14 @@ register(
         " from pairs group by all"
     ),
 )
-ADJACENT_CTE = """nexts as (
+ADJACENT_CTE = """nexts as materialized (
   select workbook, i - 1 as col_idx, trim(coalesce(vals[i], '')) as name,
     case when i < len(vals) then trim(coalesce(vals[i + 1], '')) end as following
   from (select *, unnest(range(1, len(vals) + 1)) as i from grid where row_idx = 0)),
-candidates as (
+candidates as materialized (
   select * from nexts where col_idx >= 1 and name <> ''
     and following in ('', '人工', 'human', 'manual')),
-adjacent as (
+adjacent as materialized (
   select workbook, name as model, max(col_idx) as ai_col, max(col_idx) + 1 as human_col from (
     select *, row_number() over (partition by workbook, run order by col_idx) as pos from (
       select *, col_idx - row_number() over (partition by workbook order by col_idx) as run
@@ -158,12 +161,12 @@ for _name in ("rsh11_adjacent_columns", "win04_next_cell"):
         ),
         f"with {GRID}, {ADJACENT_CTE} select * from adjacent",
     )
-FIELD_ROWS_CTE = """field_rows as (
+FIELD_ROWS_CTE = """field_rows as materialized (
   select workbook, trim(vals[i]) as field, max(i) - 1 as position
   from (select *, unnest(range(1, len(vals) + 1)) as i from grid where row_idx = 1 and vals[1] = '案件號')
   where trim(coalesce(vals[i], '')) not in ('', '人工', 'human', 'manual', 'Human', 'Manual')
   group by all)"""
-DOWN_CTE = """down_rows as (
+DOWN_CTE = """down_rows as materialized (
   select workbook, trim(vals[1]) as field, max(row_idx) as position from grid
   where row_idx between 1 and 9 and trim(coalesce(vals[1], '')) not in ('', '案件號', 'MODEL')
     and vals[1] not like '99099%' group by all)"""
@@ -187,12 +190,12 @@ register(
         "workbook", "field", F.col("position").cast("bigint").alias("position")
     ),
     f"with {GRID.replace('grid as', 'all_rows as', 1)},"
-    f" grid as (select * from all_rows where row_idx <> 1), {DOWN_CTE} select * from down_rows",
+    f" grid as materialized (select * from all_rows where row_idx <> 1), {DOWN_CTE} select * from down_rows",
 )
 
 
 def _model_values(spark, folder):
-    rows = document_sheets(spark, folder)
+    rows = stored(document_sheets(spark, folder), "document-sheets")
     return documents.model_field_values(
         rows, documents.adjacent_model_columns(rows), documents.field_rows(rows)
     )
@@ -282,10 +285,7 @@ register(
 register(
     "set02_document_last_column",
     lambda spark, folder: aggregate.last_wins(
-        documents.document_pairs(
-            document_sheets(spark, folder),
-            documents.document_pair_map(document_sheets(spark, folder)), CFG,
-        ),
+        stored(_pairs(spark, folder), "document-pairs"),
         ["workbook", "model", "case_id", "field"], "row_idx", ["correct", "predicted"],
     ),
     sheet_sql(

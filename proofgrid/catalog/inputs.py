@@ -70,7 +70,7 @@ def certificate_scores(spark: SparkSession, folder: str) -> DataFrame:
     return score_pairs(certificate_pairs(spark, folder))
 
 
-CUSTOMER_MODELS = f"""wide as (
+CUSTOMER_MODELS = f"""wide as materialized (
   select c_custkey, c_name, c_nationkey, c_mktsegment, m
   from customer, (select unnest(range({N_MODELS})) as m))"""
 
@@ -91,17 +91,17 @@ def _cert_pair_sql() -> str:
 CERT_PAIRS_SQL = f"{CUSTOMER_MODELS}, {_cert_pair_sql()}"
 
 # Distances over words: every distinct word of a pair becomes one ASCII character.
-SCORE_SQL = r"""clean as (
+SCORE_SQL = r"""clean as materialized (
   select *, regexp_replace(coalesce(correct, ''), '\s+', '', 'g') as nl,
     regexp_replace(coalesce(predicted, ''), '\s+', '', 'g') as nr,
     trim(regexp_replace(coalesce(correct, ''), '\s+', ' ', 'g')) as wl,
     trim(regexp_replace(coalesce(predicted, ''), '\s+', ' ', 'g')) as wr
   from pairs),
-words as (
+words as materialized (
   select *, string_split(wl, ' ') as tl, string_split(wr, ' ') as tr,
     list_distinct(list_concat(string_split(wl, ' '), string_split(wr, ' '))) as vocab
   from clean),
-rated as (
+rated as materialized (
   select *,
     case when nl = nr then 0.0::double
       else levenshtein(nl, nr) / greatest(length(nl), length(nr)) end as cer,
@@ -113,29 +113,30 @@ rated as (
         array_to_string(list_transform(tr, lambda t: chr(33 + list_position(vocab, t)::int)), ''))
         / greatest(len(tl), len(tr)) end as wer
   from words),
-scores as (
+scores as materialized (
   select workbook, model, row_idx, record_id, subject_id, field, field_order, correct, predicted,
     cer, wer, greatest(0.0, 1.0 - cer) as similarity,
     greatest(0.0, 1.0 - cer) >= 0.99 as is_exact_match,
     greatest(0.0, 1.0 - cer) < 0.8 as is_mismatch
   from rated)"""
 
-RECORDS_SQL = """records as (
+RECORDS_SQL = """records as materialized (
   select workbook, model, row_idx, record_id, subject_id, avg(similarity) as overall_accuracy,
     count(*) filter (where is_exact_match) as matched_fields, count(*) as total_fields
   from scores where correct is not null group by all)"""
 
-FIELDS_SQL = """fields as (
+FIELDS_SQL = """fields as materialized (
   select workbook, model, field, avg(similarity) as accuracy,
     count(*) filter (where is_exact_match) as exact_matches, count(*) as total_records,
     count(*) filter (where is_mismatch) as mismatched
   from scores group by all having count(correct) > 0 and count(predicted) > 0)"""
 
+# Words of field names with their weights.
 WEIGHT_SQL = """case when contains(field, '障礙等級') then 0.3 when contains(field, '障礙類別') then 0.3
   when contains(field, 'ICD診斷') then 0.25 when contains(field, '證明/手冊') then 0.15
   else 0.25 end"""
 
-OVERALL_SQL = f"""overall as (
+OVERALL_SQL = f"""overall as materialized (
   select workbook, model,
     sum(accuracy * ({WEIGHT_SQL})::double) / sum(({WEIGHT_SQL})::double) as overall_accuracy
   from fields group by all)"""
@@ -188,7 +189,7 @@ def _part_pair_sql() -> str:
         for i, (field, value) in enumerate(PART_VALUES.items())
     ]
     return (
-        f"wide as (select *, m from part, (select unnest(range({N_MODELS})) as m)),\n"
+        f"wide as materialized (select *, m from part, (select unnest(range({N_MODELS})) as m)),\n"
         "pairs as (" + " union all ".join(parts) + ")"
     )
 
@@ -282,7 +283,7 @@ def _document_pair_sql() -> str:
         for i, (field, (left, right)) in enumerate(document_values("duckdb").items())
     ]
     return (
-        f"wide as (select *, m from orders, (select unnest(range({DOC_MODELS})) as m)),\n"
+        f"wide as materialized (select *, m from orders, (select unnest(range({DOC_MODELS})) as m)),\n"
         "pairs as (" + " union all ".join(parts) + ")"
     )
 
@@ -304,6 +305,7 @@ def amount_sql(value: str) -> str:
     return f"coalesce(try_cast(regexp_replace({value}, '[,\\s]', '', 'g') as double), 0.0::double)"
 
 
+# Spellings of yes and no.
 def boolean_sql(value: str) -> str:
     return (
         f"case when upper({value}) in ('Y','YES','TRUE','1','是') then 'Y'"
@@ -311,6 +313,7 @@ def boolean_sql(value: str) -> str:
     )
 
 
+# Type names, the words and value forms that decide between them.
 def type_sql(name: str, left: str, right: str) -> str:
     rules = (
         f"when contains({name}, '日期') or contains(lower({name}), 'date') then '日期'"
@@ -348,18 +351,18 @@ def _parts_sql(left: str, right: str) -> str:
     return "(" + " + ".join(terms) + ") / 3.0::double"
 
 
-DOCUMENT_SCORE_SQL = f"""typed as (
+DOCUMENT_SCORE_SQL = f"""typed as materialized (
   select *, {type_sql('field', 'correct', 'predicted')} as field_type from pairs),
-valued as (
+valued as materialized (
   select *, {value_sql('correct', 'field_type')} as norm_correct,
     {value_sql('predicted', 'field_type')} as norm_predicted from typed),
-redated as (
+redated as materialized (
   select *, {date_sql('norm_correct')} as dl, {date_sql('norm_predicted')} as dr,
     case when norm_correct = norm_predicted then 0.0::double
       when norm_correct = '' or norm_predicted = '' then 1.0::double
       else levenshtein(norm_correct, norm_predicted) / length(norm_correct) end as cer
   from valued),
-scores as (
+scores as materialized (
   select workbook, model, row_idx, case_id, field, field_order, correct, predicted, field_type,
     norm_correct, norm_predicted, cer, cer as wer, similarity, similarity >= 0.99 as is_exact_match,
     case when similarity >= 0.99 then '' when field_type = '日期' then '日期格式或內容不符'

@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from proofgrid.catalog.registry import register, table
 from proofgrid.config import ScoringConfig
-from proofgrid.operators import diagnostics, grid, layout, pairing, reports
-from proofgrid.operators.joins import sliced_join
+from proofgrid.operators import diagnostics, grid, layout, pairing, profile, reports
 from proofgrid.operators.ordered import carry_forward, number_rows
 from proofgrid.plans import certificate
 from proofgrid.plans.storage import stored
@@ -175,6 +174,15 @@ def sheets(spark: SparkSession, folder: str, *kinds: str) -> DataFrame:
     )
 
 
+def kept_sheets(spark: SparkSession, folder: str, *kinds: str) -> DataFrame:
+    """Sheet rows as a reader leaves them: written once, then read."""
+    return stored(sheets(spark, folder, *kinds), "sheets")
+
+
+def kept_profile(rows: DataFrame) -> DataFrame:
+    return stored(profile.workbook_profile(rows), "profile")
+
+
 def grid_cte(*kinds: str) -> str:
     text = " union all ".join(sheet_sql(k, "duckdb") for k in kinds)
     return f"grid as materialized ({text})"
@@ -210,21 +218,23 @@ register(
     lambda spark, folder: grid.cells_to_rows(
         grid.rows_to_cells(sheets(spark, folder, "single"))
     ).select("workbook", "row_idx", joined("values").alias("cells")),
-    f"with {grid_cte('single')}, {CELL_CTE}, wide as (select workbook, row_idx,"
+    f"with {grid_cte('single')}, {CELL_CTE}, wide as materialized (select workbook, row_idx,"
     " max(col_idx) as last from cells group by all) select g.workbook, g.row_idx, "
     + JOINED_SQL.format("vals[1:last + 1]")
     + " as cells from grid g join wide using (workbook, row_idx)",
 )
 register(
     "src04_model_census",
-    lambda spark, folder: grid.model_census(sheets(spark, folder, *ALL_KINDS)),
+    lambda spark, folder: profile.census(
+        profile.workbook_profile(sheets(spark, folder, *ALL_KINDS))
+    ),
     f"with {grid_cte(*ALL_KINDS)}, {CELL_CTE} select g.workbook,"
     " count(c.value)::bigint as model_cells, count(c.value) > 1 as is_multi_model"
     " from (select distinct workbook from grid) g left join"
     f" (select * from cells where regexp_matches(lower(value), '{MODEL_RE}')) c"
     " on c.workbook = g.workbook group by g.workbook",
 )
-HEADER_CTE = f"""scored as (
+HEADER_CTE = f"""scored as materialized (
   select workbook, row_idx,
     count(*) filter (where regexp_matches(value, '{WORDS_RE}')) as n,
     bool_or(contains(value, '編號')) and bool_or(contains(value, '受編')) as ids
@@ -235,16 +245,18 @@ heads as materialized (
 SINGLE_KINDS = ("single", "plain", "bare", "answer", "bad")
 register(
     "src05_header_row",
-    lambda spark, folder: grid.header_rows(sheets(spark, folder, *SINGLE_KINDS)).select(
-        "workbook", "header_row", joined("header").alias("header")
-    ),
+    lambda spark, folder: profile.headers(
+        profile.workbook_profile(sheets(spark, folder, *SINGLE_KINDS))
+    ).select("workbook", "header_row", joined("header").alias("header")),
     f"with {grid_cte(*SINGLE_KINDS)}, {CELL_CTE}, {HEADER_CTE} select h.workbook, header_row, "
     + JOINED_SQL.format("vals")
     + " as header from heads h join grid g on g.workbook = h.workbook and g.row_idx = header_row",
 )
 register(
     "src07_structure_profile",
-    lambda spark, folder: grid.structure_profile(sheets(spark, folder, "single")),
+    lambda spark, folder: profile.structure(
+        profile.workbook_profile(sheets(spark, folder, "single"))
+    ),
     f"with {grid_cte('single')} select workbook, max(row_idx) as n_rows, max(len(vals)) as n_columns"
     " from grid group by all",
 )
@@ -268,28 +280,28 @@ register(
 
 # --- model blocks --------------------------------------------------------------------------------
 
-VERTICAL_CTE = f"""texts as (
+VERTICAL_CTE = f"""texts as materialized (
   select workbook, row_idx, list_transform(vals, lambda v: trim(coalesce(v, ''))) as vals from grid),
-flags as (
+flags as materialized (
   select *, list_filter(vals, lambda v: regexp_matches(lower(v), '{MODEL_RE}'))[1] as model_here,
     len(list_filter(vals, lambda v: regexp_matches(v, '{WORDS_RE}'))) >= 3 as header_like
   from texts),
-running as (
+running as materialized (
   select *, max(case when model_here is not null then row_idx end)
       over (partition by workbook order by row_idx) as block_row
   from flags),
-members as (
+members as materialized (
   select r.*, m.model_here as model from running r join flags m
     on m.workbook = r.workbook and m.row_idx = r.block_row
   where r.model_here is null and len(list_filter(r.vals, lambda v: v <> '')) > 0),
-last_rows as (
+last_rows as materialized (
   select workbook, max(row_idx) as last_row from flags where model_here is not null group by all),
-blocks as (
+blocks as materialized (
   select m.workbook, m.block_row, any_value(model) as model, min(m.row_idx) as first_row,
     bool_or(header_like) and (count(*) > 1 or m.block_row < any_value(last_row)) as used,
     count(*) as n
   from members m join last_rows l on l.workbook = m.workbook group by m.workbook, m.block_row),
-winners as (
+winners as materialized (
   select * from (select *, row_number() over (partition by workbook, model order by block_row desc)
     as rn from blocks where n > used::int) where rn = 1)"""
 VDATA_SQL = (
@@ -299,13 +311,13 @@ VDATA_SQL = (
 )
 register(
     "rsh01_vertical_split",
-    lambda spark, folder: layout.split_vertically(sheets(spark, folder, "vertical"), CFG).data
+    lambda spark, folder: layout.split_vertically(kept_sheets(spark, folder, "vertical"), CFG).data
     .select("workbook", "model", "row_idx", joined("values").alias("cells")),
     f"with {grid_cte('vertical')}, {VERTICAL_CTE} {VDATA_SQL}",
 )
 register(
     "rsh01_vertical_headers",
-    lambda spark, folder: layout.split_vertically(sheets(spark, folder, "vertical"), CFG).headers
+    lambda spark, folder: layout.split_vertically(kept_sheets(spark, folder, "vertical"), CFG).headers
     .select("workbook", "model", joined("header").alias("header")),
     f"with {grid_cte('vertical')}, {VERTICAL_CTE} select w.workbook, w.model, case when used then "
     + JOINED_SQL.format("list_resize(vals, 10, '')") + " else '0|1|2|3|4|5|6|7|8|9' end as header from winners w"
@@ -331,16 +343,16 @@ register(
     f"with {grid_cte('vertical')} select workbook, row_idx,"
     " row_number() over (partition by workbook order by row_idx) - 1 as n from grid",
 )
-SPAN_CTE = f"""named as (
+SPAN_CTE = f"""named as materialized (
   select workbook, col_idx, max_by(trim(value), row_idx) as model from cells
   where row_idx < 5 and regexp_matches(lower(value), '{MODEL_RE}') group by all),
-spans as (
+spans as materialized (
   select * from (
     select workbook, model, col_idx as start_col,
       coalesce(lead(col_idx) over (partition by workbook order by col_idx),
         (select max(len(vals)) from grid g where g.workbook = named.workbook)) - 1 as end_col,
       count(*) over (partition by workbook) as n from named) where n > 1),
-span_heads as (
+span_heads as materialized (
   select s.workbook, s.model, s.start_col, s.end_col, min(c.row_idx) as header_row from (
     select c.workbook, c.row_idx, s.start_col, s.model, s.end_col, count(*) as n
     from cells c join spans s on s.workbook = c.workbook and c.col_idx between start_col and end_col
@@ -348,25 +360,27 @@ span_heads as (
   join spans s on s.workbook = c.workbook and s.start_col = c.start_col group by all)"""
 register(
     "win03_column_spans",
-    lambda spark, folder: layout.horizontal_spans(sheets(spark, folder, "horizontal")).select(
+    lambda spark, folder: layout.horizontal_spans(
+        profile.workbook_profile(sheets(spark, folder, "horizontal"))
+    ).select(
         "workbook", "model", F.col("start_col").cast("bigint").alias("start_col"),
         F.col("end_col").cast("bigint").alias("end_col"),
     ),
     f"with {grid_cte('horizontal')}, {CELL_CTE}, {SPAN_CTE}"
     " select workbook, model, start_col, end_col from spans",
 )
-HDATA_CTE = """padded as (
+HDATA_CTE = """padded as materialized (
   select workbook, row_idx, list_resize(vals, 14) as vals from grid),
-span_data as (
+span_data as materialized (
   select p.workbook, s.model, s.start_col, p.row_idx,
     list_concat(vals[1:least(6, start_col)], vals[start_col + 1:end_col + 1]) as vals
   from padded p join span_heads s on s.workbook = p.workbook and p.row_idx > s.header_row
   where len(list_filter(list_concat(vals[1:least(6, start_col)], vals[start_col + 1:end_col + 1]),
     lambda v: trim(v) <> '')) > 0),
-last_spans as (select workbook, model, max(start_col) as start_col from span_data group by all)"""
+last_spans as materialized (select workbook, model, max(start_col) as start_col from span_data group by all)"""
 register(
     "rsh02_horizontal_split",
-    lambda spark, folder: layout.split_horizontally(sheets(spark, folder, "horizontal"), CFG).data
+    lambda spark, folder: layout.split_horizontally(kept_sheets(spark, folder, "horizontal"), CFG).data
     .select("workbook", "model", "row_idx", joined("values").alias("cells")),
     f"with {grid_cte('horizontal')}, {CELL_CTE}, {SPAN_CTE}, {HDATA_CTE}"
     " select d.workbook, d.model, d.row_idx, " + JOINED_SQL.format("vals")
@@ -375,7 +389,7 @@ register(
 register(
     "rsh02_horizontal_headers",
     lambda spark, folder: layout.split_horizontally(
-        sheets(spark, folder, "horizontal"), CFG
+        kept_sheets(spark, folder, "horizontal"), CFG
     ).headers.select("workbook", "model", joined("header").alias("header")),
     f"with {grid_cte('horizontal')}, {CELL_CTE}, {SPAN_CTE}, {HDATA_CTE}"
     " select s.workbook, s.model, "
@@ -388,8 +402,7 @@ register(
 register(
     "jn04_column_ranges",
     lambda spark, folder: layout.horizontal_headers(
-        sheets(spark, folder, "horizontal"),
-        layout.horizontal_spans(sheets(spark, folder, "horizontal")),
+        profile.workbook_profile(sheets(spark, folder, "horizontal"))
     ).select(
         "workbook", "model", F.col("start_col").cast("bigint").alias("start_col"), "header_row"
     ),
@@ -399,12 +412,7 @@ register(
 
 
 def _layouts(spark, folder):
-    rows = stored(sheets(spark, folder, *ALL_KINDS), "sheets")
-    return layout.choose_layout(
-        grid.model_census(rows),
-        layout.split_vertically(rows, CFG).headers,
-        layout.split_horizontally(rows, CFG).headers,
-    )
+    return certificate.find_blocks(kept_sheets(spark, folder, *ALL_KINDS), CFG)[0]
 
 
 register(
@@ -436,16 +444,16 @@ def _mapping_rows(df: DataFrame, mapping) -> DataFrame:
     )
 
 
-HEAD_CELLS_CTE = """head_cells as (
+HEAD_CELLS_CTE = """head_cells as materialized (
   select c.workbook, c.col_idx, c.value from cells c join heads h
     on h.workbook = c.workbook and h.header_row = c.row_idx)"""
 FIELD_RULES = """(values ('障礙等級', '障礙等級'), ('障礙類別', '障礙類別'), ('ICD診斷', 'ICD|診斷'))
   r(field, pattern)"""
-BY_NAME_CTE = f"""hits as (
+BY_NAME_CTE = f"""hits as materialized (
   select workbook, field, col_idx,
     row_number() over (partition by workbook, field order by col_idx) as rn
   from head_cells join {FIELD_RULES} on regexp_matches(trim(value), pattern)),
-by_name as (
+by_name as materialized (
   select workbook, field, max(case when rn = 1 then col_idx end) as truth_col,
     max(case when rn = 2 then col_idx end) as pred_col from hits group by all having count(*) >= 2)"""
 PAIRING_CTES = f"{CELL_CTE}, {HEADER_CTE}, {HEAD_CELLS_CTE}, {BY_NAME_CTE}"
@@ -461,35 +469,38 @@ POSITIONS_SQL = """(values ('障礙等級', 2, 6), ('障礙類別', 3, 8), ('ICD
   p(field, truth_col, pred_col)"""
 MARKS_SQL = """(values ('障礙等級', '輕度|中度|重度|極重度'), ('障礙類別', '類|其他'),
   ('ICD診斷', '【|】|\\[|\\]|換|第')) k(field, marks)"""
-CONTENT_CTE = f"""data_cells as (
+CONTENT_CTE = f"""data_cells as materialized (
   select c.* from cells c join heads h on h.workbook = c.workbook and c.row_idx > h.header_row),
-sides as (
+sides as materialized (
   select d.workbook, p.field, p.truth_col::bigint as truth_col, p.pred_col::bigint as pred_col,
     bool_or(regexp_matches(value, marks)) as fits,
     count(*) filter (where col_idx = truth_col) as n_l,
     count(*) filter (where col_idx = pred_col) as n_r
   from data_cells d join {POSITIONS_SQL} on d.col_idx in (p.truth_col, p.pred_col)
     join {MARKS_SQL} on k.field = p.field group by all),
-fitting as (select * from sides where fits and n_l > 0 and n_r > 0)"""
-
-
-def _blocks(spark, folder, *kinds) -> layout.Blocks:
-    rows = sheets(spark, folder, *kinds)
-    heads = grid.header_rows(rows).withColumn("model", F.lit("m"))
-    data = sliced_join(
-        rows, heads.select("workbook", "model", "header_row"), ["workbook"], "row_idx",
-        CFG.hot_splits,
-    ).filter("row_idx > header_row")
-    return layout.Blocks(
-        heads.select("workbook", "model", "header"),
-        data.select("workbook", "model", "row_idx", "values"),
+fitting as materialized (select * from sides where fits and n_l > 0 and n_r > 0)"""
+
+
+def _single_map(spark, folder, *kinds, **columns) -> tuple[DataFrame, DataFrame]:
+    """Sheet rows and the stored pair map of their sheets; ``columns`` replace columns of the headers."""
+    rows = kept_sheets(spark, folder, *kinds)
+    facts = kept_profile(rows)
+    heads = profile.headers(facts).withColumns({"model": F.lit("m"), **columns})
+    return rows, stored(layout.map_singles(heads, facts), "pair-map")
+
+
+def _fitting(spark, folder, *kinds) -> DataFrame:
+    found = profile.with_header(profile.workbook_profile(sheets(spark, folder, *kinds)))
+    return found.select(
+        "workbook",
+        F.explode(profile.fitting_fields(profile.data_flags(F.col("header_row")))).alias("field"),
     )
 
 
 register(
     "rsh05_pairs_by_position",
     lambda spark, folder: _mapping_rows(
-        layout.detect_mapping(_blocks(spark, folder, "plain", "bare"), CFG), F.col("mapping")
+        _single_map(spark, folder, "plain", "bare")[1], F.col("mapping")
     ),
     f"with {grid_cte('plain', 'bare')}, {PAIRING_CTES}, {CONTENT_CTE}"
     " select workbook, field, truth_col, pred_col from fitting",
@@ -497,7 +508,7 @@ register(
 register(
     "rsh06_answer_sheets",
     lambda spark, folder: _mapping_rows(
-        layout.detect_mapping(_blocks(spark, folder, "answer", "single"), CFG), F.col("mapping")
+        _single_map(spark, folder, "answer", "single")[1], F.col("mapping")
     ),
     f"with {grid_cte('answer', 'single')}, {PAIRING_CTES}"
     " select workbook, field, truth_col, pred_col from by_name union all"
@@ -512,7 +523,7 @@ register(
         ),
         layout.map_answer_sheet(F.col("header")),
     ),
-    f"with {grid_cte('single')}, {PAIRING_CTES}, copies as (select *, row_number() over"
+    f"with {grid_cte('single')}, {PAIRING_CTES}, copies as materialized (select *, row_number() over"
     " (partition by workbook, value order by col_idx) as copy from head_cells)"
     " select a.workbook, a.value as field, a.col_idx as truth_col, b.col_idx as pred_col"
     " from copies a join copies b on b.workbook = a.workbook and b.value = a.value"
@@ -520,15 +531,14 @@ register(
 )
 register(
     "rsh07_content_check",
-    lambda spark, folder: layout.check_content(_blocks(spark, folder, "plain", "bare").data)
-    .select("workbook", F.explode("valid_fields").alias("field")),
+    lambda spark, folder: _fitting(spark, folder, "plain", "bare"),
     f"with {grid_cte('plain', 'bare')}, {PAIRING_CTES}, {CONTENT_CTE}"
     " select workbook, field from fitting",
 )
 REQUIRED = [
     "正面_障礙等級", "反面_障礙等級", "正面_障礙類別", "反面_障礙類別", "正面_ICD診斷", "反面_ICD診斷",
 ]
-MISSING_SQL = f"""missing as (
+MISSING_SQL = f"""missing as materialized (
   select h.workbook, r.name from heads h, (select unnest([{_literal(REQUIRED)}]) as name) r
   where not exists (select 1 from head_cells c where c.workbook = h.workbook and c.value = r.name))"""
 for _name in ("rsh08_required_columns", "jn05_missing_columns", "set04_required_minus_available"):
@@ -547,10 +557,10 @@ register(
         ),
         pairing.map_by_suffix(F.col("header")),
     ),
-    f"with {grid_cte('single')}, {PAIRING_CTES}, labelled as (select workbook, col_idx,"
+    f"with {grid_cte('single')}, {PAIRING_CTES}, labelled as materialized (select workbook, col_idx,"
     " case when copy = 1 then value else concat(value, '.', copy - 1) end as label from (select *,"
     " row_number() over (partition by workbook, value order by col_idx) as copy from head_cells)),"
-    f" firsts as (select workbook, field, min(col_idx) as truth_col from labelled join {FIELD_RULES}"
+    f" firsts as materialized (select workbook, field, min(col_idx) as truth_col from labelled join {FIELD_RULES}"
     " on contains(label, replace(pattern, '|診斷', '')) where not regexp_matches(label, '[.][12]$')"
     " group by all) select f.workbook, f.field, truth_col, min(l.col_idx) as pred_col from firsts f"
     f" join {FIELD_RULES} on r.field = f.field join labelled l on l.workbook = f.workbook"
@@ -562,20 +572,20 @@ ALIAS_ROWS = ", ".join(
     for t, (target, names) in enumerate(pairing.ALIASES.items())
     for a, alias in enumerate(names)
 )
-ALIAS_CTE = f"""matches as (
+ALIAS_CTE = f"""matches as materialized (
   select workbook, t, target, col_idx,
     row_number() over (partition by workbook, t order by a, col_idx) as rn
   from head_cells join (values {ALIAS_ROWS}) al(t, target, a, alias)
     on contains(lower(value), lower(alias)) or contains(lower(alias), lower(value))),
-taken as (select workbook, col_idx, max(t) as t from matches where rn = 1 group by all),
-kept as (select k.workbook, k.col_idx, m.target from taken k join matches m
+taken as materialized (select workbook, col_idx, max(t) as t from matches where rn = 1 group by all),
+kept as materialized (select k.workbook, k.col_idx, m.target from taken k join matches m
   on m.workbook = k.workbook and m.t = k.t and m.rn = 1)"""
 register(
     "rsh16_pairs_by_alias",
     lambda spark, folder: _mapping_rows(
         pairing.map_by_alias(_alias_headers(spark, folder)), F.col("mapping")
     ),
-    f"with {grid_cte('single')}, {CELL_CTE}, {HEADER_CTE}, head_cells as (select c.workbook,"
+    f"with {grid_cte('single')}, {CELL_CTE}, {HEADER_CTE}, head_cells as materialized (select c.workbook,"
     " c.col_idx, case when col_idx between 6 and 9 then concat('AI', replace(replace(value,"
     " 'ICD診斷', '_ICD'), '證明/手冊', '證明')) else value end as value from cells c join heads h"
     f" on h.workbook = c.workbook and h.header_row = c.row_idx), {ALIAS_CTE}"
@@ -601,7 +611,7 @@ def _alias_headers(spark, folder):
     return _single_headers(spark, folder, "single").withColumn("header", renamed)
 
 
-PAIR_CTE = """pair_rows as (
+PAIR_CTE = """pair_rows as materialized (
   select g.workbook, g.row_idx, b.field, coalesce(g.vals[1], 'nan') as record_id,
     coalesce(g.vals[2], 'nan') as subject_id, g.vals[truth_col + 1] as correct,
     g.vals[pred_col + 1] as predicted
@@ -610,8 +620,7 @@ PAIR_CTE = """pair_rows as (
 
 
 def _extracted(spark, folder):
-    blocks = _blocks(spark, folder, "single")
-    return layout.extract_pairs(blocks.data, layout.detect_mapping(blocks, CFG), CFG)
+    return layout.extract_single_pairs(*_single_map(spark, folder, "single"), CFG)
 
 
 register(
@@ -632,27 +641,28 @@ register(
 
 def _numbered(spark, folder):
     """Sheets whose id columns are named otherwise: the row number is the id."""
-    blocks = _blocks(spark, folder, "single")
-    headers = blocks.headers.withColumn(
-        "header", F.transform("header", lambda h: F.regexp_replace(h, "編號|受編", "no"))
-    )
-    pair_map = layout.detect_mapping(layout.Blocks(headers, blocks.data), CFG)
-    return layout.extract_pairs(blocks.data, pair_map, CFG).select(
+    header = F.transform("header", lambda h: F.regexp_replace(h, "編號|受編", "no"))
+    rows, pair_map = _single_map(spark, folder, "single", header=header)
+    return layout.extract_single_pairs(rows, pair_map, CFG).select(
         "workbook", "row_idx", "field", "record_id"
     )
 
 
+def _own_mapping(spark, folder):
+    rows = kept_sheets(spark, folder, "single")
+    own = profile.headers(profile.workbook_profile(rows)).select(
+        "workbook", F.lit("m").alias("model"), "header_row", "header",
+        pairing.pair_map_from({"證明": (5, 7), "類別": (3, 8)}).alias("mapping"),
+        F.lit(0).alias("id_col"), F.lit(1).alias("subject_col"),
+    )
+    return layout.extract_single_pairs(rows, stored(own, "pair-map"), CFG)
+
+
 register(
     "rsh23_own_mapping",
-    lambda spark, folder: layout.extract_pairs(
-        _blocks(spark, folder, "single").data,
-        grid.header_rows(sheets(spark, folder, "single")).select(
-            "workbook", F.lit("m").alias("model"), "header",
-            pairing.pair_map_from({"證明": (5, 7), "類別": (3, 8)}).alias("mapping"),
-            F.lit(0).alias("id_col"), F.lit(1).alias("subject_col"),
-        ),
-        CFG,
-    ).select("workbook", "row_idx", "field", "correct", "predicted"),
+    lambda spark, folder: _own_mapping(spark, folder).select(
+        "workbook", "row_idx", "field", "correct", "predicted"
+    ),
     f"with {grid_cte('single')}, {CELL_CTE}, {HEADER_CTE} select g.workbook, g.row_idx, p.field,"
     " vals[p.l + 1] as correct, vals[p.r + 1] as predicted from grid g join heads h"
     " on h.workbook = g.workbook and g.row_idx > header_row,"
@@ -706,7 +716,7 @@ register(
 # --- whole certificate job -----------------------------------------------------------------------
 
 PLAN_KINDS = ("vertical", "horizontal", "single")
-PLAN_CTE = """block_rows as (
+PLAN_CTE = """block_rows as materialized (
   select m.workbook, m.model, m.vals from members m join winners w
     on w.workbook = m.workbook and w.block_row = m.block_row
     where m.workbook like 'v%' and not (used and m.row_idx = first_row)
@@ -718,7 +728,7 @@ PLAN_CTE = """block_rows as (
   union all select g.workbook, case when cast(substr(g.workbook, 3) as int) % 2 = 0 then 'gemma3'
     else '未知模型' end, g.vals from grid g join heads h
     on h.workbook = g.workbook and g.row_idx > h.header_row where g.workbook like 's%'),
-sides as (
+sides as materialized (
   select workbook, model, p.field, coalesce(vals[l + 1], '') as l, coalesce(vals[r + 1], '') as r
   from block_rows, (values ('障礙等級', 2, 6), ('障礙類別', 3, 8), ('ICD診斷', 4, 9)) p(field, l, r))"""
 register(

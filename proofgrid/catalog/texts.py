@@ -100,18 +100,18 @@ def _naming_rows(spark, folder):
     )
 
 
-COMMON_CTE = f"""notes as (
+COMMON_CTE = f"""notes as materialized (
   select workbook, row_idx, col_idx, case when col_idx = 5 and row_idx > 2 and row_idx % 3 = 0
     then 'gpt-4' when col_idx = 5 and row_idx > 2 and row_idx % 3 = 1 then 'by llama'
     else value end as value
   from (select workbook, row_idx, i - 1 as col_idx, vals[i] as value
     from (select *, unnest(range(1, len(vals) + 1)) as i from grid))),
-names as (select *, {NAME_SQL} as name from notes where value is not null),
-common as (
+names as materialized (select *, {NAME_SQL} as name from notes where value is not null),
+common as materialized (
   select workbook, name from (select workbook, name, row_number() over (partition by workbook
       order by count(*) desc, min(col_idx * 1000000000 + row_idx)) as rn
     from names where name <> '' and row_idx > 2 group by workbook, name) where rn = 1),
-tops as (
+tops as materialized (
   select workbook, arg_min(name, row_idx * 100 + col_idx) as name from names
   where name <> '' and row_idx < 5 group by all)"""
 for _name in ("rsh22_dominant_model", "agg18_most_common", "srt02_most_common_first"):
@@ -392,6 +392,39 @@ register(
 # --- sinks: written, then read back --------------------------------------------------------------
 
 
+def _csv_grid(spark, folder):
+    """Customers as CSV files, one per nation, with quoted cells, line breaks in them and ragged rows."""
+    path = new_path(spark, "csv")
+    quoted = "concat('\"', replace({0}, '#', concat('\"\"', chr(10))), '\"')"
+    cells = (
+        "c_custkey", quoted.format("c_name"), "if(c_custkey % 5 = 0, '', c_mktsegment)",
+        quoted.format("concat('no ', c_custkey, ', \"\"x\"\"', chr(10), 'end')"),
+    )
+    wide = "concat_ws(',', " + ", ".join(cells) + ", c_mktsegment, 'last')"
+    short = "concat_ws(',', " + ", ".join(cells) + ")"
+    customer = table(spark, folder, "customer")
+    customer.selectExpr(
+        "c_nationkey as book", "c_custkey", f"if(c_custkey % 3 = 0, {wide}, {short}) as line"
+    ).repartition("book").sortWithinPartitions("book", "c_custkey").select("book", "line").write.partitionBy("book").text(path)
+    rows = tables.read_csv_grid(spark, path)
+    return rows.select(
+        F.regexp_extract("workbook", "book=([0-9]+)", 1).alias("workbook"), "row_idx",
+        F.size("values").cast("bigint").alias("width"), F.array_join("values", "|", "~").alias("cells"),
+    )
+
+
+register(
+    "src01_csv_grid",
+    _csv_grid,
+    "select cast(c_nationkey as varchar) as workbook,"
+    " row_number() over (partition by c_nationkey order by c_custkey) - 1 as row_idx,"
+    " cast(case when c_custkey % 3 = 0 then 6 else 4 end as bigint) as width,"
+    " concat(c_custkey, '|', replace(c_name, '#', concat('\"', chr(10))), '|',"
+    " case when c_custkey % 5 = 0 then '~' else c_mktsegment end, '|no ', c_custkey, ', \"x\"', chr(10), 'end',"
+    " case when c_custkey % 3 = 0 then concat('|', c_mktsegment, '|last') else '' end) as cells from customer",
+)
+
+
 def _read_report(spark, path, *columns):
     return spark.read.parquet(path).groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
 

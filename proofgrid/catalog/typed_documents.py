@@ -12,6 +12,7 @@ from proofgrid.catalog.inputs import document_sql
 from proofgrid.catalog.registry import register
 from proofgrid.functions import typed
 from proofgrid.operators import aggregate, reports, scoring
+from proofgrid.plans.storage import stored
 
 L, R = "correct", "predicted"
 LEN_SQL = "levenshtein(norm_correct, norm_predicted)"
@@ -184,7 +185,7 @@ register(
         " group by workbook, model, row_idx, field_type"
     ),
 )
-DOC_FIELDS_SQL = f"""doc_fields as (
+DOC_FIELDS_SQL = f"""doc_fields as materialized (
   select workbook, model, field, count(*) as total_cases, {RATE_SQL} as correct_cases,
     {RATE_SQL} / count(*) as accuracy_rate from scores {KEPT} group by all)"""
 register(
@@ -209,7 +210,7 @@ register(
         f" round({RATE_SQL} / count(*), 6) as accuracy_rate from scores {KEPT} group by all"
     ),
 )
-CASES_SQL = f"""cases as (
+CASES_SQL = f"""cases as materialized (
   select * from (
     select workbook, model, case_id, field, field_order,
       min(row_idx) over (partition by workbook, model, case_id, field) as first_row,
@@ -225,9 +226,16 @@ def _cases(spark, folder):
     return aggregate.document_cases(inputs.document_scores(spark, folder))
 
 
+def _whole_cases(spark, folder):
+    scores = stored(inputs.document_scores(spark, folder), "document-scores")
+    return aggregate.document_cases_with_texts(scores)
+
+
 register(
     "set02_last_case_wins",
-    lambda spark, folder: rounded(_cases(spark, folder), "cer_accuracy", "wer_accuracy"),
+    lambda spark, folder: rounded(
+        _whole_cases(spark, folder).drop("last_row"), "cer_accuracy", "wer_accuracy"
+    ),
     document_sql(
         "select workbook, model, case_id, field, first_row, field_order, accuracy,"
         " round(cer_accuracy, 6) as cer_accuracy, round(wer_accuracy, 6) as wer_accuracy, ai_value,"
@@ -248,7 +256,7 @@ register(
 )
 register(
     "rsh17_nested_cases",
-    lambda spark, folder: aggregate.document_cases_nested(_cases(spark, folder)).select(
+    lambda spark, folder: aggregate.document_cases_nested(_whole_cases(spark, folder)).select(
         "workbook", "model", "case_id", F.explode("fields").alias("field", "v")
     ).select("workbook", "model", "case_id", "field", "v.accuracy", "v.ai_value", "v.human_value"),
     document_sql(

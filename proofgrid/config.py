@@ -50,6 +50,7 @@ class ScoringConfig:
                      ``long_pair_cells`` to an Arrow helper, which is about 100 times faster there.
     ``chunk_rows``   rows per chunk of the prefix scans over one sheet.
     ``hot_splits``   into how many slices a join spreads the rows of one workbook.
+    ``max_starts``   model-naming rows of one workbook that are searched as an array per row.
     """
 
     exact_threshold: float = 0.99
@@ -62,6 +63,7 @@ class ScoringConfig:
     long_pair_cells: int = 250_000
     chunk_rows: int = 100_000
     hot_splits: int = 16
+    max_starts: int = 256
 
     def __post_init__(self) -> None:
         for name in ("exact_threshold", "mismatch_threshold"):
@@ -73,5 +75,5 @@ class ScoringConfig:
             raise ValueError(f"denominator must be one of {DENOMINATORS}")
         if self.edit_engine not in EDIT_ENGINES:
             raise ValueError(f"edit_engine must be one of {EDIT_ENGINES}")
-        if self.chunk_rows < 1 or self.hot_splits < 1:
-            raise ValueError("chunk_rows and hot_splits must be positive")
+        if min(self.chunk_rows, self.hot_splits, self.max_starts) < 1:
+            raise ValueError("chunk_rows, hot_splits and max_starts must be positive")

@@ -184,22 +184,36 @@ def evaluation_summary(
     ).withColumn("perfect_records", F.coalesce("perfect_records", F.lit(0)))
 
 
-def model_comparison(scores: DataFrame, cfg: ScoringConfig = DEFAULT) -> DataFrame:
-    """Models side by side with their fields; the row without a field is the model's total."""
-    return (
-        scores.rollup("model", "field")
-        .agg(
-            F.avg("similarity").alias("accuracy"),
-            F.count_if("is_exact_match").alias("exact_matches"),
-            _count().alias("total_records"),
-        )
-        .filter(F.col("model").isNotNull())
+def model_comparison(
+    scores: DataFrame, keys: list[str] = BLOCK, cfg: ScoringConfig = DEFAULT
+) -> DataFrame:
+    """Models side by side with their fields and, where ``is_total``, the model over all its fields.
+
+    The total is the weighted mean of the field accuracies. Both levels are grouping sets over one
+    relation of a row per field, so the scores are read once; a null model is a model like others.
+    """
+    fields = field_evaluation(scores, keys).withColumn("_weight", weight_of("field", cfg))
+    levels = fields.groupingSets([[*keys, "field"], keys], *keys, "field").agg(
+        F.max("accuracy").alias("_own"),
+        (F.sum(F.col("accuracy") * F.col("_weight")) / F.sum("_weight")).alias("_weighted"),
+        F.sum("exact_matches").alias("exact_matches"),
+        F.sum("total_records").alias("total_records"),
+        (F.grouping("field") == 1).alias("is_total"),
+    )
+    return levels.select(
+        *keys, "field", "is_total",
+        F.when(F.col("is_total"), F.col("_weighted")).otherwise(F.col("_own")).alias("accuracy"),
+        "exact_matches", "total_records",
     )
 
 
 # --- documents -----------------------------------------------------------------------------------
 
 
+def either_side() -> Column:
+    return F.col("correct").isNotNull() | F.col("predicted").isNotNull()
+
+
 def document_field_evaluation(scores: DataFrame) -> DataFrame:
     """Per model and field: cases with a value, exact ones and their rate."""
     kept = scores.filter(F.col("correct").isNotNull() | F.col("predicted").isNotNull())
@@ -262,32 +276,47 @@ def document_record_evaluation(scores: DataFrame) -> DataFrame:
     )
 
 
+CASE_KEYS = ["workbook", "model", "case_id", "field"]
+
+
 def document_cases(scores: DataFrame) -> DataFrame:
     """One row per model, case and field: of rows with the same case the last one counts.
 
-    ``row_idx`` tells the rows of a sheet apart.
+    ``row_idx`` tells the rows of a sheet apart; ``last_row`` is the one that counts. Only numbers are
+    aggregated, texts come from ``document_cases_with_texts``.
     """
-    kept = scores.filter(F.col("correct").isNotNull() | F.col("predicted").isNotNull())
-    # One aggregate per column: who leaves out the texts gets a hash aggregate without them.
     last = [
         F.max_by(name, "row_idx").alias(f"_{name}")
-        for name in ("is_exact_match", "cer", "wer", "correct", "predicted", "field_order")
+        for name in ("is_exact_match", "cer", "wer", "field_order")
     ]
     return (
-        kept.groupBy("workbook", "model", "case_id", "field")
-        .agg(*last, F.min("row_idx").alias("first_row"))
+        scores.filter(either_side()).groupBy(*CASE_KEYS)
+        .agg(*last, F.min("row_idx").alias("first_row"), F.max("row_idx").alias("last_row"))
         .select(
-            "workbook", "model", "case_id", "field", "first_row",
-            F.col("_field_order").alias("field_order"),
+            *CASE_KEYS, "first_row", "last_row", F.col("_field_order").alias("field_order"),
             percent_exact(F.col("_is_exact_match")).alias("accuracy"),
             percent_accuracy(F.col("_cer")).alias("cer_accuracy"),
             percent_accuracy(F.col("_wer")).alias("wer_accuracy"),
-            F.coalesce("_predicted", F.lit("")).alias("ai_value"),
-            F.coalesce("_correct", F.lit("")).alias("human_value"),
         )
     )
 
 
+def document_cases_with_texts(scores: DataFrame) -> DataFrame:
+    """``document_cases`` with ``ai_value`` and ``human_value``; ``scores`` should be a stored table.
+
+    Texts are read for the rows that count only.
+    """
+    texts = scores.filter(either_side()).select(
+        *CASE_KEYS, F.col("row_idx").alias("last_row"),
+        F.coalesce("predicted", F.lit("")).alias("ai_value"),
+        F.coalesce("correct", F.lit("")).alias("human_value"),
+    )
+    cases = document_cases(scores)
+    return texts.join(cases, [*CASE_KEYS, "last_row"]).select(
+        *[c for c in cases.columns], "ai_value", "human_value"
+    )
+
+
 def document_case_accuracy(cases: DataFrame) -> DataFrame:
     return cases.groupBy("workbook", "model", "case_id").agg(
         F.avg("accuracy").alias("case_accuracy"), _count().alias("fields"),
@@ -317,10 +346,16 @@ def first_mismatches(scores: DataFrame, n: int = 3, keys: list[str] = BLOCK) ->
 
 
 def last_wins(df: DataFrame, keys: list[str], order: str, values: list[str]) -> DataFrame:
-    """Of the rows with the same key the last one in ``order``."""
-    return df.groupBy(*keys).agg(F.max_by(F.struct(*values), order).alias("_v")).select(
-        *keys, "_v.*"
-    )
+    """Of the rows with the same key the last one in ``order``; null keys are equal to each other.
+
+    ``df`` should be a stored table in which a key has each ``order`` once. The last places are found
+    from numbers alone, then the values are read for these rows only.
+    """
+    last = df.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.max(order).alias("_last"))
+    same = F.col(order) == F.col("_last")
+    for key in keys:
+        same = same & F.col(key).eqNullSafe(F.col(f"_{key}"))
+    return df.join(last, same, "left_semi").select(*keys, *values)
 
 
 def ordered_fields(scores: DataFrame, keys: list[str] = BLOCK) -> DataFrame:

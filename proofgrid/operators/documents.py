@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from proofgrid.config import DEFAULT_DOCUMENT_MAPPING, ScoringConfig
 from proofgrid.functions.textnorm import strip, text
 from proofgrid.operators import grid
-from proofgrid.operators.joins import sliced_join
+from proofgrid.operators.joins import with_facts
+from proofgrid.plans.storage import stored
 
 DEFAULT = ScoringConfig()
 
@@ -93,13 +94,20 @@ def document_pair_map(rows: DataFrame) -> DataFrame:
 def document_pairs(
     rows: DataFrame, pair_map: DataFrame, cfg: ScoringConfig = DEFAULT
 ) -> DataFrame:
-    """One pair per case and mapped field. Cases where both sides are empty stay in."""
-    per_sheet = pair_map.groupBy("workbook").agg(
-        F.collect_list(F.struct("model", "field", "field_order", "ai_col", "human_col")).alias("_m")
+    """One pair per case and mapped field. Cases where both sides are empty stay in.
+
+    The map is one row per sheet; its size is read back and decides whether the cases stay in place.
+    """
+    per_sheet = stored(
+        pair_map.groupBy("workbook").agg(
+            F.collect_list(F.struct("model", "field", "field_order", "ai_col", "human_col"))
+            .alias("_m")
+        ),
+        "sheet-maps",
     )
     cases = rows.filter(F.col("row_idx") >= FIRST_CASE_ROW)
     return (
-        sliced_join(cases, per_sheet, ["workbook"], "row_idx", cfg.hot_splits)
+        with_facts(cases, per_sheet, ["workbook"], "row_idx", cfg.hot_splits)
         .select("workbook", "row_idx", "values", F.inline("_m"))
         .select(
             "workbook", "model", "row_idx",
@@ -186,7 +194,7 @@ def model_field_values(
     rows: DataFrame, models: DataFrame, fields: DataFrame
 ) -> DataFrame:
     """Per model and field the two cells in the field's row; a position is used as a row number."""
-    wanted = models.join(fields, "workbook")
+    wanted = stored(models.join(fields, "workbook"), "wanted-rows")
     return wanted.join(
         rows.withColumnRenamed("row_idx", "position"), ["workbook", "position"], "left"
     ).select(

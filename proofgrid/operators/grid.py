@@ -93,27 +93,21 @@ def model_census(rows: DataFrame) -> DataFrame:
     )
 
 
-def header_row_scores(rows: DataFrame) -> DataFrame:
-    """The first five rows of every workbook with the counts that decide about a header."""
-    named = F.filter("values", lambda v: ~F.startswith(text(v), F.lit("Unnamed")))
-    return rows.filter(F.col("row_idx") < HEADER_SCAN_ROWS).select(
-        "workbook",
-        "row_idx",
-        "values",
-        header_words_in(named).alias("header_cells"),
-        (
-            F.exists(named, lambda v: F.contains(text(v), F.lit(ID_HEADER)))
-            & F.exists("values", lambda v: F.contains(text(v), F.lit(SUBJECT_HEADER)))
-        ).alias("has_ids"),
+def is_header(values: Column) -> Column:
+    """Whether a row is a header: ids and 4 known words, or 6 words."""
+    named = F.filter(values, lambda v: ~F.startswith(text(v), F.lit("Unnamed")))
+    has_ids = F.exists(named, lambda v: F.contains(text(v), F.lit(ID_HEADER))) & F.exists(
+        values, lambda v: F.contains(text(v), F.lit(SUBJECT_HEADER))
     )
+    words = header_words_in(named)
+    return (has_ids & (words >= 4)) | (words >= 6)
 
 
 def header_rows(rows: DataFrame) -> DataFrame:
-    """The header row of each workbook: the first one with ids and 4 known words, or 6 words."""
-    accepted = (F.col("has_ids") & (F.col("header_cells") >= 4)) | (F.col("header_cells") >= 6)
+    """The header row of each workbook, the first one among its first five rows."""
     return (
-        header_row_scores(rows)
-        .filter(accepted)
+        rows.filter(F.col("row_idx") < HEADER_SCAN_ROWS)
+        .filter(is_header(F.col("values")))
         .groupBy("workbook")
         .agg(F.min_by(F.struct("row_idx", "values"), "row_idx").alias("_header"))
         .select(
@@ -214,10 +208,10 @@ def most_common(cells: DataFrame, value: str, name: str) -> DataFrame:
     )
 
 
-def dominant_model_name(
+def common_model_name(
     rows: DataFrame, headers: DataFrame, cfg: ScoringConfig = DEFAULT
 ) -> DataFrame:
-    """Top-row name, else the most common in hinted columns, else in any, else unknown."""
+    """``(workbook, common_name)``: the most common name in hinted columns, else in any column."""
     cells = named_cells(rows, headers, cfg)
     per_name = cells.groupBy("workbook", "name", "hinted").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("col_idx", "row_idx")).alias("first")
@@ -226,14 +220,20 @@ def dominant_model_name(
     in_hinted = F.min_by("name", F.when(F.col("hinted"), rank))
     # Names outside hinted columns count only when no hinted column names a model.
     in_any = F.min_by("name", F.when(~F.col("hinted"), rank))
-    found = per_name.groupBy("workbook").agg(F.coalesce(in_hinted, in_any).alias("_common"))
+    return per_name.groupBy("workbook").agg(F.coalesce(in_hinted, in_any).alias("common_name"))
+
+
+def dominant_model_name(
+    rows: DataFrame, headers: DataFrame, cfg: ScoringConfig = DEFAULT
+) -> DataFrame:
+    """Top-row name, else the most common one, else unknown."""
     return (
         first_model_name(rows)
-        .join(found, "workbook", "left")
+        .join(common_model_name(rows, headers, cfg), "workbook", "left")
         .select(
             "workbook",
             F.when(F.col("model_name") != UNKNOWN_MODEL, F.col("model_name"))
-            .otherwise(F.coalesce("_common", F.lit(UNKNOWN_MODEL)))
+            .otherwise(F.coalesce("common_name", F.lit(UNKNOWN_MODEL)))
             .alias("model_name"),
         )
     )

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from proofgrid.config import (
     DEFAULT_MAPPING,
@@ -18,32 +18,24 @@ from proofgrid.config import (
     FIELD_LEVEL,
     ScoringConfig,
 )
-from proofgrid.functions.modelnames import is_model_cell
 from proofgrid.functions.textnorm import contains_any, strip, text
-from proofgrid.operators import grid
-from proofgrid.operators.joins import sliced_join
+from proofgrid.operators import grid, profile as profiles
+from proofgrid.operators.joins import sliced_join, with_facts
 from proofgrid.operators.ordered import carry_forward, number_rows
+from proofgrid.operators.profile import FIELD_POSITIONS
+from proofgrid.plans.storage import stored
 
 DEFAULT = ScoringConfig()
 
-# Header words per field, fallback positions (truth, prediction), content marks.
+# Header words per field, headers of answer sheets.
 FIELD_WORDS = {
     FIELD_LEVEL: ["障礙等級"],
     FIELD_CATEGORY: ["障礙類別"],
     FIELD_ICD: ["ICD診斷", "ICD", "診斷"],
 }
-FIELD_POSITIONS = {FIELD_LEVEL: (2, 6), FIELD_CATEGORY: (3, 8), FIELD_ICD: (4, 9)}
-CONTENT_MARKS = {
-    FIELD_LEVEL: ["輕度", "中度", "重度", "極重度"],
-    FIELD_CATEGORY: [
-        "類", "其他", "第1類", "第2類", "第3類", "第4類", "第5類", "第6類", "第7類", "第8類",
-    ],
-    FIELD_ICD: ["【", "】", "[", "]", "換", "第"],
-}
 POSITIONAL_COLUMNS = 10
 ANSWER_HEADER, LLM_HEADER = "解答", "LLM辨識"
 PREFIX_COLUMNS = 6
-HORIZONTAL_HEADER_ROWS = 6
 
 MAPPING_TYPE = "array<struct<field:string,field_order:int,truth_col:int,pred_col:int>>"
 
@@ -56,53 +48,85 @@ class Blocks(NamedTuple):
 # --- model blocks below each other ---------------------------------------------------------------
 
 
-def _vertical_members(rows: DataFrame, cfg: ScoringConfig) -> DataFrame:
-    cleaned = F.transform("values", lambda v: strip(text(v)))
-    flagged = (
-        rows.select("workbook", "row_idx", cleaned.alias("values"))
-        .select(
-            "*",
-            grid.model_cell_of(F.col("values")).alias("_model_here"),
-            (grid.header_words_in(F.col("values")) >= 3).alias("_header_like"),
-            F.size("values").alias("_width"),
-        )
-        .filter(F.col("_model_here").isNotNull() | grid.has_content(F.col("values")))
-    )
-    start = F.when(
-        F.col("_model_here").isNotNull(),
-        F.struct(F.col("row_idx").alias("block_row"), F.col("_model_here").alias("model")),
-    )
-    carried = carry_forward(flagged, ["workbook"], "row_idx", start, "_block", cfg.chunk_rows)
-    return carried.filter(F.col("_block").isNotNull()).select(
-        "workbook", "row_idx", "values", "_header_like", "_width", "_block.*",
-        F.col("_model_here").isNull().alias("_member"),
+def _cleaned(rows: DataFrame) -> DataFrame:
+    cells = F.transform("values", lambda v: strip(text(v)))
+    return rows.select("workbook", "row_idx", cells.alias("values"))
+
+
+def block_starts(rows: DataFrame) -> DataFrame:
+    """Rows that name a model; each starts a block."""
+    return (
+        _cleaned(rows)
+        .select("workbook", "row_idx", grid.model_cell_of(F.col("values")).alias("model"))
+        .filter(F.col("model").isNotNull())
     )
 
 
+def last_at(starts: Column, position: Column) -> Column:
+    """The last entry of a sorted array whose ``row_idx`` is at most ``position``, null without one."""
+    upto = F.filter(starts, lambda s: s["row_idx"] <= position)
+    return F.get(upto, F.size(upto) - 1)
+
+
+def _vertical_members(rows: DataFrame, starts: DataFrame, cfg: ScoringConfig) -> DataFrame:
+    """Rows of blocks with their block: naming rows and rows with content. ``starts`` is stored.
+
+    A workbook's starts are an array that is searched per row. Only in workbooks with more than
+    ``max_starts`` of them the block is carried from row to row.
+    """
+    per_book = starts.groupBy("workbook").agg(F.count(F.lit(1)).alias("_n"))
+    crowded = stored(per_book.filter(F.col("_n") > cfg.max_starts).select("workbook"), "crowded")
+    index = stored(
+        starts.join(crowded, "workbook", "left_anti").groupBy("workbook")
+        .agg(F.array_sort(F.collect_list(F.struct("row_idx", "model"))).alias("_starts")),
+        "block-starts",
+    )
+    found = with_facts(_cleaned(rows), index, ["workbook"], "row_idx", cfg.hot_splits)
+    found = found.withColumn("_start", last_at(F.col("_starts"), F.col("row_idx"))).select(
+        "workbook", "row_idx", "values", F.col("_start.row_idx").alias("block_row"),
+        F.col("_start.model").alias("model"),
+    )
+    if not crowded.isEmpty():
+        rest = with_facts(_cleaned(rows), crowded, ["workbook"], "row_idx", cfg.hot_splits)
+        name = grid.model_cell_of(F.col("values"))
+        start = F.when(
+            name.isNotNull(), F.struct(F.col("row_idx").alias("block_row"), name.alias("model"))
+        )
+        carried = carry_forward(rest, ["workbook"], "row_idx", start, "_block", cfg.chunk_rows)
+        found = found.unionByName(carried.select("workbook", "row_idx", "values", "_block.*"))
+    is_start = F.col("row_idx") == F.col("block_row")
+    return found.filter(
+        F.col("block_row").isNotNull() & (is_start | grid.has_content(F.col("values")))
+    ).withColumn("_member", ~is_start)
+
+
 def _vertical_winners(members: DataFrame) -> DataFrame:
     """The block kept per model: the last one with data, and whether its first row is a header."""
-    blocks = members.groupBy("workbook", "model", "block_row").agg(
-        F.count_if("_member").alias("n"),
-        F.coalesce(F.bool_or(F.col("_header_like") & F.col("_member")), F.lit(False)).alias("head"),
-        F.min(F.when(F.col("_member"), F.col("row_idx"))).alias("first_row"),
-        F.max("_width").alias("width"),
+    header_like = grid.header_words_in(F.col("values")) >= 3
+    blocks = stored(
+        members.select(
+            "workbook", "model", "block_row", "row_idx", "_member",
+            (F.col("_member") & header_like).alias("_head"), F.size("values").alias("_width"),
+        )
+        .groupBy("workbook", "model", "block_row").agg(
+            F.count_if("_member").alias("n"),
+            F.bool_or("_head").alias("head"),
+            F.min(F.when(F.col("_member"), F.col("row_idx"))).alias("first_row"),
+            F.max("_width").alias("width"),
+        ),
+        "blocks",
     )
     last = blocks.groupBy("workbook").agg(
         F.max("block_row").alias("last_block"), F.max("width").alias("sheet_width")
     )
     used = F.col("head") & ((F.col("n") > 1) | (F.col("block_row") < F.col("last_block")))
-    return (
-        blocks.join(last, "workbook")
-        .withColumn("head_used", used)
+    with_data = (
+        blocks.join(last, "workbook").withColumn("head_used", used)
         .filter(F.col("n") - F.col("head_used").cast("int") > 0)
-        .groupBy("workbook", "model")
-        .agg(
-            F.max_by(
-                F.struct("block_row", "first_row", "head_used", "sheet_width"), "block_row"
-            ).alias("_win")
-        )
-        .select("workbook", "model", "_win.*")
+        .select("workbook", "model", "block_row", "first_row", "head_used", "sheet_width")
     )
+    kept = with_data.groupBy("workbook", "model").agg(F.max("block_row").alias("block_row"))
+    return with_data.join(kept, ["workbook", "model", "block_row"], "left_semi")
 
 
 def _number_labels(width: Column) -> Column:
@@ -110,12 +134,16 @@ def _number_labels(width: Column) -> Column:
 
 
 def split_vertically(rows: DataFrame, cfg: ScoringConfig = DEFAULT) -> Blocks:
-    """Blocks that start with a row naming a model; blank cells become empty text."""
-    members = _vertical_members(rows, cfg)
-    winners = _vertical_winners(members)
-    kept = sliced_join(
-        members.filter("_member").drop("_header_like", "_member", "_width"),
-        winners, ["workbook", "model", "block_row"], "row_idx", cfg.hot_splits,
+    """Blocks that start with a row naming a model; blank cells become empty text.
+
+    ``rows`` are read three times (starts, block sizes, data) and never shuffled as long as the
+    starts and the blocks fit into every task.
+    """
+    members = _vertical_members(rows, stored(block_starts(rows), "starts"), cfg)
+    winners = stored(_vertical_winners(members), "winners")
+    kept = with_facts(
+        members.filter("_member").drop("_member"), winners, ["workbook", "model", "block_row"],
+        "row_idx", cfg.hot_splits,
     ).withColumn(
         "values",
         F.concat(
@@ -123,7 +151,6 @@ def split_vertically(rows: DataFrame, cfg: ScoringConfig = DEFAULT) -> Blocks:
             F.array_repeat(F.lit(""), F.col("sheet_width") - F.size("values")),
         ),
     )
-    is_head = F.col("head_used") & (F.col("row_idx") == F.col("first_row"))
     first = F.col("row_idx") == F.col("first_row")
     headers = kept.filter(first).select(
         "workbook", "model",
@@ -131,34 +158,18 @@ def split_vertically(rows: DataFrame, cfg: ScoringConfig = DEFAULT) -> Blocks:
         .otherwise(_number_labels(F.col("sheet_width")))
         .alias("header"),
     )
-    data = kept.filter(~is_head).select("workbook", "model", "row_idx", "values")
+    data = kept.filter(~(F.col("head_used") & first)).select(
+        "workbook", "model", "row_idx", "values"
+    )
     return Blocks(headers, data)
 
 
 # --- model blocks side by side -------------------------------------------------------------------
 
 
-def horizontal_spans(rows: DataFrame) -> DataFrame:
+def horizontal_spans(profile: DataFrame) -> DataFrame:
     """Column range of every model named in the first five rows of a sheet with two or more."""
-    top = rows.filter(F.col("row_idx") < grid.HEADER_SCAN_ROWS)
-    names = (
-        grid.rows_to_cells(top)
-        .filter(is_model_cell("value"))
-        .groupBy("workbook", "col_idx")
-        .agg(F.max_by(strip("value"), "row_idx").alias("model"))
-    )
-    widths = rows.groupBy("workbook").agg(F.max(F.size("values")).alias("width"))
-    by_column = Window.partitionBy("workbook").orderBy("col_idx")
-    return (
-        names.join(widths, "workbook")
-        .select(
-            "workbook", "model", F.col("col_idx").alias("start_col"),
-            F.coalesce(F.lead("col_idx").over(by_column) - 1, F.col("width") - 1).alias("end_col"),
-            F.count(F.lit(1)).over(Window.partitionBy("workbook")).alias("_n"),
-        )
-        .filter(F.col("_n") > 1)
-        .drop("_n")
-    )
+    return profiles.column_spans(profile).select("workbook", F.inline("spans"))
 
 
 def _part(values: Column, start: Column, end: Column) -> Column:
@@ -167,21 +178,22 @@ def _part(values: Column, start: Column, end: Column) -> Column:
     return F.slice(padded, start + 1, end - start + 1)
 
 
-def horizontal_headers(rows: DataFrame, spans: DataFrame) -> DataFrame:
-    """Spans with their header row; spans without one are left out."""
-    top = rows.filter(F.col("row_idx") < HORIZONTAL_HEADER_ROWS)
-    values = F.col("values")
-    inside = _part(values, F.col("start_col"), F.col("end_col"))
-    prefix_end = F.least(F.lit(PREFIX_COLUMNS), F.col("start_col")) - 1
-    found = (
-        top.join(spans, "workbook")
-        .filter(grid.header_words_in(inside, grid.SHORT_HEADER_WORDS) >= 2)
-        .groupBy("workbook", "model", "start_col", "end_col")
-        .agg(F.min_by(F.struct("row_idx", "values"), "row_idx").alias("_head"))
+def _prefix_end(start: Column) -> Column:
+    return F.least(F.lit(PREFIX_COLUMNS), start) - 1
+
+
+def horizontal_headers(profile: DataFrame) -> DataFrame:
+    """Spans with their header row, the first head row that suits; spans without one are left out."""
+    spans = profiles.column_spans(profile).select("workbook", "head", F.inline("spans"))
+    fitting = F.filter(
+        "head",
+        lambda r: grid.header_words_in(
+            _part(r["values"], F.col("start_col"), F.col("end_col")), grid.SHORT_HEADER_WORDS
+        ) >= 2,
     )
     labels = F.concat(
         F.transform(
-            _part(F.col("_head.values"), F.lit(0), prefix_end),
+            _part(F.col("_head.values"), F.lit(0), _prefix_end(F.col("start_col"))),
             lambda v, i: F.coalesce(v, F.concat(F.lit("col_"), i.cast("string"))),
         ),
         F.transform(
@@ -191,33 +203,54 @@ def horizontal_headers(rows: DataFrame, spans: DataFrame) -> DataFrame:
             ),
         ),
     )
-    return found.select(
-        "workbook", "model", "start_col", "end_col",
-        F.col("_head.row_idx").alias("header_row"), labels.alias("header"),
+    return (
+        spans.withColumn("_head", F.get(fitting, F.lit(0))).filter(F.col("_head").isNotNull())
+        .select(
+            "workbook", "model", "start_col", "end_col",
+            F.col("_head.row_idx").alias("header_row"), labels.alias("header"),
+        )
     )
 
 
-def split_horizontally(rows: DataFrame, cfg: ScoringConfig = DEFAULT) -> Blocks:
-    """Blocks next to each other: shared first columns plus the model's own; blanks stay null."""
-    spans = horizontal_headers(rows, horizontal_spans(rows))
-    prefix_end = F.least(F.lit(PREFIX_COLUMNS), F.col("start_col")) - 1
-    joined = (
-        sliced_join(rows, spans.drop("header"), ["workbook"], "row_idx", cfg.hot_splits)
-        .filter(F.col("row_idx") > F.col("header_row"))
-        .withColumn(
-            "values",
-            F.concat(
-                _part(F.col("values"), F.lit(0), prefix_end),
-                _part(F.col("values"), F.col("start_col"), F.col("end_col")),
-            ),
+def split_horizontally(
+    rows: DataFrame, cfg: ScoringConfig = DEFAULT, profile: DataFrame | None = None
+) -> Blocks:
+    """Blocks next to each other: shared first columns plus the model's own; blanks stay null.
+
+    The spans of a workbook are an array next to its rows; each row yields one part per span.
+    """
+    profile = stored(profiles.workbook_profile(rows), "profile") if profile is None else profile
+    spans = stored(horizontal_headers(profile), "spans")
+    span = F.struct("model", "start_col", "end_col", "header_row")
+    index = stored(
+        spans.groupBy("workbook").agg(F.collect_list(span).alias("_spans")), "span-index"
+    )
+
+    def part(values: Column, s: Column) -> Column:
+        return F.concat(
+            _part(values, F.lit(0), _prefix_end(s["start_col"])),
+            _part(values, s["start_col"], s["end_col"]),
         )
+
+    parts = F.transform(
+        F.filter("_spans", lambda s: F.col("row_idx") > s["header_row"]),
+        lambda s: F.struct(
+            s["model"].alias("model"), s["start_col"].alias("start_col"),
+            part(F.col("values"), s).alias("values"),
+        ),
+    )
+    joined = (
+        with_facts(rows, index, ["workbook"], "row_idx", cfg.hot_splits)
+        .select("workbook", "row_idx", F.inline(parts))
         .filter(grid.has_content(F.col("values")))
     )
     # A model named twice keeps its last block that has data.
-    winners = joined.groupBy("workbook", "model").agg(F.max("start_col").alias("start_col"))
+    winners = stored(
+        joined.groupBy("workbook", "model").agg(F.max("start_col").alias("start_col")), "winners"
+    )
     headers = spans.join(winners, ["workbook", "model", "start_col"], "left_semi")
-    data = sliced_join(
-        joined, winners, ["workbook", "model", "start_col"], "row_idx", cfg.hot_splits
+    data = with_facts(
+        joined, winners, ["workbook", "model", "start_col"], "row_idx", cfg.hot_splits, "left_semi"
     )
     return Blocks(
         headers.select("workbook", "model", "header"),
@@ -251,15 +284,18 @@ def choose_layout(
     )
 
 
-def single_blocks(rows: DataFrame, layouts: DataFrame, cfg: ScoringConfig = DEFAULT) -> Blocks:
-    """Sheets with one model. The model is named by the sheet itself."""
-    mine = layouts.filter(F.col("layout").isin("single", "raw"))
-    found = grid.header_rows(rows)
-    widths = rows.groupBy("workbook").agg(F.max(F.size("values")).alias("width"))
+def single_headers(
+    rows: DataFrame, layouts: DataFrame, profile: DataFrame, cfg: ScoringConfig = DEFAULT
+) -> DataFrame:
+    """``(workbook, model, header_row, header)`` of sheets with one model, stored.
+
+    The model is named by the sheet itself. ``profile`` and ``layouts`` are stored tables.
+    """
     raw = F.col("layout") == "raw"
+    mine = layouts.filter(F.col("layout").isin("single", "raw"))
     heads = (
-        mine.join(widths, "workbook")
-        .join(found, "workbook", "left")
+        profile.join(mine, "workbook").select("workbook", "width", "layout")
+        .join(profiles.headers(profile), "workbook", "left")
         .filter(raw | F.col("header_row").isNotNull())
         .select(
             "workbook",
@@ -273,15 +309,27 @@ def single_blocks(rows: DataFrame, layouts: DataFrame, cfg: ScoringConfig = DEFA
             .alias("header"),
         )
     )
-    named = heads.join(
-        grid.dominant_model_name(rows, heads, cfg).withColumnRenamed("model_name", "model"),
-        "workbook",
+    heads = stored(heads, "single-headers")
+    return stored(heads.join(profiles.model_names(profile, rows, heads, cfg), "workbook"), "heads")
+
+
+def below_headers(
+    rows: DataFrame, heads: DataFrame, cfg: ScoringConfig = DEFAULT
+) -> DataFrame:
+    """Rows below the header of their sheet with the other columns of ``heads``, a stored table."""
+    return with_facts(rows, heads, ["workbook"], "row_idx", cfg.hot_splits).filter(
+        F.col("row_idx") > F.col("header_row")
     )
-    data = sliced_join(
-        rows, named.drop("header"), ["workbook"], "row_idx", cfg.hot_splits
-    ).filter(F.col("row_idx") > F.col("header_row"))
+
+
+def single_blocks(
+    rows: DataFrame, layouts: DataFrame, profile: DataFrame, cfg: ScoringConfig = DEFAULT
+) -> Blocks:
+    """Sheets with one model."""
+    heads = single_headers(rows, layouts, profile, cfg)
+    data = below_headers(rows, heads.drop("header"), cfg)
     return Blocks(
-        named.select("workbook", "model", "header"),
+        heads.select("workbook", "model", "header"),
         data.select("workbook", "model", "row_idx", "values"),
     )
 
@@ -368,24 +416,10 @@ def map_default_names(header: Column) -> Column:
 
 
 def check_content(data: DataFrame) -> DataFrame:
-    """Fields whose fixed positions hold fitting values: both sides filled, one side with a mark."""
-    aggregates = []
-    for i, (field, (truth, predicted)) in enumerate(FIELD_POSITIONS.items()):
-        left, right = grid.cell(truth), grid.cell(predicted)
-        marks = CONTENT_MARKS[field]
-        aggregates.append(
-            (
-                (F.count(left) > 0)
-                & (F.count(right) > 0)
-                & F.bool_or(contains_any(left, marks) | contains_any(right, marks))
-            ).alias(f"_ok{i}")
-        )
-    good = F.array_compact(
-        F.array(*[F.when(F.col(f"_ok{i}"), f) for i, f in enumerate(FIELD_POSITIONS)])
-    )
-    return (
-        data.groupBy("workbook", "model").agg(*aggregates)
-        .select("workbook", "model", good.alias("valid_fields"))
+    """Fields whose fixed positions hold fitting values in a block."""
+    flags = data.select("workbook", "model", profiles.position_flags(F.col("values")).alias("_flags"))
+    return flags.groupBy("workbook", "model").agg(F.bit_or("_flags").alias("_flags")).select(
+        "workbook", "model", profiles.fitting_fields(F.col("_flags")).alias("valid_fields")
     )
 
 
@@ -395,39 +429,63 @@ def missing_columns(header: Column) -> Column:
     return F.array_except(F.array(*map(F.lit, required)), header)
 
 
-def detect_mapping(blocks: Blocks, cfg: ScoringConfig = DEFAULT) -> DataFrame:
-    """``pair_map(workbook, model, header, mapping, id_col, subject_col)``, one row per block.
+def choose_mapping(header: Column, by_name: Column, valid_fields: Column) -> Column:
+    """The mapping of one block.
 
     Order of rules: header words, then the answer-sheet form or fixed positions with a content
-    check, then the default names. Blocks where no rule fits have an empty ``mapping``.
+    check, then the default names. Empty where no rule fits.
     """
-    header = F.col("header")
-    by_name = map_by_name(header)
-    answer = is_answer_sheet(header)
-    named = blocks.headers.withColumn("_by_name", by_name).withColumn(
-        "_by_position", F.when((F.size("_by_name") == 0) & ~answer, map_by_position(header))
-    )
-    asking = named.filter(F.size("_by_position") > 0).select("workbook", "model")
-    content = check_content(
-        sliced_join(blocks.data, asking, ["workbook", "model"], "row_idx", cfg.hot_splits)
-    )
     positional = F.filter(
-        F.coalesce("_by_position", F.array().cast(MAPPING_TYPE)),
-        lambda e: F.coalesce(F.array_contains("valid_fields", e["field"]), F.lit(False)),
+        map_by_position(header),
+        lambda e: F.coalesce(F.array_contains(valid_fields, e["field"]), F.lit(False)),
     )
-    later = F.when(answer, map_answer_sheet(header)).otherwise(positional)
-    chosen = (
-        F.when(F.size("_by_name") > 0, F.col("_by_name"))
+    later = F.when(is_answer_sheet(header), map_answer_sheet(header)).otherwise(positional)
+    return (
+        F.when(F.size(by_name) > 0, by_name)
         .when(F.size(later) > 0, later)
         .otherwise(map_default_names(header))
     )
-    return named.join(content, ["workbook", "model"], "left").select(
-        "workbook", "model", "header", chosen.alias("mapping"),
+
+
+def _pair_map(named: DataFrame, *more: str) -> DataFrame:
+    """From header, ``_by_name`` and ``valid_fields`` to the pair map."""
+    header = F.col("header")
+    return named.select(
+        "workbook", "model", *more, "header",
+        choose_mapping(header, F.col("_by_name"), F.col("valid_fields")).alias("mapping"),
         position_of(header, grid.ID_HEADER).alias("id_col"),
         position_of(header, grid.SUBJECT_HEADER).alias("subject_col"),
     )
 
 
+def detect_mapping(blocks: Blocks, cfg: ScoringConfig = DEFAULT) -> DataFrame:
+    """``pair_map(workbook, model, header, mapping, id_col, subject_col)``, one row per block.
+
+    Only blocks that no header words map and that are wide enough have their rows looked at.
+    """
+    header = F.col("header")
+    named = stored(blocks.headers.withColumn("_by_name", map_by_name(header)), "named-blocks")
+    asking = (F.size("_by_name") == 0) & ~is_answer_sheet(header) & (F.size(map_by_position(header)) > 0)
+    asking = named.filter(asking).select("workbook", "model")
+    if asking.isEmpty():
+        no_fields = F.lit(None).cast("array<string>")
+        return _pair_map(named.withColumn("valid_fields", no_fields))
+    content = check_content(
+        with_facts(blocks.data, asking, ["workbook", "model"], "row_idx", cfg.hot_splits)
+    )
+    return _pair_map(named.join(content, ["workbook", "model"], "left"))
+
+
+def map_singles(heads: DataFrame, profile: DataFrame) -> DataFrame:
+    """``pair_map`` with ``header_row`` of sheets with one model, from their profiles alone."""
+    facts = profile.select("workbook", "tail_flags", "head")
+    named = heads.join(facts, "workbook").withColumns({
+        "_by_name": map_by_name(F.col("header")),
+        "valid_fields": profiles.fitting_fields(profiles.data_flags(F.col("header_row"))),
+    })
+    return _pair_map(named, "header_row")
+
+
 def extract_pairs(
     data: DataFrame, pair_map: DataFrame, cfg: ScoringConfig = DEFAULT,
     number_missing_ids: bool = True,
@@ -441,6 +499,26 @@ def extract_pairs(
         data, pair_map.drop("header").filter(F.size("mapping") > 0), ["workbook", "model"],
         "row_idx", cfg.hot_splits,
     )
+    return mapped_pairs(joined, cfg, number_missing_ids)
+
+
+def lacks_ids(pair_map: DataFrame) -> bool:
+    """Whether a block of the stored pair map has no column for one of the two ids."""
+    return not pair_map.filter(F.col("id_col").isNull() | F.col("subject_col").isNull()).isEmpty()
+
+
+def extract_single_pairs(
+    rows: DataFrame, pair_map: DataFrame, cfg: ScoringConfig = DEFAULT
+) -> DataFrame:
+    """Long pairs of sheets with one model: one scan of the rows next to the stored pair map."""
+    facts = pair_map.drop("header").filter(F.size("mapping") > 0)
+    return mapped_pairs(below_headers(rows, facts, cfg), cfg, lacks_ids(pair_map))
+
+
+def mapped_pairs(
+    joined: DataFrame, cfg: ScoringConfig = DEFAULT, number_missing_ids: bool = True
+) -> DataFrame:
+    """Pairs of data rows that stand next to their block's mapping and id columns."""
     has_ids = F.col("id_col").isNotNull() & F.col("subject_col").isNotNull()
     no_position = F.lit(None).cast("bigint")
     if number_missing_ids:

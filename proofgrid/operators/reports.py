@@ -174,6 +174,28 @@ def summary_items(summary: DataFrame) -> DataFrame:
     return summary.select(*BLOCK, F.inline(entries))
 
 
+def summary_table(scores: DataFrame, summary: DataFrame) -> DataFrame:
+    """The summary sheet: its items, then a line per field with accuracy and exact-match rate.
+
+    Lines are numbered in sheet order; ``section`` tells the two parts apart.
+    """
+    fields = (
+        scores.groupBy(*BLOCK, "field").agg(
+            F.min("field_order").alias("_order"), F.avg("similarity").alias("value"),
+            (F.count_if("is_exact_match") / F.count(F.lit(1))).alias("match_rate"),
+            F.count("correct").alias("_truths"), F.count("predicted").alias("_predictions"),
+        )
+        .filter((F.col("_truths") > 0) & (F.col("_predictions") > 0))
+    )
+    lines = fields.select(
+        *BLOCK, F.lit("field").alias("section"),
+        (F.col("_order") + len(SUMMARY_ITEMS)).alias("item_order"), F.col("field").alias("item"),
+        "value", "match_rate",
+    )
+    items = summary_items(summary).withColumn("section", F.lit("item"))
+    return items.unionByName(lines, allowMissingColumns=True)
+
+
 def record_summary(records: DataFrame) -> DataFrame:
     return records.select(
         *BLOCK, "row_idx", "record_id", "subject_id", "overall_accuracy", "matched_fields",

@@ -7,8 +7,8 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, functions as F
 
 from proofgrid.config import ScoringConfig
-from proofgrid.operators import aggregate, diagnostics, grid, layout, reports
-from proofgrid.operators.joins import sliced_join
+from proofgrid.operators import aggregate, diagnostics, layout, profile as profiles, reports
+from proofgrid.operators.joins import sliced_join, with_facts
 from proofgrid.operators.layout import Blocks
 from proofgrid.operators.scoring import score_pairs
 from proofgrid.plans.storage import stored
@@ -69,40 +69,30 @@ def _union(parts: list[Blocks]) -> Blocks:
     return Blocks(headers, data)
 
 
-def find_blocks(
-    rows: DataFrame, cfg: ScoringConfig = DEFAULT, keep_layout: bool = False
-) -> tuple[DataFrame, Blocks]:
+def find_blocks(rows: DataFrame, cfg: ScoringConfig = DEFAULT) -> tuple[DataFrame, Blocks]:
     """Layout per workbook and the blocks of all workbooks.
 
-    Only workbooks that name several models go through the two splits. With ``keep_layout`` the
-    small census and layout tables are written first: Spark then knows their size and can send them
-    to all tasks instead of shuffling the sheet rows, and layouts that do not occur cost no scan.
+    One pass makes the profiles. Only workbooks that name several models go through the two splits;
+    layouts that do not occur cost no scan.
     """
-    census = grid.model_census(rows)
-    if keep_layout:
-        census = stored(census, "census")
-        if census.filter("is_multi_model").isEmpty():
-            layouts = census.select("workbook", F.lit("single").alias("layout"))
-            return layouts, layout.single_blocks(rows, layouts, cfg)
-    several = sliced_join(
-        rows, census.filter("is_multi_model").select("workbook"), ["workbook"], "row_idx",
-        cfg.hot_splits,
-    )
+    profile = stored(profiles.workbook_profile(rows), "profile")
+    census = profiles.census(profile)
+    if census.filter("is_multi_model").isEmpty():
+        layouts = census.select("workbook", F.lit("single").alias("layout"))
+        return layouts, layout.single_blocks(rows, layouts, profile, cfg)
+    multi = stored(profile.filter("model_cells > 1"), "multi-profile")
+    several = with_facts(rows, multi.select("workbook"), ["workbook"], "row_idx", cfg.hot_splits)
     vertical = layout.split_vertically(several, cfg)
-    horizontal = layout.split_horizontally(several, cfg)
-    layouts = layout.choose_layout(census, vertical.headers, horizontal.headers)
-    present = {"vertical", "horizontal", "single", "raw"}
-    if keep_layout:
-        layouts = stored(layouts, "layouts")
-        # At most four names.
-        present = {r.layout for r in layouts.select("layout").distinct().collect()}
+    horizontal = layout.split_horizontally(several, cfg, multi)
+    layouts = stored(layout.choose_layout(census, vertical.headers, horizontal.headers), "layouts")
+    present = {r.layout for r in layouts.select("layout").distinct().collect()}  # four names at most
     parts = []
     if "vertical" in present:
         parts.append(_of_layout(vertical, layouts, "vertical", cfg))
     if "horizontal" in present:
         parts.append(_of_layout(horizontal, layouts, "horizontal", cfg))
     if present & {"single", "raw"}:
-        parts.append(layout.single_blocks(rows, layouts, cfg))
+        parts.append(layout.single_blocks(rows, layouts, profile, cfg))
     return layouts, _union(parts)
 
 
@@ -111,13 +101,10 @@ def evaluate_workbooks(
     keep_scores: bool = True,
 ) -> Evaluation:
     """Score all certificate sheets in ``rows``; failed blocks end up in ``diagnostics``."""
-    layouts, blocks = find_blocks(rows, cfg, keep_layout=keep_scores)
+    layouts, blocks = find_blocks(rows, cfg)
     pair_map = layout.detect_mapping(blocks, cfg)
-    if keep_scores:
-        pair_map = stored(pair_map, "pair-map")
-    nameless = F.col("id_col").isNull() | F.col("subject_col").isNull()
-    number_rows = not keep_scores or not pair_map.filter(nameless).isEmpty()
-    pairs = layout.extract_pairs(blocks.data, pair_map, cfg, number_rows)
+    pair_map = stored(pair_map, "pair-map")
+    pairs = layout.extract_pairs(blocks.data, pair_map, cfg, layout.lacks_ids(pair_map))
     result = evaluate_pairs(pairs, cfg, value_set_id, keep_scores)
     problems = diagnostics.without_header(layouts, blocks.headers).unionByName(
         diagnostics.without_mapping(pair_map)

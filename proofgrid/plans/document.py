@@ -29,21 +29,18 @@ def evaluate_documents(
     keep_scores: bool = False, scores_path: str | None = None,
 ) -> DocumentEvaluation:
     """Score all document sheets in ``rows``."""
-    pair_map = documents.document_pair_map(rows)
-    if keep_scores or scores_path:
-        pair_map = stored(pair_map, "pair-map")
+    pair_map = stored(documents.document_pair_map(rows), "pair-map")
     scores = score_document_pairs(either_side(documents.document_pairs(rows, pair_map, cfg)), cfg)
     if keep_scores or scores_path:
         scores = stored(scores, "document-scores", scores_path)
     fields = aggregate.document_field_evaluation(scores)
-    cases = aggregate.document_cases(scores)
     return DocumentEvaluation(
         pair_map=pair_map,
         scores=scores,
         fields=fields,
         summary=aggregate.document_summary(pair_map, fields, documents.count_cases(rows)),
-        cases=cases,
-        report=reports.document_lines(cases, value_set_id),
+        cases=aggregate.document_cases_with_texts(scores),
+        report=reports.document_lines(aggregate.document_cases(scores), value_set_id),
         diagnostics=diagnostics.short_documents(rows).unionByName(
             diagnostics.documents_without_fields(rows, pair_map)
         ),

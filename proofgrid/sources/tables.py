@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+
+from proofgrid.plans.storage import stored
 
 # Accepted file endings and size limits in bytes per sheet family.
 ENDINGS = (".xlsx", ".xls")
@@ -28,34 +30,78 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
-def read_csv_grid(spark: SparkSession, path: str, n_columns: int, **options) -> DataFrame:
+# A comma and a cell: quoted with doubled quotes inside, quoted without an end, or up to the next comma.
+_CELL = r'(?s),("(?:[^"]++|"")*+"[^,]*+|".*+|[^,"][^,]*+|)'
+
+
+def parse_record(record: Column) -> Column:
+    """The cells of one CSV record, as many as it has; blank cells are null."""
+    cells = F.regexp_extract_all(F.concat(F.lit(","), record), F.lit(_CELL), F.lit(1))
+
+    def unquoted(cell: Column) -> Column:
+        quote = F.lit('"')
+        quoted = F.startswith(cell, quote) & F.endswith(cell, quote) & (F.char_length(cell) > 1)
+        inside = F.replace(F.substring(cell, F.lit(2), F.char_length(cell) - 2), F.lit('""'), quote)
+        return F.nullif(F.when(quoted, inside).otherwise(cell), F.lit(""))
+
+    return F.transform(cells, unquoted)
+
+
+def read_csv_grid(spark: SparkSession, path: str, n_columns: int = 0) -> DataFrame:
     """CSV files as ``rows(workbook, row_idx, values)``; the file path names the workbook.
 
-    Spark reads a file in splits and numbers rows only within a partition. The rows before a split
-    are counted once per split, which gives every row its place in the file without sorting.
+    A row has as many cells as its record, padded to ``n_columns`` only where that is wider; nothing is cut.
+    Quoted cells may hold commas, doubled quotes and line breaks (which become ``\\n``). Blank lines
+    outside of quotes are no rows.
+
+    Files are read once, line by line and in splits. Whether a line begins inside quotes follows from the
+    quotes before it: those of its split and, by one sum per split, those of the splits before. Lines that
+    begin inside quotes belong to the record before them, also across the border of two splits. So no
+    file has to fit into one task; a split and a record do.
     """
-    names = [f"c{i}" for i in range(n_columns)]
-    schema = ", ".join(f"{n} string" for n in names)
-    raw = (
-        spark.read.options(header=False, **options).schema(schema).csv(path)
-        .select(
+    lines = stored(
+        spark.read.text(path).select(
             F.col("_metadata.file_path").alias("workbook"),
             F.col("_metadata.file_block_start").alias("_start"),
-            F.monotonically_increasing_id().alias("_id"),
-            F.array(*names).alias("values"),
-        )
-    )
-    splits = raw.groupBy("workbook", "_start").agg(
-        F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n")
+            F.monotonically_increasing_id().alias("_id"), F.col("value").alias("_line"),
+            F.char_length(F.regexp_replace("value", '[^"]', "")).alias("_quotes"),
+        ),
+        "csv-lines",
     )
+    splits = lines.groupBy("workbook", "_start").agg(F.sum("_quotes").alias("_n"))
     before = (
         Window.partitionBy("workbook").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
     )
-    offsets = splits.select(
-        "workbook", "_start", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_b")
+    quotes_before = F.coalesce(F.sum("_n").over(before), F.lit(0))
+    openings = splits.select("workbook", "_start", quotes_before.alias("_before"))
+    in_split = (
+        Window.partitionBy("workbook", "_start").orderBy("_id")
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    quotes = F.col("_before") + F.coalesce(F.sum("_quotes").over(in_split), F.lit(0))
+    placed = stored(
+        lines.join(openings, ["workbook", "_start"])
+        .withColumn("_outside", quotes % 2 == 0)
+        .filter(~F.col("_outside") | (F.trim("_line") != ""))
+        .withColumn("_begins", F.col("_outside").cast("int"))
+        .withColumn("_nth", F.sum("_begins").over(in_split.rowsBetween(Window.unboundedPreceding, 0)))
+        .drop("_quotes", "_before", "_outside"),
+        "csv-records",
+    )
+    starts = placed.groupBy("workbook", "_start").agg(F.sum("_begins").alias("_records")).select(
+        "workbook", "_start", F.coalesce(F.sum("_records").over(before), F.lit(0)).alias("_shift")
+    )
+    records = (
+        placed.join(starts, ["workbook", "_start"])
+        .withColumn("row_idx", F.col("_nth") + F.col("_shift") - 1)
+        .groupBy("workbook", "row_idx")
+        .agg(F.array_sort(F.collect_list(F.struct("_start", "_id", "_line"))).alias("_lines"))
     )
-    return raw.join(offsets, ["workbook", "_start"]).select(
-        "workbook", (F.col("_b") + F.col("_id") - F.col("_first")).alias("row_idx"), "values"
+    cells = parse_record(F.array_join(F.transform("_lines", lambda x: x["_line"]), "\n"))
+    missing = F.greatest(F.lit(0), F.lit(n_columns) - F.size("_cells"))
+    return records.select("workbook", "row_idx", cells.alias("_cells")).select(
+        "workbook", "row_idx",
+        F.concat("_cells", F.array_repeat(F.lit(None).cast("string"), missing)).alias("values"),
     )
 
 

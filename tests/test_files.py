@@ -1,7 +1,11 @@
 """Files in, reports out, streams and two-table input."""
 
 import io
+import os
+import subprocess
+import sys
 import zipfile
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,11 +15,14 @@ from proofgrid.operators import joins, reports
 from proofgrid.operators.pairing import wide_to_pairs
 from proofgrid.operators.scoring import score_pairs
 from proofgrid.plans.certificate import evaluate_pairs, evaluate_workbooks
+from proofgrid.plans import storage
 from proofgrid.plans.storage import stored
 from proofgrid.sources import samples, sinks, tables, workbooks
 from proofgrid.sources.samples import GRID_HEADER, GRID_ROWS
 from proofgrid.streaming import incremental
 
+ROOT = Path(__file__).resolve().parents[1]
+
 
 def styled_workbook():
     """Shared texts with phonetic runs, a date style, a boolean and skipped cells."""
@@ -89,6 +96,34 @@ def test_csv_rows_keep_their_place_over_splits(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_ragged_csv_loses_nothing(spark, tmp_path):
+    """Rows of unequal width, quoted commas, doubled quotes and line breaks, also across the borders of splits."""
+    import csv
+    import random
+
+    rng = random.Random(7)
+    pool = ["", "a", "b c", 'q"q', "x,y", "one\ntwo", '"', "\n\n", ' "s" ', "é"]
+    records = [[f"r{i}", *(rng.choice(pool) for _ in range(rng.randint(0, 6)))] for i in range(1500)]
+    records[700].append("long\n" * 3000)  # longer than several splits
+    with open(tmp_path / "a.csv", "w", newline="", encoding="utf-8") as file:
+        csv.writer(file, lineterminator="\n").writerows(records)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")
+    try:
+        rows = tables.read_csv_grid(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    got = {r.row_idx: r["values"] for r in rows}
+    assert got == {i: [v or None for v in record] for i, record in enumerate(records)}
+
+
+def test_csv_corner_cases(spark, tmp_path):
+    (tmp_path / "c.csv").write_bytes(b',a,\r\n\r\n"x"\n"",""\n"never closed,1\nto the end')
+    rows = tables.read_csv_grid(spark, str(tmp_path), 3).orderBy("row_idx").collect()
+    assert [r["values"] for r in rows] == [
+        [None, "a", None], ["x", None, None], [None, None, None], ['"never closed,1\nto the end', None, None]
+    ]
+
+
 def test_reports_are_partitioned_by_model(spark, tmp_path):
     pairs = wide_to_pairs(samples.five_row_sample(spark)).withColumn(
         "model", F.when(F.col("row_idx") < 2, "a/b").otherwise("c")
@@ -127,15 +162,122 @@ def test_stream_equals_batch(spark, tmp_path):
     batch = {(r.row_idx, r.field): r.similarity for r in score_pairs(pairs).collect()}
     got = {(r.row_idx, r.field): r.similarity for r in spark.read.parquet(out).collect()}
     assert got == batch
-    # A second arrival adds to the totals, a restart without news does not.
+    # Rows that arrive again replace themselves; a restart without news changes nothing.
     pairs.write.mode("append").parquet(source)
     incremental.start_field_totals(stream, totals, str(tmp_path / "c2")).awaitTermination()
     incremental.start_field_totals(stream, totals, str(tmp_path / "c2")).awaitTermination()
     summed = {r.field: r for r in incremental.field_totals(spark, totals).collect()}
-    assert summed["障礙類別"].total_records == 10
+    assert summed["障礙類別"].total_records == 5
     assert summed["障礙類別"].accuracy == pytest.approx(0.75)
 
 
+def test_late_and_corrected_rows_change_the_totals(spark, tmp_path):
+    source, totals, state = (str(tmp_path / n) for n in ("in", "totals", "state"))
+
+    def arrive(*rows):
+        df = spark.createDataFrame(
+            [("w", "m", i, str(i), "s", "f", 0, a, b) for i, a, b in rows], incremental.PAIRS_SCHEMA
+        )
+        df.coalesce(1).write.mode("append").parquet(source)
+        stream = incremental.pair_stream(spark, source)
+        incremental.start_field_totals(stream, totals, state).awaitTermination()
+        r = incremental.field_totals(spark, totals).first()
+        return r.accuracy, r.exact_matches, r.total_records, r.mismatched
+
+    far = incremental.SLICE_ROWS + 1  # a row of another slice
+    assert arrive((0, "ab", "ab"), (far, "ab", "xy")) == (0.5, 1, 2, 1)
+    assert arrive((0, "ab", "xy"), (1, "ab", "ab")) == (pytest.approx(1 / 3), 1, 3, 2)  # corrected, late
+    assert arrive((0, "ab", "ab"), (far, "ab", "ab")) == (1.0, 3, 3, 0)
+    folders = [n for n in os.listdir(totals) if n.startswith("version=")]
+    assert len(folders) <= 2  # one current table and its predecessor, however many batches
+
+
+def test_a_killed_batch_is_written_again(spark, tmp_path, monkeypatch):
+    source, totals, state = (str(tmp_path / n) for n in ("in", "totals", "state"))
+    pairs = wide_to_pairs(samples.five_row_sample(spark))
+    pairs.write.parquet(source)
+    stream = incremental.pair_stream(spark, source)
+    incremental.start_field_totals(stream, totals, state).awaitTermination()
+    pairs.withColumn("row_idx", F.col("row_idx") + 100).write.mode("append").parquet(source)
+    replaced = incremental._replaced
+
+    def killed(*args):
+        raise RuntimeError("killed")
+
+    monkeypatch.setattr(incremental, "_replaced", killed)
+    with pytest.raises(Exception, match="killed"):
+        incremental.start_field_totals(stream, totals, state).awaitTermination()
+    monkeypatch.setattr(incremental, "_replaced", replaced)
+    incremental.start_field_totals(stream, totals, state).awaitTermination()
+    assert {r.total_records for r in incremental.field_totals(spark, totals).collect()} == {10}
+
+
+def test_a_repeated_job_replaces_its_part(spark, tmp_path, monkeypatch):
+    out = str(tmp_path / "report")
+    lines = lambda *models: spark.createDataFrame([(m, m) for m in models], "model string, text string")
+    sinks.write_model_report(lines("a", "b"), out, job="1")
+    sinks.write_model_report(lines("a"), out, job="2")
+
+    def killed(*args):
+        raise RuntimeError("killed")
+
+    moved = sinks.put_in_place
+    monkeypatch.setattr(sinks, "put_in_place", killed)
+    with pytest.raises(RuntimeError):
+        sinks.write_model_report(lines("c"), out, job="1")
+    read = lambda: sorted((str(r.job), r.model) for r in spark.read.parquet(out).collect())
+    assert read() == [("1", "a"), ("1", "b"), ("2", "a")]  # a killed job leaves the old part
+    monkeypatch.setattr(sinks, "put_in_place", moved)
+    sinks.write_model_report(lines("c", "c"), out, job="1")
+    assert read() == [("1", "c"), ("1", "c"), ("2", "a")]
+    assert sorted(os.listdir(out)) == ["job=1", "job=2"]
+    with pytest.raises(ValueError):
+        sinks.write_model_report(lines("c"), out, job="a/b")
+
+
+def test_a_workspace_leaves_nothing_behind(spark):
+    with storage.workspace(spark):
+        kept = storage.stored(spark.range(5), "numbers")
+        path = kept.inputFiles()[0]
+        with storage.workspace(spark):
+            inner = storage.stored(kept, "inner").inputFiles()[0]
+        assert kept.count() == 5
+        assert not os.path.exists(inner.removeprefix("file://"))
+        assert os.path.exists(path.removeprefix("file://"))
+    assert not os.path.exists(path.removeprefix("file://"))
+
+
+def test_stored_tables_go_with_their_application(tmp_path):
+    script = f"""
+import sys
+sys.path.insert(0, {str(ROOT)!r})
+from pyspark.sql import SparkSession
+from proofgrid.plans.storage import stored
+spark = (SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false")
+    .config("spark.checkpoint.dir", {str(tmp_path / "shared")!r}).getOrCreate())
+assert stored(spark.range(3), "t").count() == 3
+spark.stop()
+"""
+    subprocess.run([sys.executable, "-c", script], check=True, timeout=120, cwd=tmp_path)
+    # Spark itself leaves an empty folder there.
+    assert not [n for n in os.listdir(tmp_path / "shared") if n.startswith("local-")]
+
+
+def test_positional_zip(spark):
+    schema = "k string, row_idx long, value string"
+    truth = [("a", i, f"t{i}") for i in range(0, 2000, 2)] + [(None, 7, None), ("b", 1, "x")]
+    predicted = [("a", i, f"p{i}") for i in range(1, 1800)] + [(None, 1, "n"), ("c", 4, "y"), ("c", 4, "y")]
+    pairs, differing = joins.zip_tables(
+        spark.createDataFrame(truth, schema).repartition(3), spark.createDataFrame(predicted, schema).repartition(5),
+        ["k"], "row_idx",
+    )
+    got = {(r.k, r.position): (r.correct, r.predicted) for r in pairs.collect()}
+    expected = {("a", i): (f"t{2 * i}", f"p{i + 1}") for i in range(1000)} | {(None, 0): (None, "n")}
+    assert got == expected
+    assert {(r.k, r.n_truths, r.n_predictions) for r in differing.collect()} == {("a", 1000, 1799), ("b", 1, 0), ("c", 0, 2)}
+    assert "1000 vs 1799" in differing.filter("k = 'a'").first().message
+
+
 def test_two_tables(spark):
     schema = "record_id string, field string, value string"
     truth = spark.createDataFrame([("1", "f", "a"), ("2", "f", "b"), ("3", "f", None)], schema)
