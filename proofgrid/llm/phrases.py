@@ -23,12 +23,12 @@ from proofgrid.llm.hashing import mix, span_keys
 from proofgrid.plans.storage import stored
 
 LONGEST = 3  # words of a phrase
-SLICE_BYTES = 4 << 20  # of one language that a task counts at once
-HELD_BYTES = 16 << 20  # of all languages that a task holds
-SENT_GRAMS = 2 << 20  # distinct n-grams after which a task sends what it has
+SLICE_BYTES = 2 << 20  # of one language that a task counts at once
+HELD_BYTES = 6 << 20  # of all languages that a task holds
+SENT_GRAMS = 1 << 20  # distinct n-grams after which a task sends what it has
 SHARE_MASS = (4 << 20, 16 << 20)  # occurrences that a share summarises, on little and on much data
 SLACK = 2  # capacity of a summary against the least that keeps all frequent n-grams
-MERGE = 1 << 20  # entries that a share takes in before it merges them
+MERGE = 1 << 19  # entries that a share takes in before it merges them
 PLACE_BITS = 34  # of an n-gram's hash inside its share
 FILTER_BYTES = 64 << 20  # the filter's size at most
 BITS_PER_GRAM = 12
