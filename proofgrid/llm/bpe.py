@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 
 from proofgrid.llm.hashing import span_keys
 
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 12 << 20  # of text whose distinct words travel together
+GROWTH = 0.6  # distinct words grow as a power of the text; so does the number of their shares
+KNOWN_BYTES = 64 << 20  # of words and ids that a share remembers
 SLICE_CHARS = 1 << 20
 # The pattern that the scanner below follows, and the endings it splits off after an apostrophe.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -183,14 +185,19 @@ def encode(docs: DataFrame, ranks: bytes, doc_id: str = "doc_id", text: str = "t
     one by one; other columns are not read.
 
     Texts, words and ids travel compressed: a row holds the texts of a block from one task, the words of a block
-    that fall into one share of all words, or their ids in the same order.
+    that fall into one share of all words, or their ids in the same order. Blocks follow the bytes of text and shares
+    a power of them below one, neither the number of partitions, so there are never more rows than one per block and
+    distinct word, and as a rule thousands of words in each. A text is never cut; a task holds the texts of its blocks,
+    and rows that repeat both id and text share a block.
     """
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(ranks)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cores = spark.sparkContext.defaultParallelism
     whole = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     n_bytes = whole.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks, shares = max(2 * parts, math.ceil(n_bytes / block_bytes)), 4 * parts
+    blocks = max(2 * cores, math.ceil(n_bytes / block_bytes))
+    shares = 2 * cores * math.ceil(max(1.0, n_bytes / (1 << 30)) ** GROWTH)
+    # By content alone: a row's place may change when a lost task runs again.
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")
     kind = docs.schema[doc_id].dataType.simpleString()
 
@@ -243,16 +250,17 @@ def encode(docs: DataFrame, ranks: bytes, doc_id: str = "doc_id", text: str = "t
             })
 
     def encode_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding, known, at = _encoding(held.value), {}, None
+        encoding, known, size, at = _encoding(held.value), {}, 0, None
         for batch in batches:
             out = []
             for share, blob in zip(batch["share"].to_pylist(), batch["words"].to_pylist(), strict=True):
-                if share != at:
-                    known, at = {}, share
+                if share != at or size > KNOWN_BYTES:  # beyond the bound a word may be encoded again
+                    known, size, at = {}, 0, share
                 words = _unpack(blob)
                 new = [w for w in words if w not in known]
                 coded = encoding.encode_ordinary_batch(new, num_threads=1)
                 known.update((w, np.array(ids, "<i4").tobytes()) for w, ids in zip(new, coded, strict=True))
+                size += sum(len(w) + 4 * len(ids) + 150 for w, ids in zip(new, coded, strict=True))
                 out.append(_pack_ids([known[w] for w in words]))
             yield pa.RecordBatch.from_arrays(
                 [batch["block"], batch["share"], pa.array(out, pa.binary())], ["block", "share", "coded"]
@@ -284,10 +292,10 @@ def encode(docs: DataFrame, ranks: bytes, doc_id: str = "doc_id", text: str = "t
 
     dealt = (
         whole.select("doc_id", "text", block.alias("block"))
-        .mapInArrow(gather, f"block int, ids array<{kind}>, texts binary").repartition(parts, "block")
+        .mapInArrow(gather, f"block int, ids array<{kind}>, texts binary").repartition(blocks, "block")
     )
     words = dealt.mapInArrow(distinct_words, "block int, share int, words binary")
-    coded = words.repartition(parts, "share").sortWithinPartitions("share").mapInArrow(encode_words, "block int, share int, coded binary")
+    coded = words.repartition(shares, "share").sortWithinPartitions("share").mapInArrow(encode_words, "block int, share int, coded binary")
     return dealt.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(
         put_back, f"doc_id {kind}, ids array<int>"
     )
