@@ -3,7 +3,9 @@
 Two sets that are similar enough share one of their rarest shingles (prefix filter). Sets that share such a key
 are first linked to the first set of the key; what is left in different components is compared by signature
 trees: nodes hold OR-combined bitmaps and size ranges, and node pairs are dropped when even the largest possible
-overlap is too small. Every reported link was counted on the whole sets.
+overlap is too small. Trees are built in cells of two blocks of sets that also hold their texts, so a candidate
+pair is counted where it is found and only links that join components leave a cell. Every reported link was
+counted on the whole sets.
 """
 
 from __future__ import annotations
@@ -20,16 +22,17 @@ from proofgrid.llm.graph import components
 from proofgrid.llm.shingles import shingle_keys, shingle_sets
 from proofgrid.plans.storage import stored
 
-CELLS = 1 << 16  # of the counts that order shingles from rare to frequent
-HOT_CELL = 1 << 20  # a key of a fuller cell is dealt over several tasks
+CELL_BITS = (16, 18)  # of the counts that order shingles from rare to frequent, on little and on much data
+HOT_CELL = 1 << 20  # a key of a fuller cell, at sixteen times the mean at least, is dealt over several tasks
 SLICE_CHARS = 2 << 20
-BLOCK = 4096  # sets of one key that a task compares at once
+BLOCK = 256  # sets of a unit that a task compares with as many others at once
+BLOCK_SHINGLES = 2 << 20  # shingles in a block at most, on average
 LEAF = 16
 VERIFY_BLOCK = 256  # documents of a block whose pairs are counted on whole sets
 
 
-def _cell(keys: np.ndarray) -> np.ndarray:
-    return (keys >> np.uint64(48)).astype(np.int64)
+def _cell(keys: np.ndarray, cells: int) -> np.ndarray:
+    return (keys >> np.uint64(65 - int(cells).bit_length())).astype(np.int64)
 
 
 def _parts(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str]]]:
@@ -46,18 +49,21 @@ def _parts(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[s
 
 
 def shingle_counts(docs: DataFrame) -> np.ndarray:
-    """How many shingles of all documents fall into each of ``CELLS`` cells."""
+    """How many shingles of all documents fall into each cell; the number of cells follows the text."""
+    n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    low, high = CELL_BITS
+    cells = 1 << min(high, max(low, int(n_bytes >> 20).bit_length()))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(CELLS, np.int64)
+        counts = np.zeros(cells, np.int64)
         for _, texts in _parts(batches):
             keys, _ = shingle_keys(texts)
-            counts += np.bincount(_cell(keys), minlength=CELLS)
+            counts += np.bincount(_cell(keys, cells), minlength=cells)
         there = np.flatnonzero(counts)
         yield pa.RecordBatch.from_pydict({"cell": pa.array(there.astype(np.int32)), "n": pa.array(counts[there])})
 
     found = docs.mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(CELLS, np.int64)
+    counts = np.zeros(cells, np.int64)
     counts[found["cell"].to_numpy()] = found["n"].to_numpy()
     return counts
 
@@ -76,6 +82,7 @@ def features(docs: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = held.value
+        hot = max(HOT_CELL, 16 * int(counts.sum()) // len(counts))
         for ids, texts in _parts(batches):
             n, f1, f2, bits, prefix, slices, ends = [], [], [], [], [], [], [0]
             for doc, keys in zip(ids.to_pylist(), shingle_sets(texts), strict=True):
@@ -85,10 +92,10 @@ def features(docs: DataFrame, percent: int) -> DataFrame:
                 f2.append(np.bitwise_xor.reduce(keys * np.uint64(0x94D049BB133111EB)) if size else np.uint64(0))
                 bits.append(bitmap(keys))
                 take = size - -(-percent * size // 100) + 1 if size else 0
-                load = counts[_cell(keys)]
+                load = counts[_cell(keys, len(counts))]
                 chosen = np.argsort(load, kind="stable")[:take]
                 prefix.append(keys[chosen])
-                over = load[chosen] // HOT_CELL
+                over = load[chosen] // hot
                 slices.append(np.where(over > 0, (hash(doc) & 0x7FFFFFFF) % (1 + over), -1))
                 ends.append(ends[-1] + take)
             keys = pa.StructArray.from_arrays(
@@ -238,88 +245,160 @@ def tree_pairs(a: Tree, b: Tree, percent: int) -> Iterator[tuple[np.ndarray, np.
         yield a.order[x[left]], b.order[y[left]]
 
 
-def _cell_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) from cells (key, p, q) of rows (doc, n, component, bits, block), sorted by cell."""
-
-    def pairs(cell: dict[str, list]) -> Iterator[tuple[int, int]]:
-        # Similar sets have bitmaps of one length or of two that follow each other.
-        lengths = np.array([len(b) for b in cell["bits"]])
+class Cell:
+    """Sets of one or two blocks of a unit; finds the links that join their components."""
+
+    def __init__(self, percent: int):
+        self.percent = percent
+        self.doc: list[int] = []
+        self.group: list[int] = []
+        self.left: list[bool] = []
+        self.sets: list[np.ndarray] = []
+
+    def add(self, doc: int, component: int, left: bool, keys: np.ndarray) -> None:
+        self.doc.append(doc)
+        self.group.append(component)
+        self.left.append(left)
+        self.sets.append(keys)
+
+    def links(self, one_block: bool) -> list[tuple[int, int]]:
+        """Pairs that are similar enough and join components, counted on whole sets.
+
+        Similar sets have bitmaps of one length or of two that follow each other.
+        """
+        n, group, left = np.array([len(s) for s in self.sets]), np.array(self.group, np.int64), np.array(self.left)
+        if len(np.unique(group)) < 2:
+            return []
+        bits = [bitmap(s) for s in self.sets]
+        lengths = np.array([len(b) for b in bits])
+        root: dict[int, int] = {}
+
+        def find(g: int) -> int:
+            while g in root:
+                g = root[g]
+            return g
+
+        found = []
         for size in np.unique(lengths):
             rows = np.flatnonzero((lengths == size) | (lengths == 2 * size))
-            if len(rows) > 1:
-                yield from pairs_of({name: [values[i] for i in rows] for name, values in cell.items()}, int(size))
-
-    def pairs_of(cell: dict[str, list], size: int) -> Iterator[tuple[int, int]]:
-        doc, n = np.array(cell["doc"], np.int64), np.array(cell["n"], np.int64)
-        group = np.array(cell["component"], np.int64)
-        bits = np.stack([fold(np.frombuffer(b, np.uint8), size) for b in cell["bits"]]).view(np.uint64)
-        left = np.array(cell["block"]) == cell["p"][0]
-        sides = [left] if cell["p"][0] == cell["q"][0] else [left, ~left]
-        if not all(side.any() for side in sides):
-            return
-        trees = [(doc[side], Tree(n[side], group[side], bits[side])) for side in sides]
-        (docs_a, a), (docs_b, b) = trees[0], trees[-1]
-        for x, y in tree_pairs(a, b, percent):
-            yield from zip(docs_a[x].tolist(), docs_b[y].tolist(), strict=True)
+            sides = [rows] if one_block else [rows[left[rows]], rows[~left[rows]]]
+            if min(map(len, sides)) == 0 or len(rows) < 2:
+                continue
+            trees = [
+                Tree(n[side], group[side], np.stack([fold(np.frombuffer(bits[i], np.uint8), size) for i in side]).view(np.uint64))
+                for side in sides
+            ]
+            for xs, ys in tree_pairs(trees[0], trees[-1], self.percent):
+                for x, y in zip(sides[0][xs].tolist(), sides[-1][ys].tolist(), strict=True):
+                    if one_block and x > y:
+                        continue  # comes in both orders
+                    p, q = find(self.group[x]), find(self.group[y])
+                    if p != q and self.similar(self.sets[x], self.sets[y]):
+                        root[max(p, q)] = min(p, q)
+                        found.append((min(self.doc[x], self.doc[y]), max(self.doc[x], self.doc[y])))
+        return found
+
+    def similar(self, a: np.ndarray, b: np.ndarray) -> bool:
+        if len(a) > len(b):
+            a, b = b, a
+        at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+        common = int(np.count_nonzero(b[at] == a))
+        return 100 * common >= self.percent * (len(a) + len(b) - common)
+
+
+def cell_links(rows: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) from cells (unit, p, q) of rows (doc, component, block, packed), sorted by cell.
+
+    A cell sends fewer links than it has components.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc", "n", "component", "bits", "block", "p", "q"]
-        found: set[tuple[int, int]] = set()
-        cell: dict[str, list] = {name: [] for name in names}
-        at = None
+        names = ["unit", "p", "q", "doc", "component", "block", "packed"]
+        at, cell = None, Cell(percent)
+        unpack = zstandard.ZstdDecompressor().decompress
 
-        def record() -> pa.RecordBatch:
+        def record(found: list[tuple[int, int]]) -> pa.RecordBatch:
             a, b = zip(*found, strict=True) if found else ((), ())
             return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
         for batch in batches:
-            columns = [batch[name].to_pylist() for name in ["key", *names]]
-            for key, *values in zip(*columns, strict=True):
-                here = (key, values[5], values[6])
-                if here != at:
+            found: list[tuple[int, int]] = []
+            for unit, p, q, doc, component, block, packed in zip(*(batch[n].to_pylist() for n in names), strict=True):
+                if (unit, p, q) != at:
                     if at is not None:
-                        found.update((min(x), max(x)) for x in pairs(cell))
-                    if len(found) > 100_000:
-                        yield record()
-                        found.clear()
-                    cell, at = {name: [] for name in names}, here
-                for name, value in zip(names, values, strict=True):
-                    cell[name].append(value)
+                        found += cell.links(at[1] == at[2])
+                    cell, at = Cell(percent), (unit, p, q)
+                cell.add(doc, component, block == p, shingle_sets([unpack(packed).decode()])[0])
+            yield record(found)
         if at is not None:
-            found.update((min(x), max(x)) for x in pairs(cell))
-        yield record()
+            yield record(cell.links(at[1] == at[2]))
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.select("unit", "p", "q", "doc", "component", "block", "packed").mapInArrow(run, "a long, b long")
 
 
-def remaining_pairs(shared: DataFrame, roots: DataFrame, bits: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
-    """Candidate pairs between components that share a key, for keys of three or more sets and for dealt keys.
+def _unit_facts(members: DataFrame, unit: str, block: int, shingles: int) -> DataFrame:
+    """Per unit its largest component and into how many blocks its sets fall; ``_rows``: rows of all its cells.
+
+    ``members``: unit, doc, n, component, each doc once. The sets outside the largest component are the minor ones.
+    Minor sets meet each other and all the rest in cells of two blocks; sets of the largest component meet only minor
+    ones.
+    """
+    sizes = members.groupBy(unit, "component").agg(F.count("*").alias("_k"), F.sum("n").alias("_s"))
+    main = sizes.groupBy(unit).agg(
+        F.max_by("component", F.struct("_k", "component")).alias("main"), F.max("_k").alias("_most"),
+        F.sum("_k").alias("_all"), F.sum("_s").alias("_sum"), F.count("*").alias("_components"),
+    ).filter("_components > 1")
+    blocks = lambda k: F.ceil(F.greatest(k / block, F.col("_sum") * k / F.col("_all") / shingles)).cast("int")
+    few = F.col("_all") - F.col("_most")
+    placed = main.withColumns({"minors": blocks(few), "majors": blocks(F.col("_most"))})
+    cost = few * (F.col("minors") + F.col("majors")) + F.col("_most") * F.col("minors")
+    return placed.select(unit, "main", "minors", "majors", cost.alias("_rows"))
+
+
+def remaining_links(
+    shared: DataFrame, roots: DataFrame, whole: DataFrame, percent: int, block: int = BLOCK, shingles: int = BLOCK_SHINGLES,
+) -> DataFrame:
+    """Links between components that share a key, for keys of three or more sets and for dealt keys.
 
     Two sets of one slice were compared as leader and follower; a dealt key may hold its two in different slices, so
-    it counts here as well. Of keys with the same sets one is enough. The sets of a key outside its largest component
-    are its minor sets. Minor sets meet each other and all the rest in cells of two blocks; sets within the largest
-    component meet only if they are minor. So a key with one large component costs as much as it has rows.
+    it counts here as well. Sets that hang together by such keys are a cluster. A unit is a whole cluster, where each
+    set is compared once with each other, or a key, where the keys of a cluster make fewer rows than that.
     """
     placed = (
         shared.select("key", "slice", "doc", "n").join(roots.select(F.col("node").alias("doc"), "component"), "doc", "left")
         .withColumn("component", F.coalesce("component", "doc"))
     )
     placed = stored(placed, "placed")
-    sizes = placed.groupBy("key", "component").agg(
-        F.count("*").alias("_n"), F.min("doc").alias("_low"), F.max("doc").alias("_high"),
-        F.bit_xor(F.xxhash64("doc")).alias("_mark"), F.max("slice").alias("_slice"),
+    counted = placed.groupBy("key").agg(
+        F.count("*").alias("_all"), F.max("slice").alias("_slice"), F.min("doc").alias("low"), F.max("doc").alias("_high"),
+        F.min("component").alias("_c"), F.max("component").alias("_d"), F.bit_xor(F.xxhash64("doc")).alias("_mark"),
+    ).filter("_c <> _d and (_all > 2 or _slice >= 0)")
+    # Of keys with the same sets one is enough.
+    once = stored(counted.groupBy("_all", "low", "_high", "_mark").agg(F.min("key").alias("key")).select("key", "low"), "set-units")
+    members = stored(placed.join(once, "key").select("key", "low", "doc", "n", "component"), "set-members")
+    clusters = components(members.select(F.col("low").alias("a"), F.col("doc").alias("b")))
+    clusters = stored(clusters.select(F.col("node").alias("doc"), F.col("component").alias("cluster")), "set-clusters")
+    in_cluster = members.select("doc", "n", "component").distinct().join(clusters, "doc")
+    whole_units = stored(_unit_facts(in_cluster, "cluster", block, shingles), "cluster-units")
+    key_units = _unit_facts(members, "key", block, shingles).join(once, "key").join(
+        clusters.withColumnRenamed("doc", "low"), "low"
+    )
+    key_units = stored(key_units, "key-units")
+    by_key = key_units.groupBy("cluster").agg(F.sum("_rows").alias("_by_key"))
+    choice = stored(
+        whole_units.join(by_key, "cluster", "left").select(
+            "cluster", (F.col("_by_key").isNull() | (F.col("_rows") <= F.col("_by_key"))).alias("_whole")
+        ),
+        "unit-choice",
     )
-    facts = sizes.groupBy("key").agg(
-        F.max_by("component", F.struct("_n", "component")).alias("main"), F.max("_n").alias("_most"),
-        F.sum("_n").alias("_all"), F.count("*").alias("_components"), F.min("_low").alias("_low"),
-        F.max("_high").alias("_high"), F.bit_xor("_mark").alias("_mark"), F.max("_slice").alias("_slice"),
-    ).filter("_components > 1 and (_all > 2 or _slice >= 0)")
-    once = facts.groupBy("_all", "_low", "_high", "_mark", "main", "_most").agg(F.min("key").alias("key"))
-    ceil = lambda c: F.ceil(c / block).cast("int")
-    facts = once.select(
-        "key", "main", ceil(F.col("_all") - F.col("_most")).alias("minors"), ceil(F.col("_most")).alias("majors")
+    facts = ["unit", "main", "minors", "majors"]
+    chosen = choice.filter("_whole").select("cluster")
+    first = in_cluster.join(whole_units.join(chosen, "cluster"), "cluster").withColumnRenamed("cluster", "unit")
+    keys = key_units.join(choice.filter("not _whole").select("cluster"), "cluster").select("key", "main", "minors", "majors")
+    second = members.join(keys, "key").withColumnRenamed("key", "unit")
+    mine = first.select(*facts, "doc", "component", F.lit(0).alias("_kind")).unionByName(
+        second.select(*facts, "doc", "component", F.lit(1).alias("_kind"))
     )
-    mine = placed.join(facts, "key")
     minor = F.col("component") != F.col("main")
     part = lambda n: F.pmod(F.xxhash64("doc"), n).cast("int")
     mine = mine.withColumn("block", F.when(minor, part(F.col("minors"))).otherwise(F.col("minors") + part(F.col("majors"))))
@@ -327,16 +406,17 @@ def remaining_pairs(shared: DataFrame, roots: DataFrame, bits: DataFrame, percen
     cells = (
         mine.withColumn("_other", F.explode(F.sequence(F.lit(0), partners - 1)))
         .withColumn("p", F.least("block", "_other")).withColumn("q", F.greatest("block", "_other"))
-        .select("key", "p", "q", "block", "doc", "n", "component")
+        .select(F.concat_ws(":", F.col("_kind").cast("string"), F.col("unit").cast("string")).alias("unit"), "p", "q", "block", "doc", "component")
     )
-    whole = cells.join(bits.select(F.col("doc_id").alias("doc"), "bits"), "doc")
-    sorted_cells = whole.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
-    return _cell_pairs(sorted_cells, percent)
+    cells = stored(cells, "set-cells")
+    texts = texts_of(cells.select("doc"), whole).withColumnRenamed("doc_id", "doc")
+    dealt = cells.join(texts, "doc").repartition("unit", "p", "q").sortWithinPartitions("unit", "p", "q")
+    return cell_links(dealt, percent)
 
 
-def texts_of(pairs: DataFrame, whole: DataFrame) -> DataFrame:
-    """doc_id and the compressed text of the documents that occur in stored ``pairs``; no other text moves."""
-    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "set-ids")
+def texts_of(docs: DataFrame, whole: DataFrame) -> DataFrame:
+    """doc_id and the compressed text of the documents named in the one column of ``docs``; no other text moves."""
+    ids = stored(docs.toDF("doc_id").distinct(), "set-ids")
     needed = whole.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return stored(_packed(needed), "set-texts")
 
@@ -347,7 +427,7 @@ def verified(pairs: DataFrame, whole: DataFrame, percent: int, block: int = VERI
     Documents fall into blocks of about ``block``; a pair belongs to the cell of its two blocks. A text goes once
     to each cell where it has a pair, and its set is made once there, however many pairs it has.
     """
-    texts = texts_of(pairs, whole)
+    texts = texts_of(pairs.select(F.explode(F.array("a", "b"))), whole)
     blocks = -(-texts.count() // block) or 1
     part = lambda name: F.pmod(F.xxhash64(name), F.lit(blocks)).cast("int")
     placed = pairs.select(part("a").alias("p"), part("b").alias("q"), "a", "b")
@@ -427,9 +507,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id",
     to_leaders = stored(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "set-pairs")
     links = stored(verified(to_leaders, whole, percent), "set-links")
     roots = components(links)
-    left = _apart(near, roots).unionByName(remaining_pairs(shared, roots, bits, percent)).distinct()
-    rest = stored(verified(stored(left, "set-pairs"), whole, percent), "set-links")
-    roots = components(links.unionByName(rest))
+    rest = stored(verified(stored(_apart(near, roots), "set-pairs"), whole, percent), "set-links")
+    last = stored(remaining_links(shared, roots, whole, percent), "set-links")
+    roots = components(links.unionByName(rest).unionByName(last))
     named = classes.join(roots.withColumnRenamed("node", "first"), "first", "left").select(
         "n", "f1", "f2", F.coalesce("component", "first").alias("component_id")
     )
