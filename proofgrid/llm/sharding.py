@@ -15,8 +15,10 @@ CELLS = 1 << 16  # what the driver holds of the running totals in one round
 def assign_shards(rows: DataFrame, key: str, size: str, position: str, shards: int) -> DataFrame:
     """``rows`` with ``shard``; rows with one ``key`` stay together. ``rows`` should be a stored table.
 
-    Groups are ordered by their smallest ``position``. A group larger than an even share of what is left gets a
-    shard for itself; the others are cut where the smallest feasible capacity says. Null keys form one group.
+    The groups are put in an order and the order is cut into shards: first the groups that are larger than an even
+    share of what is left, by size, each a shard of its own; then all others by their smallest ``position``, cut
+    where the smallest feasible capacity says. No shard is empty as long as there are groups for it. Null keys form
+    one group; of groups with one smallest position, that with the smaller key comes first.
     """
     grouped = rows.groupBy(key).agg(F.min(position).alias("_first"), F.sum(size).alias("_bytes"))
     groups = stored(grouped, "shard-groups")
@@ -68,6 +70,8 @@ def _running_totals(groups: DataFrame, key: str) -> DataFrame:
 def find_cuts(running: DataFrame, total: int, shards: int, cells: int = CELLS) -> list[int]:
     """Where to cut: the running totals at which shards end under the smallest feasible capacity.
 
+    Under that capacity a shard takes as many groups as fit, but leaves one for each shard after it.
+
     The driver sees at most ``cells`` cells of the running totals in a round, each with its smallest and largest
     value. Greedy checks with the low and the high end of a cell bound the capacity from both sides; the next
     round divides only the cells in which these checks part.
@@ -76,6 +80,9 @@ def find_cuts(running: DataFrame, total: int, shards: int, cells: int = CELLS) -
         raise ValueError("too few cells to divide the ranges of all cuts")
     if not total:
         return []
+    tail = [int(r[0]) for r in running.select("_upto").orderBy(F.desc("_upto")).limit(shards).collect()][::-1]
+    if len(tail) < shards:
+        return tail[:-1]
     low = max(-(-total // shards), int(running.agg(F.max("_bytes")).first()[0])) - 1
     high = total
     known = Cells(*_cells(running, [(0, total)], cells))
@@ -84,7 +91,8 @@ def find_cuts(running: DataFrame, total: int, shards: int, cells: int = CELLS) -
         low = _smallest(low, high, lambda c: known.greedy(c, shards, True)[-1] >= total) - 1
         least, most = known.greedy(low + 1, shards, False), known.greedy(high, shards, True)
         if least == most:
-            return [cut for cut in least if cut < total]
+            cuts = [min(cut, last) for cut, last in zip(least, tail, strict=True)]
+            return [cut for cut in cuts if cut < total]
         known = known.refined(*_cells(running, known.windows(least, most), cells))
 
 
