@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from proofgrid.llm.crf import leaf_blocks
 from proofgrid.plans.storage import stored
 
 GRAMS = 1 << 16
@@ -18,6 +19,21 @@ SLICE_CHARS = 1 << 20
 TEMPER = 0.2  # overlapping n-grams are not independent
 SMOOTH = 50.0  # how many rows of a parent a host's or a domain's own rows are weighed against
 UNKNOWN = "und"
+UNCODED = "mis"  # all languages outside of CODES
+# Two-letter language codes, and three-letter codes of some of these languages.
+CODES = (
+    "aa ab ae af ak am an ar as av ay az ba be bg bh bi bm bn bo br bs ca ce ch co cr cs cu cv cy da de dv dz ee el en "
+    "eo es et eu fa ff fi fj fo fr fy ga gd gl gn gu gv ha he hi ho hr ht hu hy hz ia id ie ig ii ik io is it iu ja jv "
+    "ka kg ki kj kk kl km kn ko kr ks ku kv kw ky la lb lg li ln lo lt lu lv mg mh mi mk ml mn mr ms mt my na nb nd ne "
+    "ng nl nn no nr nv ny oc oj om or os pa pi pl ps pt qu rm rn ro ru rw sa sc sd se sg si sk sl sm sn so sq sr ss st "
+    "su sv sw ta te tg th ti tk tl tn to tr ts tt tw ty ug uk ur uz ve vi vo wa wo xh yi yo za zh zu"
+).split()
+LONG_CODES = {
+    "ara": "ar", "ces": "cs", "chi": "zh", "cze": "cs", "dan": "da", "deu": "de", "dut": "nl", "ell": "el", "eng": "en",
+    "fin": "fi", "fra": "fr", "fre": "fr", "ger": "de", "gre": "el", "heb": "he", "hin": "hi", "hun": "hu", "ita": "it",
+    "jpn": "ja", "kor": "ko", "nld": "nl", "nor": "no", "pol": "pl", "por": "pt", "ron": "ro", "rum": "ro", "rus": "ru",
+    "spa": "es", "swe": "sv", "tur": "tr", "ukr": "uk", "zho": "zh",
+}
 # Suffixes of addresses that say something about the language.
 SUFFIXES = "de at ch fr be es mx ar it pt br nl pl se no dk fi ru jp cn uk us ie au ca nz in com org net".split()
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -26,7 +42,7 @@ _LOWER[65:91] += 32
 
 def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashed byte trigrams of all texts with a space at both ends, and where each text's end."""
-    parts = [b" %b " % t.encode() if t else b"" for t in texts]
+    parts = [b" %b " % t.encode() if t and not t.isspace() else b"" for t in texts]
     data = _LOWER[np.frombuffer(b"".join(parts), np.uint8)].astype(np.uint32)
     ends = np.cumsum([len(p) for p in parts])
     where = np.ones(len(data), bool)
@@ -52,6 +68,14 @@ def _slices(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
                 first, size, texts = row + 1, 0, []
 
 
+def language_code(declared: Column) -> Column:
+    """The code at the start of a language tag; ``UNCODED`` for others, null where there is none."""
+    code = F.lower(F.regexp_extract(declared, r"^\s*([A-Za-z]{2,3})(?:[-_].*)?\s*$", 1))
+    long = F.create_map(*[F.lit(x) for pair in LONG_CODES.items() for x in pair])
+    short = F.coalesce(long[code], code)
+    return F.when(F.coalesce(code, F.lit("")) == "", None).when(short.isin(CODES), short).otherwise(UNCODED)
+
+
 def _even_share(sizes: list[int], sample: int) -> int:
     """The rows that a language may have, so that all together have ``sample``; not under ``LEAST``."""
     left = sample
@@ -68,6 +92,8 @@ def fit_text(rows: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarr
 
     A language with more labelled rows than its share of ``sample`` is fitted to about as many rows as its share,
     one with fewer to all of them. ``rows``: id, text, declared. The last language is unknown: all n-grams alike.
+    Languages are ``CODES`` and ``UNCODED``, so what the driver gathers and sends out has a bound (a table of at most
+    186 times ``GRAMS`` floats, 49 MB) whatever is declared.
     """
     labelled = rows.filter("declared is not null")
     sizes = dict(labelled.groupBy("declared").count().collect())
@@ -143,21 +169,22 @@ def identify(
 ) -> DataFrame:
     """id, key (hash of the text), lang, probability, text_lang, kept of every row.
 
-    Evidence that is missing (null, a declared language or suffix that is not known) adds nothing. An empty text
-    has no likelihood and is rejected, as is one whose most probable language is unknown. Priors of a
+    Evidence that is missing (null, a declared language or suffix that is not known) adds nothing. A text without
+    words has no likelihood and is rejected, as is one whose most probable language is unknown. Priors of a
     host shrink towards its domain's, those of a domain towards all rows'; they count the languages that the texts
-    alone suggest, over all rows. Without a labelled row no language is known. Repeated rows stay; other columns are not read.
+    alone suggest, over all rows. A declared language outside of ``CODES`` counts as ``UNCODED``. Without a labelled row no
+    language is known. Of equally probable languages the first in alphabetical order is taken. Texts are read whole.
+    Repeated rows stay; other columns are not read.
     """
     host = F.lower(F.coalesce(F.regexp_extract(address, r"^(?:\w+://)?([^/?#:]+)", 1), F.lit("")))
     labels = F.split(host, r"\.")
     whole = F.coalesce(text, F.lit(""))
-    language = F.lower(F.regexp_extract(declared, r"^\s*([A-Za-z]{2,3})(?:[-_].*)?\s*$", 1))
     suffix = F.when(F.size(labels) > 1, F.element_at(labels, -1))
     rows = df.select(
         F.col(row_id).alias("id"), F.xxhash64(whole).alias("key"), host.alias("host"),
         F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2), ".").alias("domain"),
         F.when(suffix.isin(SUFFIXES), suffix).alias("suffix"),
-        F.when(language != "", language).alias("declared"), whole.alias("text"),
+        language_code(declared).alias("declared"), whole.alias("text"),
     )
     names, table = fit_text(rows, sample)
     known = len(names) - 1
@@ -234,11 +261,28 @@ def query(df: DataFrame) -> DataFrame:
     return documents(df).select(F.col("id").alias("doc_id"), "lang", "probability", "text_lang", "kept")
 
 
-def query_pages(df: DataFrame) -> DataFrame:
-    """The same for raw pages: the markup's lang attribute, the address, and the text between the tags."""
-    text = F.regexp_replace("html", r"(?is)<script\b.*?</script>|<style\b.*?</style>|<[^>]*>", " ")
+def page_rows(pages: DataFrame) -> DataFrame:
+    """page_id, url, declared and text of raw pages: the root's lang attribute and the text of all blocks."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = frozenset()
+        for batch in batches:
+            texts = ["\n".join(b.text for b in leaf_blocks(v.as_py() or "", none)) for v in batch["html"]]
+            yield pa.RecordBatch.from_arrays(
+                [batch["page_id"], batch["url"], batch["declared"], pa.array(texts, pa.string())],
+                ["page_id", "url", "declared", "text"],
+            )
+
     declared = F.regexp_extract("html", r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z_-]+)", 1)
-    found = identify(df.select("page_id", "url", "html"), "page_id", text, declared, F.col("url"))
+    rows = pages.select("page_id", "url", declared.alias("declared"), "html")
+    kinds = ", ".join(f"{n} {rows.schema[n].dataType.simpleString()}" for n in ("page_id", "url", "declared"))
+    return rows.mapInArrow(run, f"{kinds}, text string")
+
+
+def query_pages(df: DataFrame) -> DataFrame:
+    """The same for raw pages: the markup's lang attribute, the address, and the text of the page's blocks."""
+    rows = stored(page_rows(df), "page-texts")
+    found = identify(rows, "page_id", F.col("text"), F.col("declared"), F.col("url"))
     return found.select(F.col("id").alias("page_id"), "lang", "probability", "text_lang", "kept")
 
 
