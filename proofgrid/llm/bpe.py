@@ -196,7 +196,7 @@ def encode(docs: DataFrame, ranks: bytes, doc_id: str = "doc_id", text: str = "t
     whole = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     n_bytes = whole.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(2 * cores, math.ceil(n_bytes / block_bytes))
-    shares = 2 * cores * math.ceil(max(1.0, n_bytes / (1 << 30)) ** GROWTH)
+    shares = 8 * cores * math.ceil(max(1.0, n_bytes / (1 << 30)) ** GROWTH)
     # By content alone: a row's place may change when a lost task runs again.
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")
     kind = docs.schema[doc_id].dataType.simpleString()

@@ -133,7 +133,10 @@ def added(places: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def sent(docs: DataFrame, shares: int) -> DataFrame:
-    """Rows (share, mass, places, counts): the hashed n-grams of a task that belong to the share."""
+    """Rows (share, kind, mass, places, counts) of a task's hashed n-grams that belong to the share.
+
+    Kind 0 holds their mass alone, so that a share that reads its rows by kind knows its mass before it needs it.
+    """
 
     def records(places: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
         owner = places >> np.uint64(PLACE_BITS)
@@ -141,11 +144,13 @@ def sent(docs: DataFrame, shares: int) -> DataFrame:
         starts = np.flatnonzero(np.append(True, np.diff(owner) != 0)[: len(owner)])
         spans = list(zip(starts, [*starts[1:], len(owner)], strict=True))
         pack = zstandard.ZstdCompressor(level=1).compress
+        none = [None] * len(spans)
         return pa.RecordBatch.from_pydict({
-            "share": pa.array(owner[starts].astype(np.int32)),
-            "mass": pa.array(np.add.reduceat(counts, starts) if len(starts) else np.zeros(0, np.int64)),
-            "places": pa.array([golomb.encode(low[a:b]) for a, b in spans], pa.binary()),
-            "counts": pa.array([pack(counts[a:b].tobytes()) for a, b in spans], pa.binary()),
+            "share": pa.array(np.tile(owner[starts].astype(np.int32), 2)),
+            "kind": pa.array(np.repeat(np.array([0, 1], np.int32), len(spans))),
+            "mass": pa.array([int(counts[a:b].sum()) for a, b in spans] + none, pa.int64()),
+            "places": pa.array(none + [golomb.encode(low[a:b]) for a, b in spans], pa.binary()),
+            "counts": pa.array(none + [pack(counts[a:b].tobytes()) for a, b in spans], pa.binary()),
         })
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,10 +166,10 @@ def sent(docs: DataFrame, shares: int) -> DataFrame:
                 if size >= SENT_GRAMS // 2:
                     yield records(*held.pop())
                     size = 0
-        if held:
+        if size:
             yield records(*added(*(np.concatenate(x) for x in zip(*held, strict=True))))
 
-    return docs.mapInArrow(run, "share int, mass long, places binary, counts binary")
+    return docs.mapInArrow(run, "share int, kind int, mass long, places binary, counts binary")
 
 
 class Summary:
@@ -196,7 +201,7 @@ def probes(places: np.ndarray, width: np.ndarray | int) -> list[np.ndarray]:
 
 
 def survivors(codes: DataFrame, threshold: int, most_bits: int) -> DataFrame:
-    """Rows (share, width, bits): a filter of the share's surviving n-grams; ``codes`` come sorted by share."""
+    """Rows (share, width, bits): a filter of the share's surviving n-grams; ``codes`` come by share and kind."""
 
     def filtered(share: int, summary: Summary) -> pa.RecordBatch:
         keys = summary.frequent(threshold)
@@ -210,7 +215,7 @@ def survivors(codes: DataFrame, threshold: int, most_bits: int) -> DataFrame:
         })
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, summary, held, size = None, None, [], 0
+        at, total, summary, held, size = None, 0, None, [], 0
 
         def merge() -> None:
             if held:
@@ -219,13 +224,18 @@ def survivors(codes: DataFrame, threshold: int, most_bits: int) -> DataFrame:
 
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            columns = (batch[c].to_pylist() for c in ("share", "total", "places", "counts"))
-            for share, total, code, counts in zip(*columns, strict=True):
+            columns = (batch[c].to_pylist() for c in ("share", "kind", "mass", "places", "counts"))
+            for share, kind, mass, code, counts in zip(*columns, strict=True):
                 if share != at:
                     if summary is not None:
                         merge()
                         yield filtered(at, summary)
-                    at, summary, size = share, Summary(SLACK * -(-total // threshold) + 1), 0
+                    at, total, summary, size = share, 0, None, 0
+                if kind == 0:
+                    total += mass
+                    continue
+                if summary is None:
+                    summary = Summary(SLACK * -(-total // threshold) + 1)
                 held.append((golomb.decode(code), np.frombuffer(unpack(counts), np.int64)))
                 size += len(held[-1][0])
                 if size >= MERGE:
@@ -293,12 +303,8 @@ def frequent_grams(docs: DataFrame, threshold: int, filter_bytes: int = FILTER_B
     mass = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 2  # about a word for six bytes, three n-grams each
     least, most = (-(-mass // share) for share in reversed(SHARE_MASS))
     shares = max(docs.sparkSession.sparkContext.defaultParallelism, min(most, 256), least)
-    codes = stored(sent(docs, shares), "gram-codes")
-    totals = codes.groupBy("share").agg(F.sum("mass").alias("total"))
-    dealt = codes.join(totals, "share").repartition(shares, "share").sortWithinPartitions("share")
-    filters = stored(
-        survivors(dealt.select("share", "total", "places", "counts"), threshold, 8 * filter_bytes // shares), "gram-filters"
-    )
+    dealt = sent(docs, shares).repartition(shares, "share").sortWithinPartitions("share", "kind")
+    filters = stored(survivors(dealt, threshold, 8 * filter_bytes // shares), "gram-filters")
     chosen = Filter(filters.collect(), shares)  # at most filter_bytes and 16 bytes a share
     counted = exact_counts(docs, chosen).groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
     return stored(counted.filter((F.col("words") == 0) | (F.col("n") >= threshold)), "gram-counts")
