@@ -3,9 +3,10 @@
 Two sets that are similar enough share one of their rarest shingles (prefix filter). Sets that share such a key
 are first linked to the first set of the key; what is left in different components is compared by signature
 trees: nodes hold OR-combined bitmaps and size ranges, and node pairs are dropped when even the largest possible
-overlap is too small. Trees are built in cells of two blocks of sets that also hold their texts, so a candidate
-pair is counted where it is found and only links that join components leave a cell. Every reported link was
-counted on the whole sets.
+overlap is too small. Where most sets of a cell remain candidates of each other, as in a group of near copies, the
+cell sends the group's members instead of its pairs; such a group is compared in cells that hold the texts, where
+pairs are counted as they are found and only links that join components leave. Every reported link was counted on
+the whole sets.
 """
 
 from __future__ import annotations
@@ -25,7 +26,10 @@ from proofgrid.plans.storage import stored
 CELL_BITS = (16, 18)  # of the counts that order shingles from rare to frequent, on little and on much data
 HOT_CELL = 1 << 20  # a key of a fuller cell, at sixteen times the mean at least, is dealt over several tasks
 SLICE_CHARS = 2 << 20
-BLOCK = 256  # sets of a unit that a task compares with as many others at once
+KEY_BLOCK = 2048  # sets of one key that a task compares with as many others at once, by bitmaps
+DENSE = 3  # candidate pairs per set beyond which a group is sent as its members
+HELD_PAIRS = 1 << 18  # candidate pairs of a cell that are held; what comes later is sent as members
+BLOCK = 256  # sets of a group that a task compares with as many others at once, by texts
 BLOCK_SHINGLES = 2 << 20  # shingles in a block at most, on average
 LEAF = 16
 VERIFY_BLOCK = 256  # documents of a block whose pairs are counted on whole sets
@@ -245,6 +249,110 @@ def tree_pairs(a: Tree, b: Tree, percent: int) -> Iterator[tuple[np.ndarray, np.
         yield a.order[x[left]], b.order[y[left]]
 
 
+class Candidates:
+    """Candidate pairs of a cell; groups with many of them are told by their members."""
+
+    def __init__(self):
+        self.root: dict[int, int] = {}
+        self.pairs: list[tuple[int, int]] = []
+        self.crowded: list[int] = []  # sets with pairs that were not held
+
+    def find(self, x: int) -> int:
+        root = x
+        while self.root.setdefault(root, root) != root:
+            root = self.root[root]
+        while self.root[x] != root:
+            self.root[x], x = root, self.root[x]
+        return root
+
+    def add(self, x: int, y: int) -> None:
+        p, q = self.find(x), self.find(y)
+        if p != q:
+            self.root[max(p, q)] = min(p, q)
+        if len(self.pairs) < HELD_PAIRS:
+            self.pairs.append((min(x, y), max(x, y)))
+        elif p != q or not self.crowded or self.crowded[-1] != x:
+            self.crowded.append(x)
+
+    def edges(self) -> Iterator[tuple[int, int, bool]]:
+        """Pairs of sparse groups, and of dense ones (first member, member), marked."""
+        self.pairs = list(set(self.pairs))
+        members: dict[int, int] = {}
+        for x in list(self.root):
+            members[self.find(x)] = members.get(self.find(x), 0) + 1
+        counts: dict[int, int] = {}
+        for x, _ in self.pairs:
+            counts[self.find(x)] = counts.get(self.find(x), 0) + 1
+        dense = {g for g, n in counts.items() if n > DENSE * members[g]} | {self.find(x) for x in self.crowded}
+        yield from ((x, y, False) for x, y in self.pairs if self.find(x) not in dense)
+        yield from ((self.find(x), x, True) for x in self.root if self.find(x) in dense and self.find(x) != x)
+
+
+def candidate_edges(rows: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b, dense) from cells (key, p, q) of rows (doc, n, component, bits, block), sorted by cell.
+
+    A candidate pair is an edge, or its sets hang together by dense edges. A cell sends at most ``DENSE`` edges a set.
+    """
+
+    def pairs(cell: dict[str, list]) -> Iterator[tuple[int, int]]:
+        # Similar sets have bitmaps of one length or of two that follow each other.
+        lengths = np.array([len(b) for b in cell["bits"]])
+        for size in np.unique(lengths):
+            rows = np.flatnonzero((lengths == size) | (lengths == 2 * size))
+            if len(rows) > 1:
+                yield from pairs_of({name: [values[i] for i in rows] for name, values in cell.items()}, int(size))
+
+    def pairs_of(cell: dict[str, list], size: int) -> Iterator[tuple[int, int]]:
+        doc, n = np.array(cell["doc"], np.int64), np.array(cell["n"], np.int64)
+        group = np.array(cell["component"], np.int64)
+        bits = np.stack([fold(np.frombuffer(b, np.uint8), size) for b in cell["bits"]]).view(np.uint64)
+        left = np.array(cell["block"]) == cell["p"][0]
+        sides = [left] if cell["p"][0] == cell["q"][0] else [left, ~left]
+        if not all(side.any() for side in sides):
+            return
+        trees = [(doc[side], Tree(n[side], group[side], bits[side])) for side in sides]
+        (docs_a, a), (docs_b, b) = trees[0], trees[-1]
+        for x, y in tree_pairs(a, b, percent):
+            yield from zip(docs_a[x].tolist(), docs_b[y].tolist(), strict=True)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc", "n", "component", "bits", "block", "p", "q"]
+        found: set[tuple[int, int, bool]] = set()
+        cell: dict[str, list] = {name: [] for name in names}
+        at = None
+
+        def close() -> None:
+            candidates = Candidates()
+            for x, y in pairs(cell):
+                candidates.add(x, y)
+            found.update(candidates.edges())
+
+        def record() -> pa.RecordBatch:
+            a, b, dense = zip(*found, strict=True) if found else ((), (), ())
+            return pa.RecordBatch.from_pydict(
+                {"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "dense": pa.array(dense, pa.bool_())}
+            )
+
+        for batch in batches:
+            columns = [batch[name].to_pylist() for name in ["key", *names]]
+            for key, *values in zip(*columns, strict=True):
+                here = (key, values[5], values[6])
+                if here != at:
+                    if at is not None:
+                        close()
+                    if len(found) > 100_000:
+                        yield record()
+                        found.clear()
+                    cell, at = {name: [] for name in names}, here
+                for name, value in zip(names, values, strict=True):
+                    cell[name].append(value)
+        if at is not None:
+            close()
+        yield record()
+
+    return rows.mapInArrow(run, "a long, b long, dense boolean")
+
+
 class Cell:
     """Sets of one or two blocks of a unit; finds the links that join their components."""
 
@@ -336,8 +444,8 @@ def cell_links(rows: DataFrame, percent: int) -> DataFrame:
     return rows.select("unit", "p", "q", "doc", "component", "block", "packed").mapInArrow(run, "a long, b long")
 
 
-def _unit_facts(members: DataFrame, unit: str, block: int, shingles: int) -> DataFrame:
-    """Per unit its largest component and into how many blocks its sets fall; ``_rows``: rows of all its cells.
+def _unit_facts(members: DataFrame, unit: str, block: int, shingles: int | None) -> DataFrame:
+    """Per unit its largest component and into how many blocks its sets fall.
 
     ``members``: unit, doc, n, component, each doc once. The sets outside the largest component are the minor ones.
     Minor sets meet each other and all the rest in cells of two blocks; sets of the largest component meet only minor
@@ -348,21 +456,35 @@ def _unit_facts(members: DataFrame, unit: str, block: int, shingles: int) -> Dat
         F.max_by("component", F.struct("_k", "component")).alias("main"), F.max("_k").alias("_most"),
         F.sum("_k").alias("_all"), F.sum("_s").alias("_sum"), F.count("*").alias("_components"),
     ).filter("_components > 1")
-    blocks = lambda k: F.ceil(F.greatest(k / block, F.col("_sum") * k / F.col("_all") / shingles)).cast("int")
-    few = F.col("_all") - F.col("_most")
-    placed = main.withColumns({"minors": blocks(few), "majors": blocks(F.col("_most"))})
-    cost = few * (F.col("minors") + F.col("majors")) + F.col("_most") * F.col("minors")
-    return placed.select(unit, "main", "minors", "majors", cost.alias("_rows"))
+    size = lambda k: F.greatest(k / block, F.col("_sum") * k / F.col("_all") / shingles) if shingles else k / block
+    blocks = lambda k: F.ceil(size(k)).cast("int")
+    return main.select(
+        unit, "main", blocks(F.col("_all") - F.col("_most")).alias("minors"), blocks(F.col("_most")).alias("majors")
+    )
+
+
+def _in_cells(members: DataFrame, facts: DataFrame, unit: str) -> DataFrame:
+    """Rows of ``members`` with ``block``, once for each cell (p, q) of their unit."""
+    minor = F.col("component") != F.col("main")
+    part = lambda n: F.pmod(F.xxhash64("doc"), n).cast("int")
+    mine = members.join(facts.select(unit, "main", "minors", "majors"), unit).withColumn(
+        "block", F.when(minor, part(F.col("minors"))).otherwise(F.col("minors") + part(F.col("majors")))
+    )
+    partners = F.when(minor, F.col("minors") + F.col("majors")).otherwise(F.col("minors"))
+    return (
+        mine.withColumn("_other", F.explode(F.sequence(F.lit(0), partners - 1)))
+        .withColumn("p", F.least("block", "_other")).withColumn("q", F.greatest("block", "_other"))
+        .select(*members.columns, "block", "p", "q")
+    )
 
 
-def remaining_links(
-    shared: DataFrame, roots: DataFrame, whole: DataFrame, percent: int, block: int = BLOCK, shingles: int = BLOCK_SHINGLES,
+def remaining_candidates(
+    shared: DataFrame, roots: DataFrame, bits: DataFrame, percent: int, block: int = KEY_BLOCK
 ) -> DataFrame:
-    """Links between components that share a key, for keys of three or more sets and for dealt keys.
+    """Candidate edges (a, b, dense) between components that share a key, stored.
 
-    Two sets of one slice were compared as leader and follower; a dealt key may hold its two in different slices, so
-    it counts here as well. Sets that hang together by such keys are a cluster. A unit is a whole cluster, where each
-    set is compared once with each other, or a key, where the keys of a cluster make fewer rows than that.
+    Keys of three or more sets and dealt keys: two sets of one slice were compared as leader and follower, but a dealt
+    key may hold its two in different slices. Of keys with the same sets one is enough.
     """
     placed = (
         shared.select("key", "slice", "doc", "n").join(roots.select(F.col("node").alias("doc"), "component"), "doc", "left")
@@ -373,45 +495,33 @@ def remaining_links(
         F.count("*").alias("_all"), F.max("slice").alias("_slice"), F.min("doc").alias("low"), F.max("doc").alias("_high"),
         F.min("component").alias("_c"), F.max("component").alias("_d"), F.bit_xor(F.xxhash64("doc")).alias("_mark"),
     ).filter("_c <> _d and (_all > 2 or _slice >= 0)")
-    # Of keys with the same sets one is enough.
-    once = stored(counted.groupBy("_all", "low", "_high", "_mark").agg(F.min("key").alias("key")).select("key", "low"), "set-units")
-    members = stored(placed.join(once, "key").select("key", "low", "doc", "n", "component"), "set-members")
-    clusters = components(members.select(F.col("low").alias("a"), F.col("doc").alias("b")))
-    clusters = stored(clusters.select(F.col("node").alias("doc"), F.col("component").alias("cluster")), "set-clusters")
-    in_cluster = members.select("doc", "n", "component").distinct().join(clusters, "doc")
-    whole_units = stored(_unit_facts(in_cluster, "cluster", block, shingles), "cluster-units")
-    key_units = _unit_facts(members, "key", block, shingles).join(once, "key").join(
-        clusters.withColumnRenamed("doc", "low"), "low"
-    )
-    key_units = stored(key_units, "key-units")
-    by_key = key_units.groupBy("cluster").agg(F.sum("_rows").alias("_by_key"))
-    choice = stored(
-        whole_units.join(by_key, "cluster", "left").select(
-            "cluster", (F.col("_by_key").isNull() | (F.col("_rows") <= F.col("_by_key"))).alias("_whole")
-        ),
-        "unit-choice",
-    )
-    facts = ["unit", "main", "minors", "majors"]
-    chosen = choice.filter("_whole").select("cluster")
-    first = in_cluster.join(whole_units.join(chosen, "cluster"), "cluster").withColumnRenamed("cluster", "unit")
-    keys = key_units.join(choice.filter("not _whole").select("cluster"), "cluster").select("key", "main", "minors", "majors")
-    second = members.join(keys, "key").withColumnRenamed("key", "unit")
-    mine = first.select(*facts, "doc", "component", F.lit(0).alias("_kind")).unionByName(
-        second.select(*facts, "doc", "component", F.lit(1).alias("_kind"))
-    )
-    minor = F.col("component") != F.col("main")
-    part = lambda n: F.pmod(F.xxhash64("doc"), n).cast("int")
-    mine = mine.withColumn("block", F.when(minor, part(F.col("minors"))).otherwise(F.col("minors") + part(F.col("majors"))))
-    partners = F.when(minor, F.col("minors") + F.col("majors")).otherwise(F.col("minors"))
-    cells = (
-        mine.withColumn("_other", F.explode(F.sequence(F.lit(0), partners - 1)))
-        .withColumn("p", F.least("block", "_other")).withColumn("q", F.greatest("block", "_other"))
-        .select(F.concat_ws(":", F.col("_kind").cast("string"), F.col("unit").cast("string")).alias("unit"), "p", "q", "block", "doc", "component")
+    once = counted.groupBy("_all", "low", "_high", "_mark").agg(F.min("key").alias("key")).select("key")
+    members = placed.join(once, "key").select("key", "doc", "n", "component")
+    cells = _in_cells(members, _unit_facts(members, "key", block, None), "key")
+    whole = cells.join(bits.select(F.col("doc_id").alias("doc"), "bits"), "doc")
+    dealt = whole.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
+    return stored(candidate_edges(dealt, percent).distinct(), "set-candidates")
+
+
+def dense_links(
+    edges: DataFrame, roots: DataFrame, bits: DataFrame, whole: DataFrame, percent: int, block: int = BLOCK,
+    shingles: int = BLOCK_SHINGLES,
+) -> DataFrame:
+    """Links between components within the groups that dense ``edges`` (a, b) make, stored.
+
+    A group's sets go once to each cell of two blocks, with their texts.
+    """
+    groups = components(edges).select(F.col("node").alias("doc"), F.col("component").alias("unit"))
+    members = (
+        groups.join(roots.select(F.col("node").alias("doc"), "component"), "doc", "left")
+        .join(bits.select(F.col("doc_id").alias("doc"), "n"), "doc")
+        .select("unit", "doc", "n", F.coalesce("component", "doc").alias("component"))
     )
-    cells = stored(cells, "set-cells")
+    members = stored(members, "dense-sets")
+    cells = stored(_in_cells(members, _unit_facts(members, "unit", block, shingles), "unit"), "dense-cells")
     texts = texts_of(cells.select("doc"), whole).withColumnRenamed("doc_id", "doc")
     dealt = cells.join(texts, "doc").repartition("unit", "p", "q").sortWithinPartitions("unit", "p", "q")
-    return cell_links(dealt, percent)
+    return stored(cell_links(dealt, percent), "set-links")
 
 
 def texts_of(docs: DataFrame, whole: DataFrame) -> DataFrame:
@@ -507,9 +617,14 @@ def near_duplicates(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id",
     to_leaders = stored(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "set-pairs")
     links = stored(verified(to_leaders, whole, percent), "set-links")
     roots = components(links)
-    rest = stored(verified(stored(_apart(near, roots), "set-pairs"), whole, percent), "set-links")
-    last = stored(remaining_links(shared, roots, whole, percent), "set-links")
-    roots = components(links.unionByName(rest).unionByName(last))
+    edges = remaining_candidates(shared, roots, bits, percent)
+    left = _apart(near, roots).unionByName(edges.filter("not dense").select("a", "b")).distinct()
+    rest = stored(verified(stored(left, "set-pairs"), whole, percent), "set-links")
+    every = links.unionByName(rest)
+    dense = edges.filter("dense").select("a", "b")
+    if not dense.isEmpty():
+        every = every.unionByName(dense_links(dense, roots, bits, whole, percent))
+    roots = components(every)
     named = classes.join(roots.withColumnRenamed("node", "first"), "first", "left").select(
         "n", "f1", "f2", F.coalesce("component", "first").alias("component_id")
     )
