@@ -25,7 +25,7 @@ from proofgrid.plans.storage import stored
 
 CELL_BITS = (16, 18)  # of the counts that order shingles from rare to frequent, on little and on much data
 HOT_CELL = 1 << 20  # a key of a fuller cell, at sixteen times the mean at least, is dealt over several tasks
-SLICE_CHARS = 2 << 20
+SLICE_CHARS = 1 << 19  # texts that a task cuts into shingles at once
 KEY_BLOCK = 2048  # sets of one key that a task compares with as many others at once, by bitmaps
 DENSE = 3  # candidate pairs per set beyond which a group is sent as its members
 HELD_PAIRS = 1 << 18  # candidate pairs of a cell that are held; what comes later is sent as members
