@@ -108,6 +108,9 @@ NEGATED = (
     "not licensed", "not released", "not distributed", "not published", "not available", "not covered", "not under",
     "not governed", "never licensed", "never released", "t licensed", "t released",
 )
+_OPEN_NEGATION = (
+    r"\b((?:not|never) (?:licensed|released|distributed|published|available|covered|governed|under|made|provided|subject))([^\n.;:!?]{0,60})\n"
+)
 # What notices are made of; names of the known families and of others.
 SUBJECTS = ("", "this work is", "this software is", "this file is", "the code is", "all content is", "our library is", "code")
 VERBS = (
@@ -407,8 +410,11 @@ def scan(
 def _rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     whole = F.coalesce(F.col(text), F.lit(""))
     lowered = F.replace(F.lower(whole), F.lit("licence"), F.lit("license"))
-    # A negation at the end of a line belongs to the next one, which may be a notice by itself without it.
-    lowered = F.regexp_replace(lowered, r"\b(not|never)[ \t]*\n[ \t]*(?=[a-z0-9])", "\n$1 ")
+    # A line that goes on after a negation would be a notice by itself: the negation is said again at its start.
+    for word in ("not", "never"):
+        lowered = F.replace(lowered, F.lit(f" {word}\n"), F.lit(f"\n{word} "))
+    negated = F.contains(lowered, F.lit("not ")) | F.contains(lowered, F.lit("never "))
+    lowered = F.when(negated, F.regexp_replace(lowered, _OPEN_NEGATION, "$1$2\n$1 ")).otherwise(lowered)
     return docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(whole).alias("row"), lowered.alias("text"))
 
 
