@@ -234,8 +234,9 @@ def test_a_large_group_of_near_copies_sends_few_links(spark, monkeypatch):
         rows.append((i, " ".join(own)))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     made = []
-    before = sigtree.remaining_links
-    monkeypatch.setattr(sigtree, "remaining_links", lambda *a, **k: made.append(before(*a, **k).persist()) or made[-1])
+    for name in ("remaining_candidates", "dense_links"):
+        before = getattr(sigtree, name)
+        monkeypatch.setattr(sigtree, name, lambda *a, before=before, **k: made.append(before(*a, **k).persist()) or made[-1])
     found = {r["doc_id"]: r["component_id"] for r in sigtree.near_duplicates(df).collect()}
     sets = {i: frozenset(zip(*(t.split()[k:] for k in range(5)), strict=False)) for i, t in rows}
     links = collections.defaultdict(set)
@@ -251,7 +252,9 @@ def test_a_large_group_of_near_copies_sends_few_links(spark, monkeypatch):
             reach |= new
             todo += new
         assert found[i] == min(reach)
-    assert made[0].count() <= 2 * len(rows)
+    edges, links_sent = made
+    assert edges.filter("dense").count() >= 100  # this group goes as its members
+    assert edges.count() <= 4 * len(rows) and links_sent.count() < len(rows)
 
 
 # --- entry -------------------------------------------------------------------------------------------------------

@@ -254,7 +254,10 @@ def brute_components(sets):
 @pytest.mark.parametrize("hot_cell,block", [(1 << 20, 256), (2, 3)])
 def test_set_join_equals_brute_force(docs, empty, monkeypatch, hot_cell, block):
     monkeypatch.setattr(sigtree, "HOT_CELL", hot_cell)
-    monkeypatch.setattr(sigtree.remaining_links, "__defaults__", (block, 400 if block > 3 else 60))
+    monkeypatch.setattr(sigtree.remaining_candidates, "__defaults__", (block,))
+    monkeypatch.setattr(sigtree.dense_links, "__defaults__", (block, 400 if block > 3 else 60))
+    monkeypatch.setattr(sigtree, "DENSE", 3 if block > 3 else 0)
+    monkeypatch.setattr(sigtree, "HELD_PAIRS", 1 << 18 if block > 3 else 2)
     sets = {i: shingles(t) for i, t in texts_of(docs).items()}
     roots = brute_components(sets)
     rows = sigtree.near_duplicates(docs).collect()
