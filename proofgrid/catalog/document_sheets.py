@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from proofgrid.catalog import inputs
 from proofgrid.catalog.certificates import rounded
 from proofgrid.catalog.registry import register, table
-from proofgrid.config import ScoringConfig
+from proofgrid.config import DEFAULT_DOCUMENT_MAPPING, ScoringConfig
 from proofgrid.operators import aggregate, documents
 from proofgrid.plans import document
 from proofgrid.plans.storage import stored
@@ -243,26 +243,51 @@ register(
 )
 
 
+def _fixed_values(dialect: str) -> dict[str, tuple[str, str]]:
+    """Truth and prediction of all six mapped fields; the last two amounts and the ranges have plain values."""
+    values = inputs.document_values(dialect)
+    text = "string" if dialect == "spark" else "varchar"
+    price = "cast(floor(o_totalprice) as bigint)"
+    whole = "case when o_orderkey % 3 = 0 then '全部' when o_orderkey % 3 = 1 then '單筆' end"
+    return {
+        "發文日期": values["發文日期"],
+        "得請領_金額": values["得請領_金額"],
+        "繼續性_金額": (
+            f"case when o_orderkey % 4 = 0 then null else cast({price} % 1000 as {text}) end",
+            f"case when o_orderkey % 6 = 0 then null else cast({price} % 1000 + o_orderkey % 2 as {text}) end",
+        ),
+        "解約金_金額": (
+            f"cast({price} % 77 as {text})", f"case when o_orderkey % 2 = 0 then cast({price} % 77 as {text}) end",
+        ),
+        "解約金_範圍": (whole, "case when o_orderkey % 5 = 0 then '全部' else '單筆' end"),
+        "小額終老非扣押範圍": (
+            "case when o_orderkey % 2 = 0 then 'Y' else 'N' end",
+            "case when o_orderkey % 7 = 0 then null when o_orderkey % 2 = 0 then 'yes' else '0' end",
+        ),
+    }
+
+
 def _fixed_pairs(spark, folder):
-    """A headed table with the default prediction and truth columns of two fields."""
-    values = inputs.document_values("spark")
-    date, amount = values["發文日期"], values["得請領_金額"]
+    """A headed table with the default prediction and truth columns of all mapped fields."""
+    columns = [
+        f"{value} as `{name}`"
+        for field, sides in _fixed_values("spark").items()
+        for value, name in zip(sides[::-1], DEFAULT_DOCUMENT_MAPPING[field], strict=True)
+    ]
     df = table(spark, folder, "orders").withColumn("m", F.lit(0)).selectExpr(
         "case when o_orderkey % 29 <> 0 then concat('C', o_custkey) end as `case`",
-        "o_orderkey as row_idx", f"{date[1]} as `gemma 3 27b qat`", f"{date[0]} as `Unnamed: 5`",
-        f"{amount[1]} as `Chatgpt 4.1`", f"{amount[0]} as `Unnamed: 8`",
+        "o_orderkey as row_idx", *columns,
     )
     return documents.fixed_document_pairs(df, "row_idx")
 
 
 def _fixed_sql() -> str:
-    values = inputs.document_values("duckdb")
     parts = [
         "select o_orderkey as row_idx, coalesce(case when o_orderkey % 29 <> 0"
         " then concat('C', o_custkey) end, concat('記錄', o_orderkey)) as case_id,"
-        f" '{f}' as field, {values[f][0]} as correct, {values[f][1]} as predicted"
+        f" '{field}' as field, {truth} as correct, {predicted} as predicted"
         " from (select *, 0 as m from orders) where o_orderkey > 0"
-        for f in ("發文日期", "得請領_金額")
+        for field, (truth, predicted) in _fixed_values("duckdb").items()
     ]
     return f"select * from ({' union all '.join(parts)}) {KEPT}"
 

@@ -541,13 +541,16 @@ REQUIRED = [
 MISSING_SQL = f"""missing as materialized (
   select h.workbook, r.name from heads h, (select unnest([{_literal(REQUIRED)}]) as name) r
   where not exists (select 1 from head_cells c where c.workbook = h.workbook and c.value = r.name))"""
-for _name in ("rsh08_required_columns", "jn05_missing_columns", "set04_required_minus_available"):
+for _name, _kind in (
+    ("rsh08_required_columns", "single"), ("jn05_missing_columns", "plain"),
+    ("set04_required_minus_available", "answer"),
+):
     register(
         _name,
-        lambda spark, folder: _single_headers(spark, folder, "single").select(
+        lambda spark, folder, kind=_kind: _single_headers(spark, folder, kind).select(
             "workbook", F.explode(layout.missing_columns(F.col("header"))).alias("name")
         ),
-        f"with {grid_cte('single')}, {PAIRING_CTES}, {MISSING_SQL} select workbook, name from missing",
+        f"with {grid_cte(_kind)}, {PAIRING_CTES}, {MISSING_SQL} select workbook, name from missing",
     )
 register(
     "rsh15_pairs_by_suffix",

@@ -1,8 +1,8 @@
 """Error rates and similarities as column expressions.
 
-Pairs that agree after clean-up never reach the edit distance. Word-level distance maps every
-distinct token of a pair to one supplementary code point and then uses the built-in ``levenshtein``,
-so it stays in the JVM.
+Pairs that agree after clean-up never reach the edit distance. Word-level distance numbers the words that
+both texts of a pair have, writes each number as one four-byte character and then uses the built-in
+``levenshtein``, so it stays in the JVM.
 """
 
 from __future__ import annotations
@@ -21,9 +21,10 @@ from proofgrid.functions.textnorm import (
 
 DEFAULT = ScoringConfig()
 
-# Tokens are numbered from the first supplementary code point; the last one is 0x10FFFF.
-_FIRST_TOKEN_CODE = 0x10000
-_TOKEN_CODES = 0x10FFFF - _FIRST_TOKEN_CODE
+# A number is written as the bytes of 0xF0000000 and the number. ``levenshtein`` takes four bytes that start with
+# F0 to F4 for one character, whatever follows, which is room for 83,886,080 numbers; an array of as many words
+# would be beyond the 2 GB that a value may have.
+_FIRST_CODE = 0xF0000000
 
 
 def long_pair(left: Column, right: Column, cfg: ScoringConfig = DEFAULT) -> Column:
@@ -45,23 +46,38 @@ def char_distance(
     return F.when(slow, helper).otherwise(F.levenshtein(left, right))
 
 
-def _interned(tokens: Column, vocabulary: Column) -> Column:
-    codes = F.transform(
-        tokens,
-        lambda t: F.lpad(
-            F.hex(F.array_position(vocabulary, t) + F.lit(_FIRST_TOKEN_CODE)), 8, "0"
-        ),
-    )
-    return F.decode(F.unhex(F.array_join(codes, "")), "UTF-32")
+def _interned(tokens: Column, vocabulary: Column, foreign: int) -> Column:
+    """One character per token: its place in the sorted vocabulary plus two, or ``foreign`` if it is not there.
+
+    The place is found by halving, so a pair costs its words times the logarithm of its vocabulary.
+    """
+    size = F.size(vocabulary)
+    most = F.floor(F.log2(F.greatest(size, F.lit(1)))).cast("int") + 1  # one more than needed does no harm
+    halvings = F.sequence(most, F.lit(0), F.lit(-1))
+    steps = F.transform(halvings, lambda i: F.call_function("shiftleft", F.lit(1), i))
+
+    def place(token: Column) -> Column:
+        """How many entries of the vocabulary are at most the token."""
+        return F.aggregate(
+            steps, F.lit(0),
+            lambda at, step: F.when(F.get(vocabulary, at + step - 1) <= token, at + step).otherwise(at),
+        )
+
+    def code(token: Column) -> Column:
+        at = place(token)
+        known = F.coalesce(F.get(vocabulary, at - 1) == token, F.lit(False))
+        return F.hex(F.when(known, at.cast("long") + 1).otherwise(foreign) + F.lit(_FIRST_CODE))
+
+    return F.unhex(F.array_join(F.transform(tokens, code), "")).cast("string")
 
 
 def token_distance(left: Column, right: Column) -> Column:
-    """Edit distance over two arrays of tokens, by one code point per distinct token."""
-    vocabulary = F.array_distinct(F.concat(left, right))
-    return F.when(
-        F.size(vocabulary) <= _TOKEN_CODES,
-        F.levenshtein(_interned(left, vocabulary), _interned(right, vocabulary)),
-    ).otherwise(F.raise_error(F.lit("too many distinct words in one pair: use edit_engine='auto'")))
+    """Edit distance over two arrays of tokens.
+
+    Words of one side only equal no word of the other, so all of a side share one character.
+    """
+    vocabulary = F.array_sort(F.array_intersect(left, right))
+    return F.levenshtein(_interned(left, vocabulary, 0), _interned(right, vocabulary, 1))
 
 
 def word_distance(

@@ -13,7 +13,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_folders: dict[str, str] = {}  # per application, its folder
+_folders: dict[tuple[str, str], str] = {}  # per application and shared folder, its own folder
 _open: dict[str, list[list[str]]] = {}  # per application, the paths made in each open workspace
 
 
@@ -58,13 +58,14 @@ def shared_folder(spark: SparkSession) -> str:
 def _own_folder(spark: SparkSession) -> str:
     """This application's folder. Its file system deletes it when the application ends."""
     app = spark.sparkContext.applicationId
-    if app not in _folders:
+    key = app, spark.conf.get("spark.checkpoint.dir", "")
+    if key not in _folders:
         path = f"{shared_folder(spark)}/{app}-{uuid.uuid4().hex[:8]}"
         where, files = _file(spark, path)
         files.mkdirs(where)
         files.deleteOnExit(where)
-        _folders[app] = path
-    return _folders[app]
+        _folders[key] = path
+    return _folders[key]
 
 
 def new_path(spark: SparkSession, name: str) -> str:

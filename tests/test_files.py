@@ -15,7 +15,7 @@ from proofgrid.operators import joins, reports
 from proofgrid.operators.pairing import wide_to_pairs
 from proofgrid.operators.scoring import score_pairs
 from proofgrid.plans.certificate import evaluate_pairs, evaluate_workbooks
-from proofgrid.plans import storage
+from proofgrid.plans import folder, storage
 from proofgrid.plans.storage import stored
 from proofgrid.sources import samples, sinks, tables, workbooks
 from proofgrid.sources.samples import GRID_HEADER, GRID_ROWS
@@ -71,6 +71,34 @@ def test_folder_of_workbooks(spark, tmp_path):
     assert result.overall.first().overall_accuracy == pytest.approx(0.947478991596639)
 
 
+def test_one_job_from_folder_to_report(spark, tmp_path):
+    source, out = tmp_path / "in", str(tmp_path / "out")
+    source.mkdir()
+    (source / "good.xlsx").write_bytes(workbook_bytes([GRID_HEADER, *GRID_ROWS]))
+    (source / "bare.xlsx").write_bytes(workbook_bytes([["a", "b"], ["c", "d"]]))
+    (source / "broken.xlsx").write_bytes(b"not a workbook")
+    (source / "notes.txt").write_bytes(b"text")
+    (source / "big.xlsx").write_bytes(b"1" * 50_000)
+    before = set(os.listdir(storage._own_folder(spark)))
+    for _ in range(2):  # a repeated job replaces its part
+        report = folder.evaluate_folder(spark, str(source), out, "night", limit=40_000)
+    assert spark.read.parquet(report.lines).count() == 5 * 4
+    assert spark.read.parquet(report.fields).count() == 3
+    failed = {os.path.basename(r.workbook): r.reason for r in spark.read.parquet(report.failures).collect()}
+    assert set(failed) == {"bare.xlsx", "broken.xlsx", "notes.txt", "big.xlsx"}
+    assert failed["big.xlsx"] == "file too large" and failed["notes.txt"] == "invalid file format"
+    assert set(os.listdir(storage._own_folder(spark))) == before
+    for name in ("good.xlsx",):
+        (source / name).unlink()
+    with pytest.raises(ValueError, match=folder.ALL_FAILED):
+        folder.evaluate_folder(spark, str(source), out, "next", limit=40_000)
+    with pytest.raises(ValueError, match=folder.NO_FILES):
+        folder.evaluate_folder(spark, str(source), out, "last", limit=1)
+    jobs = {str(r.job): r.n for r in spark.read.parquet(report.failures).groupBy("job").agg(F.count("*").alias("n")).collect()}
+    assert jobs == {"night": 4, "next": 4, "last": 4}
+    assert {str(r.job) for r in spark.read.parquet(report.lines).select("job").distinct().collect()} == {"night"}
+
+
 def test_admission(spark, tmp_path):
     (tmp_path / "a.XLSX").write_bytes(b"12345")
     (tmp_path / "c.csv").write_bytes(b"1")

@@ -275,3 +275,18 @@ def test_config_bounds():
                 {"edit_engine": "x"}, {"chunk_rows": 0}):
         with pytest.raises(ValueError):
             ScoringConfig(**bad)
+
+
+def test_word_distance_equals_brute_force(spark):
+    """Words of one side, of both, repeated ones, empty sides and many distinct words."""
+    rng = random.Random(17)
+    pool = [f"w{i}" for i in range(30)] + ["é", "a", "\U0001f600", ""]
+    rows = [
+        ([rng.choice(pool) for _ in range(rng.randint(0, 25))], [rng.choice(pool) for _ in range(rng.randint(0, 25))])
+        for _ in range(150)
+    ]
+    many = [f"x{i}" for i in range(1500)]
+    rows += [(many, many[::-1]), (many, many[5:] + ["end"]), ([], []), (["a"], ["b"]), (["a", "b"], ["b", "a"])]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, l array<string>, r array<string>")
+    got = {r.i: r.d for r in df.select("i", metrics.token_distance(F.col("l"), F.col("r")).alias("d")).collect()}
+    assert got == {i: editing.edit_distance(l, r) for i, (l, r) in enumerate(rows)}

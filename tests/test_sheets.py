@@ -53,6 +53,22 @@ def test_vertical_blocks_with_note_and_repeat(spark):
     assert heads["gemma 3"] == GRID_HEADER
 
 
+def test_crowded_sheets_have_the_same_blocks(spark):
+    """More naming rows than an array may hold: the block is carried from row to row."""
+    sheet = [
+        ["before"], model_row("gemma 3"), ["note"], GRID_HEADER, GRID_ROWS[0], model_row("ChatGPT"), GRID_HEADER,
+        GRID_ROWS[1], [" ", None], model_row("gemma 3"), GRID_HEADER, GRID_ROWS[2], GRID_ROWS[3],
+    ]
+    rows = rows_from(spark, {"v": sheet, "w": sheet[:5], "x": [["no model"], GRID_HEADER]})
+
+    def blocks(max_starts):
+        cfg = ScoringConfig(chunk_rows=3, hot_splits=3, max_starts=max_starts)
+        found = layout.split_vertically(rows, cfg)
+        return sorted(map(str, found.data.collect())), sorted(map(str, found.headers.collect()))
+
+    assert blocks(1) == blocks(256)
+
+
 def test_first_row_of_a_block_becomes_the_header(spark):
     blocks = vertical(
         spark, model_row("gemma 3"), ["note"], GRID_HEADER, GRID_ROWS[0],
