@@ -1,0 +1,84 @@
+"""Work per task and per pair does not grow with the tables."""
+
+from __future__ import annotations
+
+import random
+
+from pyspark.sql import functions as F
+
+from proofgrid.catalog import typed_documents
+from proofgrid.functions import editing, metrics
+from proofgrid.functions.textnorm import WHITESPACE, strip
+from proofgrid.session import tune
+from proofgrid.sources.tables import spread
+
+
+def _most(df) -> int:
+    return df.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+
+
+def test_spread_bounds_the_rows_of_a_task(spark):
+    lopsided = spark.range(0, 6_400, 1, 64).filter("id < 1000 or id = 6000")
+    assert spread(lopsided).groupBy(F.spark_partition_id()).count().count() >= (
+        spark.sparkContext.defaultParallelism
+    )
+    even = spread(lopsided, rows=50)
+    assert _most(even) <= 100
+    assert sorted(r.id for r in even.collect()) == [*range(1000), 6000]
+    assert spread(spark.range(0)).count() == 0
+
+
+def test_words_of_a_pair_are_numbered_once(spark):
+    pair = spark.createDataFrame([("a b  c d e", "a x c d")], "correct string, predicted string")
+    rated = pair.select(metrics.wer("correct", "predicted").alias("wer"))
+    plan = rated._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_intersect") == 1
+    assert rated.first().wer == 2 / 5
+
+
+def _plain(left, right) -> int:
+    row = list(range(len(right) + 1))
+    for i, a in enumerate(left, 1):
+        above, row[0] = row[0], i
+        for j, b in enumerate(right, 1):
+            above, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, above + (a != b))
+    return row[-1]
+
+
+def test_band_yields_the_distance(monkeypatch):
+    dice = random.Random(7)
+    monkeypatch.setattr(editing, "_NARROW", 2)
+    monkeypatch.setattr(editing, "_STRIPE", 3)
+    for _ in range(300):
+        left = "".join(dice.choices("abc", k=dice.randint(0, 60)))
+        right = "".join(c for c in left if dice.random() < 0.8) + "".join(dice.choices("abc", k=dice.randint(0, 9)))
+        assert editing.edit_distance(left, right) == _plain(left, right)
+        assert editing._cost_in_band(left, right, abs(len(left) - len(right)) + 1) >= _plain(left, right)
+
+
+def test_stripping_is_the_same_for_all_ends(spark):
+    texts = [f"{a}{t}{b}" for a in ["", *WHITESPACE] for b in ("", " ", "　") for t in ("", "x", "x y", "日 期", "é")]
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "t string")
+    rows = df.select("t", strip("t").alias("s")).collect()
+    assert all(r.s == (None if r.t is None else r.t.strip()) for r in rows)
+
+
+def test_shuffles_are_cut_finely(spark):
+    tune(spark)
+    assert int(spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum")) >= 1024
+
+
+def test_only_needed_columns_of_the_scores_are_stored(spark, monkeypatch, tmp_path):
+    spark.sql(
+        "select 7L as o_orderkey, 3L as o_custkey, 'F' as o_orderstatus, 12.5D as o_totalprice,"
+        " timestamp_ntz'2020-01-02 00:00:00' as o_orderdate, '1-URGENT' as o_orderpriority"
+    ).write.parquet(f"{tmp_path}/orders.parquet")
+    seen = []
+
+    def kept(df, name):
+        seen.extend(df.columns)
+        return df
+
+    monkeypatch.setattr(typed_documents, "stored", kept)
+    assert typed_documents._whole_cases(spark, str(tmp_path)).count() == 10
+    assert not {"norm_correct", "similarity", "error_description"} & set(seen)
