@@ -227,7 +227,9 @@ def _cases(spark, folder):
 
 
 def _whole_cases(spark, folder):
-    scores = stored(inputs.document_scores(spark, folder), "document-scores")
+    needed = ["row_idx", "field_order", L, R, "is_exact_match", "cer", "wer"]
+    scores = inputs.document_scores(spark, folder).select(*aggregate.CASE_KEYS, *needed)
+    scores = stored(scores, "document-scores")
     return aggregate.document_cases_with_texts(scores)
 
 
