@@ -48,29 +48,28 @@ class Blocks(NamedTuple):
 # --- model blocks below each other ---------------------------------------------------------------
 
 
-def _cleaned(rows: DataFrame) -> DataFrame:
-    cells = F.transform("values", lambda v: strip(text(v)))
-    return rows.select("workbook", "row_idx", cells.alias("values"))
+def _cleaned(values: Column) -> Column:
+    return F.transform(values, lambda v: strip(text(v)))
 
 
 def block_starts(rows: DataFrame) -> DataFrame:
     """Rows that name a model; each starts a block."""
-    return (
-        _cleaned(rows)
-        .select("workbook", "row_idx", grid.model_cell_of(F.col("values")).alias("model"))
-        .filter(F.col("model").isNotNull())
+    values = F.col("values")
+    return rows.filter(grid.names_model(values)).select(
+        "workbook", "row_idx", strip(grid.model_cell_of(values)).alias("model")
     )
 
 
 def last_at(starts: Column, position: Column) -> Column:
-    """The last entry of a sorted array whose ``row_idx`` is at most ``position``, null without one."""
-    upto = F.filter(starts, lambda s: s["row_idx"] <= position)
-    return F.get(upto, F.size(upto) - 1)
+    """The last entry of a sorted array whose ``row_idx`` is at most ``position``, in an array; empty without one."""
+    return F.slice(F.filter(starts, lambda s: s["row_idx"] <= position), -1, 1)
 
 
 def _vertical_members(rows: DataFrame, starts: DataFrame, cfg: ScoringConfig) -> DataFrame:
     """Rows of blocks with their block: naming rows and rows with content. ``starts`` is stored.
 
+    Cells stay as they are: white space at their ends changes neither names, header words nor content.
+
     A workbook's starts are an array that is searched per row. Only in workbooks with more than
     ``max_starts`` of them the block is carried from row to row.
     """
@@ -81,14 +80,15 @@ def _vertical_members(rows: DataFrame, starts: DataFrame, cfg: ScoringConfig) ->
         .agg(F.array_sort(F.collect_list(F.struct("row_idx", "model"))).alias("_starts")),
         "block-starts",
     )
-    found = with_facts(_cleaned(rows), index, ["workbook"], "row_idx", cfg.hot_splits)
-    found = found.withColumn("_start", last_at(F.col("_starts"), F.col("row_idx"))).select(
-        "workbook", "row_idx", "values", F.col("_start.row_idx").alias("block_row"),
-        F.col("_start.model").alias("model"),
+    rows = rows.select("workbook", "row_idx", "values")
+    found = with_facts(rows, index, ["workbook"], "row_idx", cfg.hot_splits)
+    found = found.select(  # unpacked as rows, so that the search stands in the plan once
+        "workbook", "row_idx", "values",
+        F.inline(last_at(F.col("_starts"), F.col("row_idx"))).alias("block_row", "model"),
     )
     if not crowded.isEmpty():
-        rest = with_facts(_cleaned(rows), crowded, ["workbook"], "row_idx", cfg.hot_splits)
-        name = grid.model_cell_of(F.col("values"))
+        rest = with_facts(rows, crowded, ["workbook"], "row_idx", cfg.hot_splits)
+        name = strip(grid.model_cell_of(F.col("values")))
         start = F.when(
             name.isNotNull(), F.struct(F.col("row_idx").alias("block_row"), name.alias("model"))
         )
@@ -102,7 +102,7 @@ def _vertical_members(rows: DataFrame, starts: DataFrame, cfg: ScoringConfig) ->
 
 def _vertical_winners(members: DataFrame) -> DataFrame:
     """The block kept per model: the last one with data, and whether its first row is a header."""
-    header_like = grid.header_words_in(F.col("values")) >= 3
+    header_like = grid.holds_header_words(F.col("values"), 3)
     blocks = stored(
         members.select(
             "workbook", "model", "block_row", "row_idx", "_member",
@@ -147,7 +147,7 @@ def split_vertically(rows: DataFrame, cfg: ScoringConfig = DEFAULT) -> Blocks:
     ).withColumn(
         "values",
         F.concat(
-            F.col("values"),
+            _cleaned(F.col("values")),
             F.array_repeat(F.lit(""), F.col("sheet_width") - F.size("values")),
         ),
     )

@@ -130,14 +130,14 @@ def model_names(
 ) -> DataFrame:
     """``(workbook, model)`` per row of ``headers``; ``profile`` and ``headers`` are stored tables.
 
-    Only workbooks whose top rows name no model have their sheet rows looked at.
+    Only workbooks whose top rows name no model, though a cell does, have their sheet rows looked at.
     """
-    named = profile.select("workbook", first_model_name().alias("model"))
+    named = profile.select("workbook", "model_cells", first_model_name().alias("model"))
     named = headers.select("workbook", "header_row", "header").join(named, "workbook")
     silent = named.filter(F.col("model").isNull())
     if silent.isEmpty():
         return named.select("workbook", "model")
-    common = grid.common_model_name(rows, silent, cfg)
+    common = grid.common_model_name(rows, silent.filter("model_cells > 0"), cfg)
     return named.join(common, "workbook", "left").select(
         "workbook", F.coalesce("model", "common_name", F.lit(UNKNOWN_MODEL)).alias("model")
     )

@@ -12,6 +12,7 @@ from proofgrid.operators.joins import sliced_join, with_facts
 from proofgrid.operators.layout import Blocks
 from proofgrid.operators.scoring import score_pairs
 from proofgrid.plans.storage import stored
+from proofgrid.sources.tables import spread
 
 DEFAULT = ScoringConfig()
 
@@ -82,6 +83,7 @@ def find_blocks(rows: DataFrame, cfg: ScoringConfig = DEFAULT) -> tuple[DataFram
         return layouts, layout.single_blocks(rows, layouts, profile, cfg)
     multi = stored(profile.filter("model_cells > 1"), "multi-profile")
     several = with_facts(rows, multi.select("workbook"), ["workbook"], "row_idx", cfg.hot_splits)
+    several = stored(spread(several), "several")
     vertical = layout.split_vertically(several, cfg)
     horizontal = layout.split_horizontally(several, cfg, multi)
     layouts = stored(layout.choose_layout(census, vertical.headers, horizontal.headers), "layouts")
