@@ -14,7 +14,6 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from proofgrid.llm.common import words
 from proofgrid.plans.storage import stored
 
 UNKNOWN = "unknown"
@@ -244,6 +243,28 @@ def _bits(model: Model, grams_of: dict[str, tuple[str, ...]], gram: str) -> int:
     return sum(1 << i for i, f in enumerate(model.families) if gram in grams_of.get(f, ()))
 
 
+def _grams(model: Model) -> list[str]:
+    """All n-grams that weigh, name, refute or negate something."""
+    return sorted(set(model.weights).union(NEGATED, *NAMES.values(), *REFUTED.values()))
+
+
+def _words(text: Column) -> Column:
+    """Runs of a-z and 0-9."""
+    return F.array_remove(F.split(text, "[^a-z0-9]+"), "")
+
+
+def _known_words(text: Column, model: Model) -> Column:
+    """Words in their places; null for one that is in no known n-gram, as then no n-gram with it is known."""
+    known = sorted({w for gram in _grams(model) for w in gram.split()})
+    return F.transform(_words(text), lambda w: F.when(w.isin(known), w))
+
+
+def _ngrams(tokens: Column) -> Column:
+    """Distinct words and pairs of neighbours; a pair with an unknown word is null and not looked up."""
+    pairs = F.zip_with(tokens, F.slice(tokens, 2, 1 << 30), lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.array_distinct(F.concat(tokens, pairs))
+
+
 def _table(spark: SparkSession, model: Model) -> DataFrame:
     """gram, weights, what it adds to each template, and bits of the families it names or refutes.
 
@@ -251,14 +272,13 @@ def _table(spark: SparkSession, model: Model) -> DataFrame:
     """
     telling, every = _telling(model), (1 << len(model.families)) - 1
     names = [f"w{i}" for i in range(len(model.families))] + [f"t{j}" for j in range(len(model.templates))]
-    grams = set(model.weights).union(NEGATED, *NAMES.values(), *REFUTED.values())
     rows = [
         (
             gram, *model.weights.get(gram, [0.0] * len(model.families)),
             *(telling[gram] if gram in own else 0 for _, own in model.templates),
             _bits(model, NAMES, gram), every if gram in NEGATED else _bits(model, REFUTED, gram),
         )
-        for gram in sorted(grams)
+        for gram in _grams(model)
     ]
     kinds = ", ".join(f"{n} {'double' if n[0] == 'w' else 'int'}" for n in names)
     return spark.createDataFrame(rows, f"gram string, {kinds}, named int, refuted int")
@@ -287,14 +307,12 @@ UNIT = ("doc_id", "row", "first", "last")
 def _scored(units: DataFrame, model: Model, repeats: DataFrame | None = None) -> DataFrame:
     """doc_id, row, first, last, family, probability, coverage, confirmed and cover (of each family) of every unit.
 
-    ``units``: doc_id, row (a key of the row's content), first, last, tokens, and inner: words between the first and
-    the last line, which have to be fewer than the template's for it to count. ``repeats``: doc_id, row and copies of
-    the rows that stand in the table more than once, whose n-grams are added up once per copy.
+    ``units``: doc_id, row (a key of the row's content), first, last, tokens (as ``_known_words`` gives them), and
+    inner: words between the first and the last line, which have to be fewer than the template's for it to count.
+    ``repeats``: doc_id, row and copies of the rows that stand in the table more than once, whose n-grams are added up
+    once per copy.
     """
-    grams = F.array_distinct(
-        F.concat("tokens", F.transform(F.slice("tokens", 2, 1 << 30), lambda t, i: F.concat(F.get("tokens", i), F.lit(" "), t)))
-    )
-    hits = units.select(*UNIT, "inner", F.explode(grams).alias("gram")).join(
+    hits = units.select(*UNIT, "inner", F.explode(_ngrams(F.col("tokens"))).alias("gram")).join(
         F.broadcast(_table(units.sparkSession, model)), "gram"
     )
     n_families, n_templates = len(model.families), len(model.templates)
@@ -335,7 +353,7 @@ def _scored(units: DataFrame, model: Model, repeats: DataFrame | None = None) ->
 
 
 def _runs(rows: DataFrame, model: Model) -> DataFrame:
-    """Runs of lines that may hold a notice, as units; ``rows``: doc_id, row and lines (arrays of words).
+    """Runs of lines that may hold a notice, as units; ``rows``: doc_id, row and lines (arrays of ``_known_words``).
 
     A run has no line without words. Fewer words than the longest template lie between its first and last line, so
     that a notice is within a run however it is wrapped. One without a distinctive word is confirmed by no template.
@@ -423,7 +441,7 @@ def _passages(rows: DataFrame, model: Model, known: bool) -> DataFrame:
         rows.groupBy("doc_id", "row").agg(F.count("*").alias("copies")).filter("copies > 1"), "repeated-rows"
     )
     repeats = None if repeats.isEmpty() else repeats
-    tokens = lambda line: words(F.regexp_replace(line, "[^a-z0-9]+", " "))
+    tokens = lambda line: _known_words(line, model)
     lines = rows.select("doc_id", "row", F.posexplode(F.split("text", "\n")).alias("first", "line"))
     single = _scored(
         lines.select(
@@ -433,7 +451,8 @@ def _passages(rows: DataFrame, model: Model, known: bool) -> DataFrame:
     )
     if known:
         single = single.filter(F.col("family") != UNKNOWN)
-    marked = rows.filter(F.col("text").rlike(rf"(?<![a-z0-9])(?:{'|'.join(_distinctive(model))})(?![a-z0-9])"))
+    marks = _distinctive(model)
+    marked = rows.filter(F.exists(_words(F.col("text")), lambda w: w.isin(marks)))
     split = marked.select("doc_id", "row", F.transform(F.split("text", "\n"), tokens).alias("lines"))
     runs = _wrapped(_scored(_runs(split, model), model, repeats))
     inside = runs.select(

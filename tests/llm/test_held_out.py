@@ -84,6 +84,24 @@ def test_repeated_rows_and_ids_do_not_change_answers(spark, model):
     assert families(spark, [long, "x" * 200_000], model) == ["MIT", None]
 
 
+def test_only_known_ngrams_are_looked_up(spark, model):
+    """All of a line's known n-grams are found, and what is looked up does not grow with its unknown words."""
+    known, rng = sorted(licences._grams(model)), random.Random(5)
+    texts = ["", "--", "mit", "the, mit-license", "the mit mit license mit license", "xmit license", "apachelicense 2.0", "école mit"]
+    for _ in range(50):
+        parts = [rng.choice((rng.choice(known), f"zq{rng.randrange(10**6)}")) for _ in range(rng.randrange(1, 80))]
+        texts.append("".join(part + rng.choice((" ", ", ", ". ", "-", " é ")) for part in parts))
+    texts.append(" ".join(f"zq{i}" for i in range(20_000)) + " released under the mit license")
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, line string")
+    units = df.select("i", licences._known_words(F.col("line"), model).alias("tokens"))
+    found = {r["i"]: r["grams"] for r in units.select("i", licences._ngrams(F.col("tokens")).alias("grams")).collect()}
+    for i, text in enumerate(texts):
+        want = licences._features(licences._tokens(text))
+        assert want & set(known) == set(found[i]) & set(known)
+        assert set(found[i]) <= want | {None} and len(found[i]) == len(set(found[i]))
+    assert len(found[len(texts) - 1]) <= 10
+
+
 # --- main text ---------------------------------------------------------------------------------------------------
 
 
